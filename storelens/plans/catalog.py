@@ -217,3 +217,145 @@ def q_monthly_product_sales(spark, sf):
 SELECT day_number, {MONEY} AS total_sales FROM prepared GROUP BY day_number""")
 def q_sales_by_day_number(spark, sf):
     return S.sales_by_day_number(prep(spark, sf))
+
+
+# ---------------------------------------------------------------- ordered operators
+
+from ..operators import ordered as O  # noqa: E402
+from ..sources.tables import ORDER_COLS  # noqa: E402
+
+ORDER_SQL = ", ".join(ORDER_COLS)
+KEYS = ["transaction_id", "line_no", "part_key", "supp_key"]
+KEYS_SQL = ", ".join(KEYS)
+
+
+@register("sales_lags", f"""
+SELECT {KEYS_SQL}, product_name, quantity_sold,
+  CAST(lag(quantity_sold, 1) OVER w AS DOUBLE) AS sales_lag_1,
+  CAST(lag(quantity_sold, 7) OVER w AS DOUBLE) AS sales_lag_7,
+  CAST(lag(quantity_sold, 14) OVER w AS DOUBLE) AS sales_lag_14,
+  CAST(lead(quantity_sold, 7) OVER w AS DOUBLE) AS future_7_day_sales
+FROM sales WINDOW w AS (PARTITION BY product_name ORDER BY {ORDER_SQL})""")
+def q_sales_lags(spark, sf):
+    df = base(spark, sf).select(*ORDER_COLS, "product_name", "quantity_sold")
+    return O.with_lags(df, ORDER_COLS).select(
+        *KEYS, "product_name", "quantity_sold",
+        *[F.col(c).cast("double").alias(c) for c in ["sales_lag_1", "sales_lag_7", "sales_lag_14",
+                                                      "future_7_day_sales"]])
+
+
+_CHANGE_SQL = f"""
+, ff AS (
+  SELECT {KEYS_SQL}, product_name, {ORDER_SQL.replace('transaction_id, line_no, part_key, supp_key, ', '')} AS _o,
+    last_value(unit_price IGNORE NULLS) OVER w AS price,
+    last_value(CAST(quantity_sold AS DOUBLE) IGNORE NULLS) OVER w AS qty,
+    date AS d, total_sales AS ts
+  FROM prepared WINDOW w AS (PARTITION BY product_name ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING)),
+ch AS (
+  SELECT {KEYS_SQL}, product_name,
+    (price / NULLIF(lag(price) OVER w, 0) - 1.0) * 100.0 AS price_change_pct,
+    (qty / NULLIF(lag(qty) OVER w, 0) - 1.0) * 100.0 AS quantity_change_pct
+  FROM ff WINDOW w AS (PARTITION BY product_name ORDER BY d, {KEYS_SQL}, ts)),
+chr AS (SELECT *, quantity_change_pct / NULLIF(price_change_pct, 0) AS price_sensitivity_ratio FROM ch)
+"""
+
+
+@register("price_quantity_change", _CHANGE_SQL + f"""
+SELECT {KEYS_SQL}, product_name, price_change_pct, quantity_change_pct, price_sensitivity_ratio FROM chr""")
+def q_price_quantity_change(spark, sf):
+    df = prep(spark, sf).select(*ORDER_COLS, "product_name", "unit_price", "quantity_sold")
+    return O.with_product_change(df, ORDER_COLS).select(
+        *KEYS, "product_name", "price_change_pct", "quantity_change_pct", "price_sensitivity_ratio")
+
+
+_GROWTH_SQL = f"""
+, gff AS (
+  SELECT {KEYS_SQL}, product_name, date AS d, total_sales AS ts,
+    last_value(total_sales IGNORE NULLS) OVER (ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING) AS v
+  FROM prepared),
+gr AS (
+  SELECT {KEYS_SQL}, product_name,
+    v / NULLIF(lag(v, 7) OVER w, 0) - 1.0 AS weekly_growth,
+    v / NULLIF(lag(v, 30) OVER w, 0) - 1.0 AS monthly_growth
+  FROM gff WINDOW w AS (ORDER BY d, {KEYS_SQL}, ts))
+"""
+
+
+@register("sales_growth", _GROWTH_SQL + f"""
+SELECT {KEYS_SQL}, product_name, weekly_growth, monthly_growth FROM gr""")
+def q_sales_growth(spark, sf):
+    df = prep(spark, sf).select(*ORDER_COLS, "product_name")
+    return O.with_growth(df, ORDER_COLS).select(*KEYS, "product_name", "weekly_growth", "monthly_growth")
+
+
+@register("growth_by_product", _GROWTH_SQL + f"""
+SELECT product_name, {r2sql('AVG(weekly_growth)')} AS weekly_growth, {r2sql('AVG(monthly_growth)')} AS monthly_growth
+FROM gr GROUP BY product_name""")
+def q_growth_by_product(spark, sf):
+    df = prep(spark, sf).select(*ORDER_COLS, "product_name")
+    return O.growth_by_product(O.with_growth(df, ORDER_COLS))
+
+
+@register("price_sensitivity", _CHANGE_SQL + f"""
+SELECT product_name, {r6sql('AVG(price_change_pct)')} AS price_change_pct,
+  {r6sql('AVG(quantity_change_pct)')} AS quantity_change_pct,
+  {r6sql('AVG(price_sensitivity_ratio)')} AS price_sensitivity_ratio
+FROM chr GROUP BY product_name""")
+def q_price_sensitivity(spark, sf):
+    df = prep(spark, sf).select(*ORDER_COLS, "product_name", "unit_price", "quantity_sold")
+    res = O.price_sensitivity(O.with_product_change(df, ORDER_COLS))
+    return res.select("product_name", *[r6(c).alias(c) for c in
+                                        ["price_change_pct", "quantity_change_pct", "price_sensitivity_ratio"]])
+
+
+def _promotion_sql(min_ratio: float, max_change: float) -> str:
+    return _CHANGE_SQL + f"""
+, sens AS (
+  SELECT product_name, AVG(price_change_pct) AS price_change_pct, AVG(quantity_change_pct) AS quantity_change_pct,
+    AVG(price_sensitivity_ratio) AS price_sensitivity_ratio FROM chr GROUP BY product_name),
+picked AS (SELECT * FROM sens WHERE price_sensitivity_ratio > {min_ratio} AND price_change_pct < {max_change}),
+pairs AS (SELECT DISTINCT product_name, profit_margin FROM prepared WHERE product_name IN (SELECT product_name FROM picked)),
+ranked AS (
+  SELECT p.*, q.profit_margin,
+    CAST(row_number() OVER (ORDER BY q.profit_margin DESC NULLS LAST, p.product_name) AS INTEGER) AS rank
+  FROM picked p JOIN pairs q ON p.product_name = q.product_name)
+SELECT product_name, {r6sql('price_change_pct')} AS price_change_pct, {r6sql('quantity_change_pct')} AS quantity_change_pct,
+  {r6sql('price_sensitivity_ratio')} AS price_sensitivity_ratio, {r6sql('profit_margin')} AS profit_margin, rank
+FROM ranked WHERE rank <= 10"""
+
+
+def _promotion_query(min_ratio: float, max_change: float):
+    def run(spark, sf):
+        rows = prep(spark, sf)
+        df = rows.select(*ORDER_COLS, "product_name", "unit_price", "quantity_sold")
+        sens = O.price_sensitivity(O.with_product_change(df, ORDER_COLS))
+        res = O.promotion_candidates(sens, rows, min_ratio, max_change)
+        return res.select("product_name", *[r6(c).alias(c) for c in [
+            "price_change_pct", "quantity_change_pct", "price_sensitivity_ratio", "profit_margin"]], "rank")
+    return run
+
+
+# Reference thresholds (ratio > 1 and price change < 0) select nothing on this data;
+# the second registration uses thresholds that keep about half of the products.
+register("promotion_candidates", _promotion_sql(1.0, 0.0))(_promotion_query(1.0, 0.0))
+register("promotion_candidates_wide", _promotion_sql(-2.0, 460.0))(_promotion_query(-2.0, 460.0))
+
+
+@register("latest_per_product", f"""
+, r AS (SELECT *, row_number() OVER (PARTITION BY product_name ORDER BY date DESC, transaction_id DESC, line_no DESC,
+    part_key DESC, supp_key DESC, total_sales DESC) AS rn FROM prepared)
+SELECT product_name, strftime(date, '%Y-%m-%d') AS date, {KEYS_SQL}, total_sales, stock_after_sale AS current_stock
+FROM r WHERE rn = 1""")
+def q_latest_per_product(spark, sf):
+    df = prep(spark, sf).select("product_name", *ORDER_COLS, F.col("stock_after_sale").alias("current_stock"))
+    res = O.latest_per(df, "product_name", ORDER_COLS)
+    return res.select("product_name", F.date_format("date", "yyyy-MM-dd").alias("date"), *KEYS,
+                      "total_sales", "current_stock")
+
+
+@register("weather_codes", f"""
+, pos AS (SELECT weather, row_number() OVER (ORDER BY {ORDER_SQL}) AS p FROM prepared),
+f AS (SELECT weather, MIN(p) AS p FROM pos WHERE weather IS NOT NULL GROUP BY weather)
+SELECT weather, CAST(row_number() OVER (ORDER BY p) - 1 AS INTEGER) AS weather_code FROM f""")
+def q_weather_codes(spark, sf):
+    return O.factor_codes(prep(spark, sf), "weather", ORDER_COLS)
