@@ -359,3 +359,80 @@ f AS (SELECT weather, MIN(p) AS p FROM pos WHERE weather IS NOT NULL GROUP BY we
 SELECT weather, CAST(row_number() OVER (ORDER BY p) - 1 AS INTEGER) AS weather_code FROM f""")
 def q_weather_codes(spark, sf):
     return O.factor_codes(prep(spark, sf), "weather", ORDER_COLS)
+
+
+# ---------------------------------------------------------------- statistics
+
+from ..functions.calendar import holiday_flag  # noqa: E402
+from ..operators import stats as ST  # noqa: E402
+
+MEASURES = ["quantity_sold", "unit_price", "total_sales", "discount_pct", "total_after_discount", "net_sales",
+            "returned", "stock_after_sale", "temperature_c", "humidity_pct", "precipitation_mm",
+            "wind_speed_kmh", "is_weekend", "is_special_event"]
+
+
+def _describe_sql(cols: list[str]) -> str:
+    parts = []
+    stats = [("count", "COUNT({c})"), ("mean", "AVG({c})"), ("std", "STDDEV_SAMP({c})"), ("min", "MIN({c})"),
+             ("25%", "QUANTILE_CONT({c}, 0.25)"), ("50%", "QUANTILE_CONT({c}, 0.5)"),
+             ("75%", "QUANTILE_CONT({c}, 0.75)"), ("max", "MAX({c})")]
+    for stat, tmpl in stats:
+        vals = ", ".join(f"{r6sql(tmpl.format(c=f'CAST({c} AS DOUBLE)'))} AS {c}" for c in cols)
+        parts.append(f"SELECT '{stat}' AS stat, {vals} FROM sales")
+    return "\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("describe_numeric", _describe_sql(MEASURES))
+def q_describe_numeric(spark, sf):
+    res = ST.describe_numeric(base(spark, sf), MEASURES)
+    return res.select("stat", *[r6(c).alias(c) for c in MEASURES])
+
+
+FACTORS = ["day_number", "iso_week", "is_weekend", "weather_code", "holiday_code", "discount_pct"]
+
+
+@register("sales_factor_correlation", f"""
+, pos AS (SELECT weather, row_number() OVER (ORDER BY {ORDER_SQL}) AS p FROM prepared),
+f AS (SELECT weather, MIN(p) AS p FROM pos WHERE weather IS NOT NULL GROUP BY weather),
+codes AS (SELECT weather, row_number() OVER (ORDER BY p) - 1 AS weather_code FROM f),
+x AS (SELECT p.*, COALESCE(c.weather_code, -1) AS weather_code,
+        CASE WHEN is_holiday = 'Yes' THEN 1 ELSE 0 END AS holiday_code
+      FROM prepared p LEFT JOIN codes c ON p.weather = c.weather)
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS factor, {r6sql(f'CORR(CAST({c} AS DOUBLE), total_sales)')} AS correlation FROM x"
+    for c in [*FACTORS, "total_sales"]))
+def q_sales_factor_correlation(spark, sf):
+    df = O.factorize(prep(spark, sf), "weather", ORDER_COLS).withColumn("holiday_code", holiday_flag("is_holiday"))
+    return ST.sales_factor_correlation(df, "total_sales", FACTORS).withColumn("correlation", r6("correlation"))
+
+
+def _pairs_sql(cols: list[str]) -> str:
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if a != b:
+                rows.append(f"SELECT '{a}' AS col1, '{b}' AS col2, {i * len(cols) + j} AS ordinal, "
+                            f"{r6sql(f'CORR(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))')} AS correlation FROM enriched")
+    return "\n UNION ALL \n".join(rows)
+
+
+_SUMMARY_SQL = f"""
+, pr AS ({_pairs_sql(MEASURES)}),
+lab AS (SELECT *, CASE WHEN abs(correlation) > 0.7 THEN 'Strong' WHEN abs(correlation) > 0.5 THEN 'Moderate'
+                       WHEN abs(correlation) > 0.3 THEN 'Weak' END AS strength FROM pr),
+lines AS (SELECT col1, col2, CAST(ordinal AS INTEGER) AS ordinal, correlation, strength,
+    printf('%s correlation between %s and %s: %.2f', strength, col1, col2, correlation) AS line
+  FROM lab WHERE strength IS NOT NULL)
+"""
+
+
+@register("correlation_summary", _SUMMARY_SQL + "SELECT * FROM lines")
+def q_correlation_summary(spark, sf):
+    return ST.correlation_summary(enr(spark, sf), MEASURES, digits=6)
+
+
+@register("correlation_summary_text", _SUMMARY_SQL + """
+SELECT COALESCE(string_agg(line, chr(10) ORDER BY ordinal) || chr(10),
+  'No numeric data available for correlation analysis.') AS correlation_summary FROM lines""")
+def q_correlation_summary_text(spark, sf):
+    return ST.correlation_summary_text(ST.correlation_summary(enr(spark, sf), MEASURES, digits=6))
