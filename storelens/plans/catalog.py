@@ -436,3 +436,83 @@ SELECT COALESCE(string_agg(line, chr(10) ORDER BY ordinal) || chr(10),
   'No numeric data available for correlation analysis.') AS correlation_summary FROM lines""")
 def q_correlation_summary_text(spark, sf):
     return ST.correlation_summary_text(ST.correlation_summary(enr(spark, sf), MEASURES, digits=6))
+
+
+# ---------------------------------------------------------------- market basket
+
+from ..functions.text import join_items  # noqa: E402
+from ..operators import basket as B  # noqa: E402
+
+MIN_SUPPORT = 0.005
+
+_ITEMSETS_SQL = f"""
+, bt AS (SELECT DISTINCT transaction_id AS t, product_name AS p FROM prepared WHERE product_name IS NOT NULL),
+nb AS (SELECT COUNT(DISTINCT t) AS n FROM bt),
+s1 AS (SELECT [p] AS items, COUNT(*) AS freq FROM bt GROUP BY p),
+s2 AS (SELECT [a.p, b.p] AS items, COUNT(*) AS freq FROM bt a JOIN bt b ON a.t = b.t AND a.p < b.p GROUP BY a.p, b.p),
+s3 AS (SELECT [a.p, b.p, c.p] AS items, COUNT(*) AS freq FROM bt a JOIN bt b ON a.t = b.t AND a.p < b.p
+       JOIN bt c ON a.t = c.t AND b.p < c.p GROUP BY a.p, b.p, c.p),
+s4 AS (SELECT [a.p, b.p, c.p, d.p] AS items, COUNT(*) AS freq FROM bt a JOIN bt b ON a.t = b.t AND a.p < b.p
+       JOIN bt c ON a.t = c.t AND b.p < c.p JOIN bt d ON a.t = d.t AND c.p < d.p GROUP BY a.p, b.p, c.p, d.p),
+allsets AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4),
+itemsets AS (
+  SELECT items, CAST(freq AS BIGINT) AS freq, CAST(freq AS DOUBLE) / n AS support, CAST(len(items) AS INTEGER) AS length
+  FROM allsets, nb WHERE CAST(freq AS DOUBLE) / n >= {MIN_SUPPORT})
+"""
+
+_RULES_SQL = _ITEMSETS_SQL + """
+, masks AS (SELECT items, support, UNNEST(range(1, (1 << length) - 1)) AS m FROM itemsets WHERE length >= 2),
+splits AS (SELECT list_filter(items, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS a,
+                  list_filter(items, lambda x, i: ((m >> (i - 1)) & 1) = 0) AS c, support FROM masks),
+rules AS (
+  SELECT array_to_string(s.a, ', ') AS antecedent, array_to_string(s.c, ', ') AS consequent,
+    len(s.a) AS na, len(s.c) AS nc,
+    ia.support AS antecedent_support, ic.support AS consequent_support, s.support,
+    s.support / ia.support AS confidence, s.support / ia.support / ic.support AS lift,
+    s.support - ia.support * ic.support AS leverage,
+    (1.0 - ic.support) / NULLIF(1.0 - s.support / ia.support, 0) AS conviction
+  FROM splits s JOIN itemsets ia ON s.a = ia.items JOIN itemsets ic ON s.c = ic.items
+  WHERE s.support / ia.support / ic.support >= 1.0)
+"""
+
+
+def _prepared_itemsets(spark, sf):
+    return B.frequent_itemsets(B.baskets(prep(spark, sf)), MIN_SUPPORT)[0]
+
+
+@register("baskets", """
+SELECT transaction_id, array_to_string(list_sort(list(DISTINCT product_name)), ', ') AS items
+FROM prepared WHERE product_name IS NOT NULL GROUP BY transaction_id""")
+def q_baskets(spark, sf):
+    return B.baskets(prep(spark, sf)).select("transaction_id", join_items("items").alias("items"))
+
+
+@register("frequent_itemsets", _ITEMSETS_SQL + """
+SELECT array_to_string(items, ', ') AS items, freq, support, length FROM itemsets""")
+def q_frequent_itemsets(spark, sf):
+    return _prepared_itemsets(spark, sf).select(join_items("items").alias("items"), "freq", "support", "length")
+
+
+@register("association_rules", _RULES_SQL + f"""
+SELECT antecedent, consequent, {r6sql('antecedent_support')} AS antecedent_support,
+  {r6sql('consequent_support')} AS consequent_support, {r6sql('support')} AS support,
+  {r6sql('confidence')} AS confidence, {r6sql('lift')} AS lift, {r6sql('leverage')} AS leverage,
+  {r6sql('conviction')} AS conviction FROM rules""")
+def q_association_rules(spark, sf):
+    rules = B.association_rules(_prepared_itemsets(spark, sf), 1.0)
+    return rules.select(join_items("antecedent").alias("antecedent"), join_items("consequent").alias("consequent"),
+                        *[r6(c).alias(c) for c in ["antecedent_support", "consequent_support", "support",
+                                                   "confidence", "lift", "leverage", "conviction"]])
+
+
+@register("bought_together_top10", _RULES_SQL + f"""
+, shown AS (SELECT antecedent AS items_purchased_together, consequent AS suggested_products,
+    {r2sql('support * 100.0')} AS purchase_frequency_pct, {r2sql('confidence * 100.0')} AS likelihood_pct,
+    lift AS association_strength FROM rules WHERE na > 1 OR nc > 1),
+ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY association_strength DESC, items_purchased_together,
+    suggested_products) AS INTEGER) AS rank FROM shown)
+SELECT items_purchased_together, suggested_products, purchase_frequency_pct, likelihood_pct,
+  {r6sql('association_strength')} AS association_strength, rank FROM ranked WHERE rank <= 10""")
+def q_bought_together_top10(spark, sf):
+    top = B.bought_together(B.association_rules(_prepared_itemsets(spark, sf), 1.0), 10)
+    return top.withColumn("association_strength", r6("association_strength"))
