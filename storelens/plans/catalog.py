@@ -516,3 +516,167 @@ SELECT items_purchased_together, suggested_products, purchase_frequency_pct, lik
 def q_bought_together_top10(spark, sf):
     top = B.bought_together(B.association_rules(_prepared_itemsets(spark, sf), 1.0), 10)
     return top.withColumn("association_strength", r6("association_strength"))
+
+
+# ---------------------------------------------------------------- segmentation
+
+from ..operators import segments as G  # noqa: E402
+
+_WEEKS_SQL = """
+, pw AS (SELECT product_name, iso_week, SUM(CAST(total_sales AS DECIMAL(18,2))) AS s FROM prepared
+         WHERE product_name IS NOT NULL GROUP BY 1, 2),
+wk AS (SELECT DISTINCT iso_week FROM prepared WHERE iso_week IS NOT NULL),
+pr AS (SELECT DISTINCT product_name FROM prepared WHERE product_name IS NOT NULL),
+filled AS (SELECT pr.product_name, wk.iso_week, COALESCE(CAST(pw.s AS DOUBLE), 0.0) AS total_sales
+           FROM pr CROSS JOIN wk LEFT JOIN pw ON pw.product_name = pr.product_name AND pw.iso_week = wk.iso_week)
+"""
+
+
+@register("product_week_sales", _WEEKS_SQL + "SELECT * FROM filled")
+def q_product_week_sales(spark, sf):
+    return G.product_week_matrix(prep(spark, sf))
+
+
+@register("standardise_weekly", _WEEKS_SQL + f"""
+, st AS (SELECT product_name, AVG(total_sales) AS m, STDDEV_POP(total_sales) AS sd FROM filled GROUP BY 1)
+SELECT f.product_name, f.iso_week,
+  {r6sql('(f.total_sales - st.m) / CASE WHEN st.sd = 0 THEN 1.0 ELSE st.sd END')} AS z
+FROM filled f JOIN st ON f.product_name = st.product_name""")
+def q_standardise_weekly(spark, sf):
+    vec, weeks = G.product_week_vectors(prep(spark, sf))
+    return G.standardised_long(G.standardise_weekly(vec), weeks).withColumn("z", r6("z"))
+
+
+def _segments(spark, sf):
+    vec, _ = G.product_week_vectors(prep(spark, sf))
+    clusters, _cost = G.segment_products(G.standardise_weekly(vec))
+    return G.label_clusters(clusters)
+
+
+@register("product_segments")
+def q_product_segments(spark, sf):
+    return _segments(spark, sf)
+
+
+@register("clustered_products")
+def q_clustered_products(spark, sf):
+    return G.clustered_products(_segments(spark, sf))
+
+
+# ---------------------------------------------------------------- features and models
+
+from ..operators import forecast as FC  # noqa: E402
+
+_TRAINING_SQL = f"""
+, lg AS (
+  SELECT *, lag(quantity_sold, 1) OVER w AS sales_lag_1, lag(quantity_sold, 7) OVER w AS sales_lag_7,
+    lag(quantity_sold, 14) OVER w AS sales_lag_14, lead(quantity_sold, 7) OVER w AS future_7_day_sales
+  FROM sales WINDOW w AS (PARTITION BY product_name ORDER BY {ORDER_SQL})),
+kept AS (SELECT *, strftime(date, '%Y-%m') AS month_period FROM lg
+         WHERE sales_lag_1 IS NOT NULL AND sales_lag_7 IS NOT NULL AND sales_lag_14 IS NOT NULL
+           AND future_7_day_sales IS NOT NULL),
+ms AS (SELECT product_name, month_period, SUM(quantity_sold) AS monthly_sales FROM kept GROUP BY 1, 2),
+tr AS (SELECT k.*, CAST(m.monthly_sales AS BIGINT) AS monthly_sales FROM kept k
+       LEFT JOIN ms m ON k.product_name = m.product_name AND k.month_period = m.month_period)
+"""
+
+
+@register("training_rows", _TRAINING_SQL + f"""
+SELECT {KEYS_SQL}, product_name, month_period, quantity_sold, CAST(sales_lag_1 AS DOUBLE) AS sales_lag_1,
+  CAST(sales_lag_7 AS DOUBLE) AS sales_lag_7, CAST(sales_lag_14 AS DOUBLE) AS sales_lag_14,
+  CAST(future_7_day_sales AS DOUBLE) AS future_7_day_sales, monthly_sales FROM tr""")
+def q_training_rows(spark, sf):
+    tr = FC.training_rows(base(spark, sf), ORDER_COLS)
+    return tr.select(*KEYS, "product_name", "month_period", "quantity_sold",
+                     *[F.col(c).cast("double").alias(c) for c in ["sales_lag_1", "sales_lag_7", "sales_lag_14",
+                                                                 "future_7_day_sales"]],
+                     "monthly_sales")
+
+
+@register("naive_forecast_metrics", _TRAINING_SQL + f"""
+, d AS (SELECT CAST(future_7_day_sales AS DOUBLE) AS y, CAST(sales_lag_7 AS DOUBLE) AS p FROM tr)
+SELECT {r6sql('AVG((y - p) * (y - p))')} AS mse, {r6sql('1.0 - AVG((y - p) * (y - p)) / VAR_POP(y)')} AS r2,
+  CAST(COUNT(*) AS BIGINT) AS n FROM d""")
+def q_naive_forecast_metrics(spark, sf):
+    """I15 on a deterministic baseline: next-week quantity predicted by the 7-row lag."""
+    tr = FC.training_rows(base(spark, sf), ORDER_COLS)
+    m = ST.regression_metrics(tr, "future_7_day_sales", "sales_lag_7")
+    return m.select(r6("mse").alias("mse"), r6("r2").alias("r2"), "n")
+
+
+@register("hash_split", f"""
+SELECT {KEYS_SQL}, CAST(substr(md5(concat_ws('|', '42', CAST(transaction_id AS VARCHAR), CAST(line_no AS VARCHAR),
+  CAST(part_key AS VARCHAR), CAST(supp_key AS VARCHAR))), 1, 8) >= 'cccccccc' AS INTEGER) AS is_test FROM sales""")
+def q_hash_split(spark, sf):
+    return FC.hash_split(base(spark, sf), KEYS).select(*KEYS, "is_test")
+
+
+@register("one_hot_weather", f"""
+SELECT {KEYS_SQL}, weather,
+  CAST(CASE WHEN weather = 'Rainy' THEN 1 ELSE 0 END AS INTEGER) AS weather_Rainy,
+  CAST(CASE WHEN weather = 'Snow' THEN 1 ELSE 0 END AS INTEGER) AS weather_Snow,
+  CAST(CASE WHEN weather = 'Stormy' THEN 1 ELSE 0 END AS INTEGER) AS weather_Stormy,
+  CAST(CASE WHEN weather = 'Sunny' THEN 1 ELSE 0 END AS INTEGER) AS weather_Sunny
+FROM sales""")
+def q_one_hot_weather(spark, sf):
+    df = base(spark, sf)
+    vocab = FC.vocabulary(df, ["weather"])
+    return FC.one_hot(df, vocab).select(*KEYS, "weather", *FC.dummy_names(vocab))
+
+
+@register("stock_sufficiency", _TRAINING_SQL + f"""
+, avgm AS (SELECT product_name, round_even(AVG(monthly_sales), 0) AS predicted_next_month_sales FROM tr GROUP BY 1),
+lt AS (SELECT *, row_number() OVER (PARTITION BY product_name ORDER BY date DESC, transaction_id DESC, line_no DESC,
+    part_key DESC, supp_key DESC, total_sales DESC) AS rn FROM tr)
+SELECT l.product_name, l.stock_after_sale AS current_stock, a.predicted_next_month_sales,
+  round_even(l.stock_after_sale - a.predicted_next_month_sales, 0) AS projected_stock,
+  round_even(l.stock_after_sale - a.predicted_next_month_sales, 0) >= 0 AS adequate
+FROM lt l JOIN avgm a ON l.product_name = a.product_name WHERE rn = 1""")
+def q_stock_sufficiency(spark, sf):
+    """I21 with a deterministic stand-in predictor: next month's sales = the product's
+    rounded mean monthly sales (E6), so the whole chain has an oracle."""
+    tr = FC.training_rows(base(spark, sf), ORDER_COLS)
+    scored = O.with_group_mean(tr, "product_name", ["monthly_sales"], digits=0, prefix="predicted_") \
+        .withColumnRenamed("predicted_monthly_sales", "predicted_next_month_sales")
+    return FC.stock_sufficiency(scored, ORDER_COLS)
+
+
+_MODEL_CACHE: dict = {}
+
+
+def trained(spark, sf):
+    """One training run per (session, dataset): features, the three winners and the metrics."""
+    key = (id(spark), sf)
+    if key not in _MODEL_CACHE:
+        tr = FC.training_rows(base(spark, sf), ORDER_COLS)
+        vocab = FC.vocabulary(tr)
+        frame = FC.with_features(tr, vocab).checkpoint(eager=True)
+        feats = FC.feature_sets(vocab)
+        models, metrics = FC.train_all(frame, feats)
+        _MODEL_CACHE[key] = (frame, feats, vocab, models, metrics.checkpoint(eager=True))
+    return _MODEL_CACHE[key]
+
+
+@register("model_selection")
+def q_model_selection(spark, sf):
+    return trained(spark, sf)[4]
+
+
+def _scored(spark, sf):
+    frame, feats, _vocab, models, _m = trained(spark, sf)
+    return FC.score(frame, models, feats)
+
+
+@register("product_predictions")
+def q_product_predictions(spark, sf):
+    return FC.predictions_by_product(_scored(spark, sf))
+
+
+@register("current_vs_predicted")
+def q_current_vs_predicted(spark, sf):
+    return FC.current_vs_predicted(_scored(spark, sf))
+
+
+@register("stock_sufficiency_predicted")
+def q_stock_sufficiency_predicted(spark, sf):
+    return FC.stock_sufficiency(_scored(spark, sf), ORDER_COLS)
