@@ -680,3 +680,48 @@ def q_current_vs_predicted(spark, sf):
 @register("stock_sufficiency_predicted")
 def q_stock_sufficiency_predicted(spark, sf):
     return FC.stock_sufficiency(_scored(spark, sf), ORDER_COLS)
+
+
+# ---------------------------------------------------------------- report bundle
+
+from . import report as RP  # noqa: E402
+
+
+def _facts_sql() -> str:
+    money = MONEY
+    parts = [
+        f"SELECT 'sales_by_day_of_week' AS section, CAST(day_number AS VARCHAR) AS item, 'total_sales' AS metric, "
+        f"{money} AS value FROM prepared GROUP BY day_number",
+        "SELECT 'profit_analysis', product_name, 'profit_margin', AVG(profit_margin) FROM prepared GROUP BY product_name",
+        f"SELECT 'weather_sales', weather, 'total_sales', {money} FROM prepared GROUP BY weather",
+    ]
+    for a in RP.CORRELATION_FACTORS:
+        for b in RP.CORRELATION_FACTORS:
+            parts.append(f"SELECT 'correlation_matrix', '{a}', '{b}', CORR(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) FROM x")
+    for season in ["fall", "spring", "summer", "winter"]:
+        parts.append(f"SELECT 'seasonal_sales', category, '{season}', {season} FROM wide")
+    parts += [
+        "SELECT 'return_analysis', product_name, 'return_rate_pct', return_rate_pct FROM t WHERE rank <= 5",
+        f"SELECT 'monthly_stock_turnover', CAST(month AS VARCHAR), 'inventory_turnover_rate', "
+        f"{r2sql(f'{money} / (CAST(SUM(stock_after_sale) AS DOUBLE) / COUNT(stock_after_sale))')} FROM prepared GROUP BY month",
+    ]
+    for metric in ["support", "confidence", "lift"]:
+        parts.append(f"SELECT 'association_rules', antecedent || ' -> ' || consequent, '{metric}', {metric} FROM rules")
+    union = "\n UNION ALL \n".join(parts)
+    return _RULES_SQL + f"""
+, pos AS (SELECT weather, row_number() OVER (ORDER BY {ORDER_SQL}) AS p FROM prepared),
+f AS (SELECT weather, MIN(p) AS p FROM pos WHERE weather IS NOT NULL GROUP BY weather),
+codes AS (SELECT weather, row_number() OVER (ORDER BY p) - 1 AS weather_code FROM f),
+x AS (SELECT p.*, COALESCE(c.weather_code, -1) AS weather_code,
+        CASE WHEN is_holiday = 'Yes' THEN 1 ELSE 0 END AS holiday_code
+      FROM prepared p LEFT JOIN codes c ON p.weather = c.weather),
+wide AS (SELECT category, {_season_cols()} FROM prepared GROUP BY category),
+m AS (SELECT product_name, AVG(return_rate_pct) AS return_rate_pct FROM prepared GROUP BY product_name),
+t AS (SELECT *, row_number() OVER (ORDER BY return_rate_pct DESC NULLS LAST, product_name) AS rank FROM m),
+facts AS ({union})
+SELECT section, item, metric, {r6sql('value')} AS value FROM facts"""
+
+
+@register("report_facts", _facts_sql())
+def q_report_facts(spark, sf):
+    return RP.report_facts(base(spark, sf), ORDER_COLS, digits=6)
