@@ -39,16 +39,21 @@ FALLBACK_INSIGHTS = ["Error occurred while processing data"]
 FALLBACK_CHALLENGES = ["Unable to analyze due to processing error."]
 
 
+def strip_ws(text: str | Column) -> Column:
+    """Trim all whitespace (Spark's ``trim`` removes spaces only)."""
+    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+
+
 def strip_fence(text: str | Column) -> Column:
-    """Trim, then strip the characters ` j s o n from both ends (a character set)."""
-    return F.regexp_replace(F.trim(_c(text)), r"^[`json]+|[`json]+$", "")
+    """Trim whitespace, then strip the characters ` j s o n from both ends (a character set)."""
+    return F.regexp_replace(strip_ws(text), r"^[`json]+|[`json]+$", "")
 
 
 def parse_report(text: str | Column) -> Column:
     """Parse a response into the report struct, or the fallback record when it is not JSON."""
     cleaned = strip_fence(text)
     parsed = F.from_json(cleaned, REPORT_SCHEMA, {"mode": "PERMISSIVE"})
-    valid = F.try_parse_json(cleaned).isNotNull() & F.startswith(F.ltrim(cleaned), F.lit("{"))
+    valid = F.try_parse_json(cleaned).isNotNull() & F.startswith(strip_ws(cleaned), F.lit("{"))
     fallback = F.struct(
         F.lit(FALLBACK_RATING).alias("store_performance_rating"),
         F.array(*[F.lit(x) for x in FALLBACK_INSIGHTS]).alias("key_insights"),
