@@ -86,3 +86,15 @@ def with_projected_stock(df: DataFrame, stock: str = "current_stock",
                          predicted: str = "predicted_next_month_sales") -> DataFrame:
     """Current stock minus predicted sales, rounded half-even."""
     return df.withColumn("projected_stock", F.rint(F.col(stock) - F.col(predicted)))
+
+
+def lookup(df: DataFrame, col: str, mapping: dict, out: str | None = None, default=None) -> DataFrame:
+    """Dictionary lookup of a small, fixed mapping as a literal map (no join, no shuffle).
+
+    Mappings that grow with the data belong in a table joined on the key instead.
+    """
+    pairs = [x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))]
+    value = F.try_element_at(F.create_map(*pairs), F.col(col)) if pairs else F.lit(None)
+    if default is not None:
+        value = F.coalesce(value, F.lit(default))
+    return df.withColumn(out or f"{col}_mapped", value)

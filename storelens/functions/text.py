@@ -61,3 +61,9 @@ def parse_report(text: str | Column) -> Column:
         F.array(*[F.lit(x) for x in FALLBACK_CHALLENGES]).alias("challenges"),
     )
     return F.when(valid, parsed).otherwise(fallback)
+
+
+def strip_prefix(s: str | Column, prefix: str) -> Column:
+    """The text after ``prefix`` when it starts with it, else NULL."""
+    s = _c(s)
+    return F.when(F.startswith(s, F.lit(prefix)), F.substring(s, len(prefix) + 1, 1 << 30))

@@ -34,7 +34,7 @@ def product_week_vectors(df: DataFrame, weeks: Sequence[int] | None = None, key:
            .groupBy(key, week).agg(money_sum(value).alias("_s")))
     slots = F.array(*[F.lit(w) for w in weeks])
     vec = (per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(week, "_s"))).alias("_m"))
-           .select(key, F.transform(slots, lambda w: F.coalesce(F.element_at("_m", w), F.lit(0.0))).alias("weekly")))
+           .select(key, F.transform(slots, lambda w: F.coalesce(F.try_element_at("_m", w), F.lit(0.0))).alias("weekly")))
     return vec, weeks
 
 

@@ -163,3 +163,11 @@ def test_capitalize_and_strip(spark):
     df = spark.createDataFrame([("gOOD", "``json{}``")], "s string, t string")
     r = df.select(X.capitalize_word("s").alias("c"), X.strip_fence("t").alias("f")).first()
     assert r["c"] == "Good" and r["f"] == "{}"
+
+
+def test_lookup_and_prefix(spark):
+    df = spark.createDataFrame([("Smartphone",), ("Unseen",)], "product_name string")
+    out = N.lookup(df, "product_name", {"Smartphone": "Gadgets"}, "category", default="Unknown").collect()
+    assert [r["category"] for r in out] == ["Gadgets", "Unknown"]
+    r = df.select(X.strip_prefix(F.lit("Product Name_Oven"), "Product Name_").alias("p")).first()
+    assert r["p"] == "Oven"
