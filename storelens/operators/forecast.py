@@ -115,7 +115,7 @@ def _pipeline(task: str, features: list[str], make) -> Pipeline:
 
 def train_all(frame: DataFrame, features: Mapping[str, list[str]], models: Mapping | None = None,
               key_cols: Sequence[str] = ("transaction_id", "line_no", "part_key", "supp_key"),
-              test_fraction: float = 0.2, parallelism: int = 3) -> tuple[dict[str, PipelineModel], DataFrame]:
+              test_fraction: float = 0.2, parallelism: int = 9) -> tuple[dict[str, PipelineModel], DataFrame]:
     """I16 + I17: for each task fit every candidate on the train split, score the test
     split (I15), keep the lowest-MSE model.  Returns the winners and the metrics table.
 

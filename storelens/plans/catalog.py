@@ -725,3 +725,53 @@ SELECT section, item, metric, {r6sql('value')} AS value FROM facts"""
 @register("report_facts", _facts_sql())
 def q_report_facts(spark, sf):
     return RP.report_facts(base(spark, sf), ORDER_COLS, digits=6)
+
+
+# ---------------------------------------------------------------- row-level views
+
+from ..functions.calendar import temperature_bin  # noqa: E402
+
+VIEW_COLS = ["transaction_id", "line_no", "part_key", "supp_key", "product_name", "category", "quantity_sold",
+             "unit_price", "total_sales", "discount_pct", "total_after_discount", "net_sales", "returned",
+             "stock_after_sale", "weather", "temperature_c", "humidity_pct", "precipitation_mm", "wind_speed_kmh",
+             "is_holiday", "is_weekend", "is_special_event", "season"]
+
+
+@register("sales_view", f"""
+SELECT strftime(date, '%Y-%m-%d') AS date, {', '.join(VIEW_COLS)} FROM sales""")
+def q_sales_view(spark, sf):
+    """A1 + B3-B5: the derived sales table itself (date as ISO text)."""
+    df = base(spark, sf)
+    return df.select(F.date_format("date", "yyyy-MM-dd").alias("date"), *VIEW_COLS)
+
+
+@register("calendar_features", f"""
+SELECT {KEYS_SQL}, day_of_week, day_number, iso_week, year, month, day, week_of_month, month_name, month_period,
+  is_weekend,
+  CASE WHEN temperature_c > -10 AND temperature_c <= 10 THEN 'Cold' WHEN temperature_c > 10 AND temperature_c <= 20
+       THEN 'Mild' WHEN temperature_c > 20 AND temperature_c <= 30 THEN 'Warm'
+       WHEN temperature_c > 30 AND temperature_c <= 40 THEN 'Hot' END AS temperature_bin,
+  CAST(CASE WHEN is_holiday = 'Yes' THEN 1 ELSE 0 END AS INTEGER) AS holiday_code,
+  {r6sql('profit_margin')} AS profit_margin, {r6sql('return_rate_pct')} AS return_rate_pct
+FROM enriched""")
+def q_calendar_features(spark, sf):
+    """H1-H10 + B4/B5 on every row."""
+    df = enr(spark, sf)
+    return df.select(*KEYS, "day_of_week", "day_number", "iso_week", "year", "month", "day", "week_of_month",
+                     "month_name", "month_period", "is_weekend", temperature_bin("temperature_c").alias("temperature_bin"),
+                     holiday_flag("is_holiday").alias("holiday_code"), r6("profit_margin").alias("profit_margin"),
+                     r6("return_rate_pct").alias("return_rate_pct"))
+
+
+@register("group_means", _TRAINING_SQL + f"""
+SELECT {KEYS_SQL}, product_name,
+  round_even(AVG(future_7_day_sales) OVER (PARTITION BY product_name), 0) AS current_avg_future_7_day_sales,
+  round_even(AVG(monthly_sales) OVER (PARTITION BY product_name), 0) AS current_avg_monthly_sales,
+  round_even(AVG(discount_pct) OVER (PARTITION BY product_name), 0) AS current_avg_discount_pct
+FROM tr""")
+def q_group_means(spark, sf):
+    """Product means of next-week sales, monthly sales and discount on every training row."""
+    tr = FC.training_rows(base(spark, sf), ORDER_COLS)
+    cols = ["future_7_day_sales", "monthly_sales", "discount_pct"]
+    out = O.with_group_mean(tr, "product_name", cols, digits=0)
+    return out.select(*KEYS, "product_name", *[f"current_avg_{c}" for c in cols])
