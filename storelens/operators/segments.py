@@ -69,14 +69,19 @@ def segment_products(scaled: DataFrame, k: int = 3, restarts: int = 10, seed: in
     Returns (product, cluster) and the winning cost.  The frame has one row per
     product, so each fit is cheap; Spark ML distributes it all the same.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     data = scaled.select(key, array_to_vector("scaled").alias("features")).cache()
-    best, best_cost = None, None
-    for r in range(restarts):
+
+    def fit(r: int):
         model = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features",
                        predictionCol="cluster").fit(data)
-        cost = model.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = model, cost
+        return model.summary.trainingCost, r, model
+
+    # Restarts are independent jobs; submit them together (first seed wins ties).
+    with ThreadPoolExecutor(max_workers=max(1, restarts)) as pool:
+        fits = list(pool.map(fit, range(restarts)))
+    best_cost, _, best = min(fits, key=lambda f: (f[0], f[1]))
     out = best.transform(data).select(key, F.col("cluster").cast("int").alias("cluster"))
     data.unpersist()
     return out, float(best_cost)

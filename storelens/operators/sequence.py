@@ -43,6 +43,14 @@ def sequence_rows(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] =
     Returns the frame and the total row count.  The order key should be unique;
     ties are broken by the checkpointed layout and are then fixed for good.
     """
+    out, total, _ = _sequence(df, order_cols, by, partitions, ())
+    return out, total
+
+
+def _sequence(df: DataFrame, order_cols: Sequence[str], by: Sequence[str], partitions: int | None,
+              null_counts: Sequence[str]) -> tuple[DataFrame, int, dict[str, int]]:
+    """``sequence_rows`` plus the NULL count of each ``null_counts`` column, taken
+    from the same one-row-per-partition aggregate."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     keys = [*by, *order_cols]
@@ -51,9 +59,10 @@ def sequence_rows(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] =
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
     part = F.shiftright(F.col("_mid"), _POS_BITS)
-    counts = sorted(
-        (r["_part"], r["_n"])
-        for r in ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).collect())
+    nulls_agg = [F.sum(F.col(c).isNull().cast("long")).alias(f"_null_{i}") for i, c in enumerate(null_counts)]
+    per_part = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), *nulls_agg).collect()
+    counts = sorted((r["_part"], r["_n"]) for r in per_part)
+    nulls = {c: int(sum(r[f"_null_{i}"] or 0 for r in per_part)) for i, c in enumerate(null_counts)}
     offsets, running = [], 0
     for p, c in counts:
         offsets.append((int(p), running))
@@ -64,7 +73,7 @@ def sequence_rows(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] =
     out = (ranged.join(F.broadcast(off_df), part == F.col("_part"), "inner")
            .withColumn(SEQ, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(mask)))
            .drop("_mid", "_part", "_off"))
-    return out, running
+    return out, running, nulls
 
 
 def _bucket_size(total: int, halo: int, partitions: int, bucket_rows: int | None) -> int:
@@ -88,7 +97,7 @@ def with_shifts(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] = ()
     before ``pct_change``); the filled value replaces the source column.
     """
     shifts = dict(shifts or {})
-    seqd, total = sequence_rows(df, order_cols, by)
+    seqd, total, nulls = _sequence(df, order_cols, by, None, list(fill_forward))
     back = max([k for _, k in shifts.values() if k > 0], default=0)
     fwd = max([-k for _, k in shifts.values() if k < 0], default=0)
     size = _bucket_size(total, back + fwd, _shuffle_partitions(df), bucket_rows)
@@ -96,8 +105,9 @@ def with_shifts(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] = ()
 
     bucket = F.floor(F.col(SEQ) / F.lit(size)).cast("long")
     data = seqd.withColumn("_bucket", bucket)
-    if fill_forward:
-        data = _forward_fill(data, list(fill_forward), list(by))
+    gaps = [c for c in fill_forward if nulls.get(c, 0) > 0]
+    if gaps:  # only columns that actually hold NULLs need the fill pass
+        data = _forward_fill(data, gaps, list(by))
 
     pos = F.col(SEQ) - F.col("_bucket") * F.lit(size)
     targets = F.array(F.col("_bucket"))

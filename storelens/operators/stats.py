@@ -74,7 +74,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False,
-                     accuracy: int = 100000, exact_buffer_rows: int = 2_000_000) -> DataFrame:
+                     accuracy: int = 100000, exact_buffer_rows: int = 250_000) -> DataFrame:
     """Pandas ``describe()``: rows count, mean, std, min, 25%, 50%, 75%, max; one column per input.
 
     Quartiles are exact by default: with at most ``exact_buffer_rows`` values
