@@ -39,20 +39,31 @@ def baskets(df: DataFrame, txn: str = "transaction_id", item: str = "product_nam
 def frequent_itemsets(basket_df: DataFrame, min_support: float = 0.005,
                       num_partitions: int | None = None) -> tuple[DataFrame, int]:
     """Every itemset with support >= ``min_support``, all sizes.  Returns (itemsets, n baskets)."""
-    n = basket_df.count()
+    from pyspark import StorageLevel
+
+    from ..session import ensure_checkpoint_dir
+
     spark = basket_df.sparkSession
+    ensure_checkpoint_dir(spark)
+    held = basket_df.select("items").persist(StorageLevel.MEMORY_AND_DISK)
+    n = held.count()
     if n == 0:
+        held.unpersist()
         return spark.createDataFrame([], ITEMSET_SCHEMA), 0
     fp = FPGrowth(itemsCol="items", minSupport=min_support * (1 - 1e-9), minConfidence=1.0)
     if num_partitions:
         fp = fp.setNumPartitions(num_partitions)
-    model = fp.fit(basket_df.select("items"))
+    model = fp.fit(held)
     support = F.col("freq").cast("double") / F.lit(float(n))
+    # The model's itemset frame is lazy over the baskets; materialise it once (its size is
+    # bounded by the support threshold) so the rule joins do not re-run FP-growth.
     sets = (model.freqItemsets
             .select(F.array_sort("items").alias("items"), F.col("freq").cast("long").alias("freq"))
             .withColumn("support", support)
             .filter(F.col("support") >= F.lit(min_support))
-            .withColumn("length", F.size("items").cast("int")))
+            .withColumn("length", F.size("items").cast("int"))
+            .checkpoint(eager=True))
+    held.unpersist()
     return sets, n
 
 

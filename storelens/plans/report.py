@@ -46,7 +46,14 @@ def report_facts(df: DataFrame, order_cols: Sequence[str], predictions: DataFram
     ``predictions`` (scored rows) and ``clusters`` (product, cluster) are added
     when given.  ``digits`` rounds the values half-even (for stable comparison).
     """
-    prep = prepared(df)
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    needed = list(dict.fromkeys([*order_cols, "day_number", "iso_week", "is_weekend", "weather", "is_holiday",
+                                 "discount_pct", "total_sales", "product_name", "profit_margin", "category",
+                                 "season", "return_rate_pct", "month", "stock_after_sale", "transaction_id"]))
+    # Eight sections read the same week-filtered rows: materialise the narrow projection once.
+    prep = prepared(df).select(*needed).checkpoint(eager=True)
     coded = O.factorize(prep, "weather", order_cols).withColumn("holiday_code", holiday_flag("is_holiday"))
     corr = ST.correlation_pairs(coded, CORRELATION_FACTORS)
     rules = B.association_rules(B.frequent_itemsets(B.baskets(prep))[0])
