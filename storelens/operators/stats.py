@@ -73,13 +73,64 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
                     (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("value")))
 
 
+def band_quantiles(df: DataFrame, cols: Sequence[str], counts: dict[str, int],
+                   probs: Sequence[float] = PROBS, max_band: int = 20000) -> dict | None:
+    """Exact quantiles by selection in two aggregate passes, or None when not applicable.
+
+    Pass 1: ``percentile_approx`` brackets each target rank (rank error at most
+    n / accuracy, accuracy chosen so each bracket holds about ``max_band`` values
+    at most).  Pass 2: per (column, prob) the count below the bracket and the
+    sorted values inside it.  The answer is exact when the bracket is verified
+    to contain both interpolation ranks; otherwise None (caller sorts).
+    """
+    n_max = max(counts.values(), default=0)
+    if n_max == 0:
+        return {}
+    accuracy = int(min(max(10000, 8 * n_max / max_band), 1_000_000))
+    if 8 * n_max / accuracy > max_band:
+        return None
+    eps = 1.0 / accuracy
+    grid = [x for p in probs for x in (max(0.0, p - 3 * eps), min(1.0, p + 3 * eps))]
+    first = df.agg(*[F.percentile_approx(F.col(c), grid, accuracy).alias(f"b{i}")
+                     for i, c in enumerate(cols)]).first()
+    aggs = []
+    for i, c in enumerate(cols):
+        for j, _ in enumerate(probs):
+            br = first[f"b{i}"]
+            if br is None:
+                continue
+            lo, hi = br[2 * j], br[2 * j + 1]
+            x = F.col(c)
+            aggs += [F.count_if(x < F.lit(lo)).alias(f"below_{i}_{j}"),
+                     F.array_sort(F.collect_list(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), x)))
+                     .alias(f"band_{i}_{j}")]
+    second = df.agg(*aggs).first() if aggs else None
+    out = {}
+    for i, c in enumerate(cols):
+        n = int(counts.get(c, 0))
+        for j, p in enumerate(probs):
+            if n == 0:
+                out[(c, p)] = None
+                continue
+            h = (n - 1) * p
+            lo_rank = math.floor(h)
+            hi_rank = min(lo_rank + 1, n - 1)
+            below, vals = second[f"below_{i}_{j}"], second[f"band_{i}_{j}"]
+            if not (below <= lo_rank and hi_rank < below + len(vals)):
+                return None
+            a, b = vals[lo_rank - below], vals[hi_rank - below]
+            out[(c, p)] = a + (b - a) * (h - lo_rank)
+    return out
+
+
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False,
                      accuracy: int = 100000, exact_buffer_rows: int = 250_000) -> DataFrame:
     """Pandas ``describe()``: rows count, mean, std, min, 25%, 50%, 75%, max; one column per input.
 
     Quartiles are exact by default: with at most ``exact_buffer_rows`` values
     per column the in-memory ``percentile`` aggregate is used (its buffer is
-    bounded by that count); above it, the distributed sort in
+    bounded by that count); above it, a verified two-pass selection
+    (``band_quantiles``), and if that cannot be verified the distributed sort in
     ``exact_quantiles``.  ``approx=True`` uses ``percentile_approx``.
     """
     from pyspark import StorageLevel
@@ -100,7 +151,10 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: b
         quant = {(c, p): row[f"q{i}"][j] if row[f"q{i}"] else None
                  for i, c in enumerate(cols) for j, p in enumerate(PROBS)}
     else:
-        quant = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, cols).collect()}
+        counts = {c: int(mom[c]["count"]) for c in cols}
+        quant = band_quantiles(df, cols, counts)
+        if quant is None:  # bracket not verified or too wide: distributed sort
+            quant = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, cols).collect()}
     df.unpersist()
     rows = []
     for stat in STATS:

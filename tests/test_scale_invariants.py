@@ -70,3 +70,15 @@ def test_exact_quantiles_sorted_path_matches_percentile(spark):
         assert x["stat"] == y["stat"]
         for c in ["a", "b"]:
             assert abs(x[c] - y[c]) < 1e-9
+
+
+def test_band_quantiles_match_sort(spark):
+    rnd = random.Random(5)
+    vals = [(rnd.gauss(0, 1) * 50, float(rnd.randint(0, 3))) for _ in range(3001)]
+    df = spark.createDataFrame(vals, "a double, b double")
+    counts = {"a": 3001, "b": 3001}
+    band = ST.band_quantiles(df, ["a", "b"], counts, max_band=400)
+    assert band is not None
+    exact = {(r["column"], r["prob"]): r["value"] for r in ST.exact_quantiles(df, ["a", "b"]).collect()}
+    for k, v in exact.items():
+        assert abs(band[k] - v) < 1e-9
