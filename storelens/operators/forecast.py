@@ -49,7 +49,12 @@ def training_rows(df: DataFrame, order_cols: Sequence[str]) -> DataFrame:
 
 
 def vocabulary(df: DataFrame, cols: Sequence[str] = CATEGORICAL) -> dict[str, list[str]]:
-    """Sorted distinct values of each categorical column (one small aggregate per column)."""
+    """Sorted distinct values of each categorical column (one small aggregate per column).
+
+    Meant for categorical columns (weather, season, category, product): the
+    vocabulary becomes the stored feature list.  A column with a vocabulary in
+    the millions belongs in ``StringIndexer`` + ``OneHotEncoder`` (sparse) instead.
+    """
     return {c: sorted(r[0] for r in df.filter(F.col(c).isNotNull()).select(c).distinct().collect())
             for c in cols}
 
@@ -178,8 +183,8 @@ def predictions_by_product(scored: DataFrame, drop_first_product: bool = False,
     """
     src = scored.filter(F.col(key).isNotNull())
     if drop_first_product:
-        first = src.agg(F.min(key).alias("_first"))
-        src = src.join(F.broadcast(first), F.col(key) != F.col("_first")).drop("_first")
+        first = src.agg(F.min(key)).first()[0]  # one scalar
+        src = src.filter(F.col(key) != F.lit(first))
     return (src.groupBy(key)
             .agg(*[F.rint(F.avg(c)).cast("long").alias(c) for c in PREDICTIONS])
             .orderBy(key))
@@ -235,20 +240,30 @@ def load_models(spark: SparkSession, path: str) -> tuple[dict[str, PipelineModel
     return {t: PipelineModel.load(f"{path}/{t}") for t in features}, features
 
 
-def tune(frame: DataFrame, task: str, features: list[str], train_ratio: float = 0.8, seed: int = 42,
-         parallelism: int = 4) -> tuple[PipelineModel, dict]:
+# The search space of the reference's (commented-out) tuning run, in Spark ML terms.
+TUNE_GRID = {
+    "numTrees": [50, 100, 200],
+    "maxDepth": [10, 20, 30],
+    "minInstancesPerNode": [1, 5, 10],
+    "featureSubsetStrategy": ["0.5", "0.75", "sqrt", "log2", "all"],
+}
+
+
+def tune(frame: DataFrame, task: str, features: list[str], grid: Mapping[str, Sequence] | None = None,
+         train_ratio: float = 0.8, seed: int = 42, parallelism: int = 4) -> tuple[PipelineModel, dict]:
     """Grid search of the forest (trees, depth, min rows per leaf, features per split)
-    with a train/validation split, minimising MSE."""
+    with a train/validation split, minimising MSE.  Returns the refitted best pipeline and its
+    parameters."""
     vec = f"_features_{task}"
     rf = RandomForestRegressor(featuresCol=vec, labelCol=TARGETS[task], predictionCol=f"pred_{task}", seed=seed)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol=vec, handleInvalid="keep"), rf])
-    grid = (ParamGridBuilder().addGrid(rf.numTrees, [50, 100, 200]).addGrid(rf.maxDepth, [10, 20, 30])
-            .addGrid(rf.minInstancesPerNode, [1, 5, 10])
-            .addGrid(rf.featureSubsetStrategy, ["0.5", "0.75", "sqrt", "log2", "all"]).build())
+    builder = ParamGridBuilder()
+    for name, values in (grid or TUNE_GRID).items():
+        builder = builder.addGrid(rf.getParam(name), list(values))
+    maps = builder.build()
     evaluator = RegressionEvaluator(labelCol=TARGETS[task], predictionCol=f"pred_{task}", metricName="mse")
-    tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid, evaluator=evaluator,
+    tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=maps, evaluator=evaluator,
                                trainRatio=train_ratio, seed=seed, parallelism=parallelism)
     model = tvs.fit(frame)
-    best = min(range(len(grid)), key=lambda i: model.validationMetrics[i])
-    params = {p.name: v for p, v in grid[best].items()}
-    return model.bestModel, params
+    best = min(range(len(maps)), key=lambda i: model.validationMetrics[i])
+    return model.bestModel, {p.name: v for p, v in maps[best].items()}

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream source, watermark, time window, stateful operator
+or late-data rule (SURVEY section 2.K), so there is nothing to rebuild here.
+Every analysis in this library is a batch DataFrame program; a user who wants
+incremental runs can call them from ``foreachBatch`` on their own stream.
+"""

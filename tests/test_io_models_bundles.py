@@ -121,3 +121,13 @@ def test_bundles(spark, sales):
     assert dash["bought_together"].count() <= 10
     facts = RP.report_facts(sales, ORDER_COLS)
     assert facts.columns == RP.FACT_COLUMNS
+
+
+def test_tune_small_grid(spark, sales):
+    rows = FC.training_rows(sales, ORDER_COLS)
+    vocab = FC.vocabulary(rows)
+    frame = FC.with_features(rows, vocab)
+    feats = FC.feature_sets(vocab)
+    model, params = FC.tune(frame, "weekly", feats["weekly"], grid={"numTrees": [3, 5], "maxDepth": [2, 3]})
+    assert set(params) == {"numTrees", "maxDepth"}
+    assert model.transform(frame).select("pred_weekly").count() == frame.count()
