@@ -124,28 +124,17 @@ def promotion_candidates(sensitivity: DataFrame, rows: DataFrame, min_ratio: flo
     """Products with ratio > ``min_ratio`` and price change < ``max_price_change``,
     joined to the distinct (product, margin) pairs of the rows, largest margin first, top ``n``.
 
-    The top ``n`` distinct pairs are among the first ``k`` rows in (margin desc,
-    product) order as soon as those ``k`` rows hold ``n`` distinct pairs.  ``k``
-    starts at ``n`` and grows only when duplicates crowd the top, so the rows
-    are never de-duplicated through a full shuffle: each pass is a per-task
-    top-k (``TakeOrderedAndProject``).
+    One pass over the rows: reduced to two columns and semi-joined to the
+    candidate products (one row per product), de-duplicated with a partial
+    aggregate (repeated pairs collapse inside each task before the shuffle),
+    then a top-n.  Alternatives that avoid the de-duplication shuffle need a
+    second pass over the rows, which costs more: every pass over the derived
+    view re-runs its fact-table joins.
     """
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(rows.sparkSession)
-    # One row per product: materialised once so neither pass recomputes the sensitivity job.
     picked = sensitivity.filter((F.col("price_sensitivity_ratio") > F.lit(min_ratio))
-                                & (F.col("price_change_pct") < F.lit(max_price_change))).checkpoint(eager=True)
+                                & (F.col("price_change_pct") < F.lit(max_price_change)))
+    pairs = rows.select(key, "profit_margin").join(picked.select(key), key, "left_semi").distinct()
+    joined = picked.join(pairs, key, "inner")
     order = [F.col("profit_margin").desc_nulls_last(), F.col(key)]
-    pairs = rows.select(key, "profit_margin").join(picked.select(key), key, "left_semi")
-    k = n
-    while True:
-        head = pairs.orderBy(*order).limit(k).collect()  # at most k rows
-        distinct = list(dict.fromkeys((r[key], r["profit_margin"]) for r in head))
-        if len(distinct) >= n or len(head) < k:
-            break
-        k *= 4
-    schema = pairs.schema
-    top_pairs = rows.sparkSession.createDataFrame(distinct[:n], schema)
-    top = picked.join(top_pairs, key, "inner").orderBy(*order).limit(n)
+    top = joined.orderBy(*order).limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("int"))
