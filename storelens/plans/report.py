@@ -101,12 +101,20 @@ def analysis_frame(df: DataFrame) -> DataFrame:
     return clean(typed, subset=["date"], fill=0)
 
 
-def data_analysis(df: DataFrame, persist: bool = True) -> dict[str, DataFrame]:
-    """The analysis service's seven results from one cleaned frame."""
+KEY_COLUMNS = ("transaction_id", "line_no", "part_key", "supp_key")
+
+
+def data_analysis(df: DataFrame, persist: bool = True,
+                  exclude: Sequence[str] = KEY_COLUMNS) -> dict[str, DataFrame]:
+    """The analysis service's seven results from one cleaned frame.
+
+    The correlation summary covers every numeric column except identifiers
+    (``exclude``), which are numbers only because of how the keys are stored.
+    """
     cleaned = enriched(analysis_frame(df))
     if persist:
         cleaned = cleaned.persist(StorageLevel.MEMORY_AND_DISK)
-    numeric = [c for c in columns_of_type(df, "numeric")]
+    numeric = [c for c in columns_of_type(df, "numeric") if c not in set(exclude)]
     summary = ST.correlation_summary(cleaned, numeric) if numeric else None
     out = {
         "correlation_summary": ST.correlation_summary_text(summary) if summary is not None else
