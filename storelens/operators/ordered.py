@@ -79,26 +79,31 @@ def latest_per(df: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
             .select(key, *[F.col(f"_row.{c}").alias(c) for c in others]))
 
 
-def factorize(df: DataFrame, col: str, order_cols: Sequence[str], out: str | None = None) -> DataFrame:
-    """Integer code by first appearance in row order; NULL is -1.
+def factor_codes(df: DataFrame, col: str, order_cols: Sequence[str], out: str | None = None) -> DataFrame:
+    """The E8 code table: (value, code), codes by first appearance in row order.
 
-    The first position of each value is a partial ``min`` aggregate; codes are
-    numbered on that one-row-per-value table and joined back (broadcast by AQE
-    when small, which a categorical column always is).
+    The first position of each value is a partial ``min`` aggregate (one row per
+    value); the values are then numbered with the sequence primitive, so even a
+    column with millions of distinct values is numbered in bounded tasks.
     """
+    from .sequence import SEQ, sequence_rows
+
     out = out or f"{col}_code"
     first = (df.filter(F.col(col).isNotNull()).groupBy(col)
              .agg(F.min(F.struct(*[F.col(c) for c in order_cols])).alias("_first")))
-    codes = first.select(col, (F.row_number().over(Window.orderBy("_first")) - 1).cast("int").alias(out))
-    return df.join(codes, col, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
+    numbered, _ = sequence_rows(first, ["_first"])
+    return numbered.select(col, F.col(SEQ).cast("int").alias(out))
 
 
-def factor_codes(df: DataFrame, col: str, order_cols: Sequence[str], out: str | None = None) -> DataFrame:
-    """The E8 code table itself: (value, code)."""
+def factorize(df: DataFrame, col: str, order_cols: Sequence[str], out: str | None = None) -> DataFrame:
+    """Integer code by first appearance in row order; NULL is -1.
+
+    The code table (one row per value) is joined back; AQE broadcasts it when
+    it is small, which a categorical column's always is.
+    """
     out = out or f"{col}_code"
-    first = (df.filter(F.col(col).isNotNull()).groupBy(col)
-             .agg(F.min(F.struct(*[F.col(c) for c in order_cols])).alias("_first")))
-    return first.select(col, (F.row_number().over(Window.orderBy("_first")) - 1).cast("int").alias(out))
+    codes = factor_codes(df, col, order_cols, out)
+    return df.join(codes, col, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
 
 
 def growth_by_product(grown: DataFrame, key: str = "product_name") -> DataFrame:

@@ -76,11 +76,14 @@ def _sequence(df: DataFrame, order_cols: Sequence[str], by: Sequence[str], parti
     return out, running, nulls
 
 
+MAX_BUCKET_ROWS = 1_000_000  # the window operator buffers one whole bucket
+
+
 def _bucket_size(total: int, halo: int, partitions: int, bucket_rows: int | None) -> int:
     if bucket_rows:
         size = bucket_rows
     else:
-        size = max(math.ceil(total / max(partitions, 1)), 1024)
+        size = min(max(math.ceil(total / max(partitions, 1)), 1024), MAX_BUCKET_ROWS)
     return max(size, 4 * halo + 1)
 
 
