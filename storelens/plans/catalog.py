@@ -775,3 +775,26 @@ def q_group_means(spark, sf):
     cols = ["future_7_day_sales", "monthly_sales", "discount_pct"]
     out = O.with_group_mean(tr, "product_name", cols, digits=0)
     return out.select(*KEYS, "product_name", *[f"current_avg_{c}" for c in cols])
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+from ..sources import files as IO  # noqa: E402
+
+
+@register("transaction_product_records", """
+, c AS (SELECT transaction_id, product_name, CAST(COUNT(*) AS BIGINT) AS rows FROM prepared GROUP BY 1, 2)
+SELECT CAST(to_json({'transaction_id': transaction_id, 'product_name': product_name, 'rows': rows}) AS VARCHAR) AS json
+FROM c""")
+def q_transaction_product_records(spark, sf):
+    """A5: D23's rows as JSON records (one object per row)."""
+    return IO.to_records(S.transaction_product_counts(prep(spark, sf)))
+
+
+@register("validated_dates", f"""
+SELECT {KEYS_SQL}, strftime(CAST(TRY_CAST(CAST(date AS VARCHAR) AS TIMESTAMP) AS DATE), '%Y-%m-%d') AS date FROM sales""")
+def q_validated_dates(spark, sf):
+    """A7 + B21: dates re-parsed from text; the job fails if any is missing or invalid."""
+    df = base(spark, sf).select(*KEYS, F.col("date").cast("string").alias("date"))
+    checked = IO.reject_invalid_dates(df)
+    return checked.select(*KEYS, F.date_format("date", "yyyy-MM-dd").alias("date"))
