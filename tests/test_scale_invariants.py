@@ -82,3 +82,36 @@ def test_band_quantiles_match_sort(spark):
     exact = {(r["column"], r["prob"]): r["value"] for r in ST.exact_quantiles(df, ["a", "b"]).collect()}
     for k, v in exact.items():
         assert abs(band[k] - v) < 1e-9
+
+
+def _brute_shift_ffill(data, k):
+    """Per group in order: forward-fill v, then the filled value k rows back."""
+    by = {}
+    for o, g, v in sorted(data, key=lambda r: (r[1], r[0])):
+        by.setdefault(g, []).append((o, v))
+    out = {}
+    for items in by.values():
+        filled, last = [], None
+        for o, v in items:
+            last = v if v is not None else last
+            filled.append((o, last))
+        for i, (o, f) in enumerate(filled):
+            out[o] = (f, filled[i - k][1] if i - k >= 0 else None)
+    return out
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(n=st.integers(20, 240), groups=st.integers(1, 4), null_rate=st.floats(0.0, 0.9),
+       bucket=st.integers(8, 64), k=st.integers(1, 5), seed=st.integers(0, 10_000))
+def test_shift_with_fill_matches_brute_force(spark, n, groups, null_rate, bucket, k, seed):
+    rnd = random.Random(seed)
+    data = [(i, f"g{rnd.randrange(groups)}", None if rnd.random() < null_rate else float(rnd.randint(1, 99)))
+            for i in range(n)]
+    df = spark.createDataFrame(data, "o int, g string, v double")
+    out = Q.with_shifts(df, ["o"], ["g"], {"p": ("v", k)}, fill_forward=["v"], bucket_rows=bucket)
+    want = _brute_shift_ffill(data, k)
+    got = {r["o"]: (r["v"], r["p"]) for r in out.collect()}
+    assert got == want
