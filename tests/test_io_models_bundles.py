@@ -85,6 +85,10 @@ def test_training_selection_scoring(spark, sales):
     cols = key + ["predicted_next_week_sales", "predicted_next_month_sales", "predicted_discount_pct"]
     assert again.select(*cols).exceptAll(scored.select(*cols)).count() == 0
 
+    dash = RP.dashboard_analysis(sales, ORDER_COLS, models, feats, vocab)
+    assert dash["current_vs_predicted"].count() == per.count()
+    assert dash["stock_sufficiency"].count() == per.count()
+
     row = {"temperature_c": 25.0, "humidity_pct": 70, "precipitation_mm": 0.0, "wind_speed_kmh": 10.0,
            "is_holiday_flag": 0, "is_weekend": 0, "is_special_event": 1, "day": 15, "month": 7, "year": 2023,
            "weather": "Sunny", "season": "Summer", "category": vocab["category"][0],
