@@ -40,11 +40,21 @@ def _safe(name: str) -> str:
     return re.sub(r"[^0-9A-Za-z_]", "_", name)
 
 
-def training_rows(df: DataFrame, order_cols: Sequence[str]) -> DataFrame:
+def training_rows(df: DataFrame, order_cols: Sequence[str], materialize: bool = True) -> DataFrame:
     """The training table: lags 1/7/14 and the 7-row lead per product (E1, E2), rows with a
-    missing lag or lead dropped (B16), then the (product, month) quantity total (C2)."""
+    missing lag or lead dropped (B16), then the (product, month) quantity total (C2).
+
+    The lagged rows feed several aggregates joined back (monthly totals, group
+    means, latest rows) and every model fit; ``materialize`` writes them once as
+    a reliable checkpoint so the windowed stage is not recomputed per branch.
+    """
+    from ..session import ensure_checkpoint_dir
+
     shifted = with_lags(df, order_cols)
     kept = shifted.na.drop(subset=["sales_lag_1", "sales_lag_7", "sales_lag_14", "future_7_day_sales"])
+    if materialize:
+        ensure_checkpoint_dir(df.sparkSession)
+        kept = kept.checkpoint(eager=True)
     return with_monthly_sales(kept)
 
 

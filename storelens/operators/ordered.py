@@ -136,8 +136,13 @@ def promotion_candidates(sensitivity: DataFrame, rows: DataFrame, min_ratio: flo
     second pass over the rows, which costs more: every pass over the derived
     view re-runs its fact-table joins.
     """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(rows.sparkSession)
+    # One row per product, referenced twice below: materialised so the windowed
+    # sensitivity job runs once.
     picked = sensitivity.filter((F.col("price_sensitivity_ratio") > F.lit(min_ratio))
-                                & (F.col("price_change_pct") < F.lit(max_price_change)))
+                                & (F.col("price_change_pct") < F.lit(max_price_change))).checkpoint(eager=True)
     pairs = rows.select(key, "profit_margin").join(picked.select(key), key, "left_semi").distinct()
     joined = picked.join(pairs, key, "inner")
     order = [F.col("profit_margin").desc_nulls_last(), F.col(key)]
