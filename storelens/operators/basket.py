@@ -49,7 +49,9 @@ def frequent_itemsets(basket_df: DataFrame, min_support: float = 0.005,
     n = held.count()
     if n == 0:
         held.unpersist()
-        return spark.createDataFrame([], ITEMSET_SCHEMA), 0
+        from ..session import literal_frame
+
+        return literal_frame(spark, [], ITEMSET_SCHEMA), 0
     fp = FPGrowth(itemsCol="items", minSupport=min_support * (1 - 1e-9), minConfidence=1.0)
     if num_partitions:
         fp = fp.setNumPartitions(num_partitions)

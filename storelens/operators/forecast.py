@@ -162,7 +162,9 @@ def train_all(frame: DataFrame, features: Mapping[str, list[str]], models: Mappi
     schema = T.StructType([T.StructField("task", T.StringType()), T.StructField("model", T.StringType()),
                            T.StructField("mse", T.DoubleType()), T.StructField("r2", T.DoubleType()),
                            T.StructField("selected", T.BooleanType())])
-    return winners, frame.sparkSession.createDataFrame(rows, schema)
+    from ..session import literal_frame
+
+    return winners, literal_frame(frame.sparkSession, rows, schema)
 
 
 def score(frame: DataFrame, models: Mapping[str, PipelineModel], features: Mapping[str, list[str]],

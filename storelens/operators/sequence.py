@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, literal_frame
 
 _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | position in partition
 SEQ = "_seq"
@@ -68,7 +68,7 @@ def _sequence(df: DataFrame, order_cols: Sequence[str], by: Sequence[str], parti
         offsets.append((int(p), running))
         running += int(c)
     schema = T.StructType([T.StructField("_part", T.LongType()), T.StructField("_off", T.LongType())])
-    off_df = spark.createDataFrame(offsets or [(0, 0)], schema)
+    off_df = literal_frame(spark, offsets or [(0, 0)], schema)
     mask = (1 << _POS_BITS) - 1
     out = (ranged.join(F.broadcast(off_df), part == F.col("_part"), "inner")
            .withColumn(SEQ, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(mask)))

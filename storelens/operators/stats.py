@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.schema import columns_of_type
+from ..session import literal_frame
 from .sequence import SEQ, sequence_rows
 
 STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
@@ -62,7 +63,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
     schema = T.StructType([T.StructField("_c", T.IntegerType()), T.StructField("prob", T.DoubleType()),
                            T.StructField("_lo", T.LongType()), T.StructField("_hi", T.LongType()),
                            T.StructField("_frac", T.DoubleType())])
-    spots = spark.createDataFrame(wanted, schema)
+    spots = literal_frame(spark, wanted, schema)
     positions = spots.select(F.explode(F.array("_lo", "_hi")).alias(SEQ)).distinct()
     picked = seqd.join(F.broadcast(positions), SEQ, "inner").select(SEQ, "_v")
     lo_v = picked.select(F.col(SEQ).alias("_lo"), F.col("_v").alias("_vlo"))
@@ -167,7 +168,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: b
         rows.append((stat, *[None if v is None else float(v) for v in vals]))
     schema = T.StructType([T.StructField("stat", T.StringType())]
                           + [T.StructField(c, T.DoubleType()) for c in cols])
-    return spark.createDataFrame(rows, schema)
+    return literal_frame(spark, rows, schema)
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -234,7 +235,7 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             out.append((cols[i], cols[j], i * k + j, r))
     schema = T.StructType([T.StructField("col1", T.StringType()), T.StructField("col2", T.StringType()),
                            T.StructField("ordinal", T.IntegerType()), T.StructField("correlation", T.DoubleType())])
-    return spark.createDataFrame(out, schema)
+    return literal_frame(spark, out, schema)
 
 
 def sales_factor_correlation(df: DataFrame, target: str = "total_sales",

@@ -118,8 +118,8 @@ def data_analysis(df: DataFrame, persist: bool = True,
     summary = ST.correlation_summary(cleaned, numeric) if numeric else None
     out = {
         "correlation_summary": ST.correlation_summary_text(summary) if summary is not None else
-        cleaned.sparkSession.createDataFrame([("No numeric data available for correlation analysis.",)],
-                                             "correlation_summary string"),
+        cleaned.sparkSession.range(1).select(
+            F.lit("No numeric data available for correlation analysis.").alias("correlation_summary")),
         "category_sales": S.total_and_average_sales(cleaned, "category"),
         "weather_sales": S.total_and_average_sales(cleaned, "weather"),
         "monthly_sales_over_year": S.monthly_sales_over_year(cleaned),

@@ -70,3 +70,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="storelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def literal_frame(spark: SparkSession, rows, schema) -> "DataFrame":
+    """A small frame from Python values as an inline table (JVM only, no Python RDD).
+
+    For bounded tables built from aggregates (partition offsets, statistics);
+    ``schema`` is a ``StructType``.
+    """
+    from pyspark.sql import functions as F
+
+    fields = list(schema.fields)
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
