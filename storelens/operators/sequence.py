@@ -54,8 +54,10 @@ def _sequence(df: DataFrame, order_cols: Sequence[str], by: Sequence[str], parti
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     keys = [*by, *order_cols]
-    n = partitions or _shuffle_partitions(df)
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # Without an explicit count AQE may merge adjacent small range partitions;
+    # merged partitions stay contiguous, so positions are still in key order.
+    spread = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    ranged = (spread.sortWithinPartitions(*keys)
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
     part = F.shiftright(F.col("_mid"), _POS_BITS)
