@@ -39,18 +39,13 @@ def baskets(df: DataFrame, txn: str = "transaction_id", item: str = "product_nam
 def frequent_itemsets(basket_df: DataFrame, min_support: float = 0.005,
                       num_partitions: int | None = None) -> tuple[DataFrame, int]:
     """Every itemset with support >= ``min_support``, all sizes.  Returns (itemsets, n baskets)."""
-    from pyspark import StorageLevel
-
-    from ..session import ensure_checkpoint_dir
+    from ..session import literal_frame, materialize
 
     spark = basket_df.sparkSession
-    ensure_checkpoint_dir(spark)
-    held = basket_df.select("items").persist(StorageLevel.MEMORY_AND_DISK)
+    # Counted, then read by FP-growth: written once (with AQE-sized partitions).
+    held = materialize(basket_df.select("items"))
     n = held.count()
     if n == 0:
-        held.unpersist()
-        from ..session import literal_frame
-
         return literal_frame(spark, [], ITEMSET_SCHEMA), 0
     fp = FPGrowth(itemsCol="items", minSupport=min_support * (1 - 1e-9), minConfidence=1.0)
     if num_partitions:
@@ -65,7 +60,6 @@ def frequent_itemsets(basket_df: DataFrame, min_support: float = 0.005,
             .filter(F.col("support") >= F.lit(min_support))
             .withColumn("length", F.size("items").cast("int"))
             .checkpoint(eager=True))
-    held.unpersist()
     return sets, n
 
 

@@ -140,7 +140,9 @@ def train_all(frame: DataFrame, features: Mapping[str, list[str]], models: Mappi
     from concurrent.futures import ThreadPoolExecutor
 
     models = models or candidates()
-    split = hash_split(frame, key_cols, test_fraction).cache()
+    from ..session import materialize
+
+    split = materialize(hash_split(frame, key_cols, test_fraction))
     train, test = split.filter("is_test = 0"), split.filter("is_test = 1")
 
     def fit_one(job):
@@ -158,7 +160,6 @@ def train_all(frame: DataFrame, features: Mapping[str, list[str]], models: Mappi
         best = min(mine, key=lambda r: r[2])
         winners[task] = best[4]
         rows += [(task, n, mse, r2, n == best[1]) for _, n, mse, r2, _ in mine]
-    split.unpersist()
     schema = T.StructType([T.StructField("task", T.StringType()), T.StructField("model", T.StringType()),
                            T.StructField("mse", T.DoubleType()), T.StructField("r2", T.DoubleType()),
                            T.StructField("selected", T.BooleanType())])

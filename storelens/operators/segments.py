@@ -71,7 +71,9 @@ def segment_products(scaled: DataFrame, k: int = 3, restarts: int = 10, seed: in
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    data = scaled.select(key, array_to_vector("scaled").alias("features")).cache()
+    from ..session import materialize
+
+    data = materialize(scaled.select(key, array_to_vector("scaled").alias("features")))
 
     def fit(r: int):
         model = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features",
@@ -83,7 +85,6 @@ def segment_products(scaled: DataFrame, k: int = 3, restarts: int = 10, seed: in
         fits = list(pool.map(fit, range(restarts)))
     best_cost, _, best = min(fits, key=lambda f: (f[0], f[1]))
     out = best.transform(data).select(key, F.col("cluster").cast("int").alias("cluster"))
-    data.unpersist()
     return out, float(best_cost)
 
 

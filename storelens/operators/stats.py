@@ -134,11 +134,11 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: b
     (``band_quantiles``), and if that cannot be verified the distributed sort in
     ``exact_quantiles``.  ``approx=True`` uses ``percentile_approx``.
     """
-    from pyspark import StorageLevel
+    from ..session import materialize
 
     cols = list(cols or columns_of_type(df, "numeric"))
     spark = df.sparkSession
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    df = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
     mom = _moments(df, cols)
     if approx:
         row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), PROBS, accuracy).alias(f"q{i}")
@@ -156,7 +156,6 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: b
         quant = band_quantiles(df, cols, counts)
         if quant is None:  # bracket not verified or too wide: distributed sort
             quant = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, cols).collect()}
-    df.unpersist()
     rows = []
     for stat in STATS:
         vals = []
@@ -180,13 +179,13 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     (only rows where both are present), with masked sums.  A constant column
     gives NULL, never an ANSI divide error.
     """
-    from pyspark import StorageLevel
+    from ..session import materialize
 
     cols = list(cols)
     k = len(cols)
     spark = df.sparkSession
-    # Both passes read only these columns: keep them instead of recomputing the input.
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    # Both passes read only these columns: write them once instead of recomputing the input.
+    df = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
     xs = [F.col(c) for c in cols]
     first = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
                    *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
@@ -209,7 +208,6 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                          F.sum(dj * dj).alias(f"bb_{i}_{j}"), F.sum(di * dj).alias(f"p_{i}_{j}")]
                 plan[(i, j)] = "pairwise"
     sums = df.agg(*aggs).first() if aggs else None
-    df.unpersist()
     out = []
     for i in range(k):
         for j in range(k):

@@ -1,16 +1,15 @@
 """Result bundles (J1-J4): the dashboard's and the analysis service's analyses as Spark jobs.
 
 Bundles are ``dict[str, DataFrame]``: nothing is collected; the caller decides
-which tables to write or show.  The shared base frame is persisted once
-(memory and disk; recomputable from lineage if an executor is lost) so the
-dozen analyses do not each re-read and re-join the sources.
+which tables to write or show.  The shared base frame is written once as a
+reliable checkpoint (survives executor loss, AQE-sized partitions) so the dozen
+analyses do not each re-read and re-join the sources.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from ..operators import segments as G
 from ..operators import stats as ST
 from ..sources.files import clean, parse_date
 from ..sources.schema import ANALYSIS_REQUIRED, columns_of_type, require_columns
+from ..session import materialize
 from ..sources.tables import enriched, prepared
 
 FACT_COLUMNS = ["section", "item", "metric", "value"]
@@ -113,7 +113,7 @@ def data_analysis(df: DataFrame, persist: bool = True,
     """
     cleaned = enriched(analysis_frame(df))
     if persist:
-        cleaned = cleaned.persist(StorageLevel.MEMORY_AND_DISK)
+        cleaned = materialize(cleaned)
     numeric = [c for c in columns_of_type(df, "numeric") if c not in set(exclude)]
     summary = ST.correlation_summary(cleaned, numeric) if numeric else None
     out = {
@@ -138,7 +138,7 @@ def dashboard_analysis(df: DataFrame, order_cols: Sequence[str], models: Mapping
     raw = enriched(df)
     prep = prepared(df)
     if persist:
-        prep = prep.persist(StorageLevel.MEMORY_AND_DISK)
+        prep = materialize(prep)
     sens = O.price_sensitivity(O.with_product_change(prep, order_cols))
     vec, weeks = G.product_week_vectors(prep)
     scaled = G.standardise_weekly(vec)

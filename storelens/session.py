@@ -85,3 +85,14 @@ def literal_frame(spark: SparkSession, rows, schema) -> "DataFrame":
         return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
     structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def materialize(df: "DataFrame") -> "DataFrame":
+    """Write ``df`` once as a reliable checkpoint and return the frame reading it back.
+
+    Used where a frame is read several times (multi-pass statistics, model
+    fits).  Unlike ``cache()``, the checkpoint is computed with AQE (so small
+    results get coalesced partitions), cuts lineage and survives executor loss.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
