@@ -107,14 +107,26 @@ def hash_split(df: DataFrame, key_cols: Sequence[str], test_fraction: float = 0.
     return df.withColumn("is_test", (h >= F.lit(threshold)).cast("int"))
 
 
-def candidates(seed: int = 42, forest_depth: int = 12) -> dict:
+def task_memory_mb(spark: SparkSession) -> int:
+    """Configured memory of one executor (the driver in local mode), in MB."""
+    conf = spark.sparkContext.getConf()
+    key = "spark.driver.memory" if spark.sparkContext.master.startswith("local") else "spark.executor.memory"
+    text = (conf.get(key, None) or "1g").strip().lower()
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    if text[-1] in units:
+        return int(float(text[:-1]) * units[text[-1]])
+    return int(float(text) / (1024 * 1024))
+
+
+def candidates(seed: int = 42, forest_depth: int = 12, forest_memory_mb: int = 256) -> dict:
     """I12-I14 with library defaults: a 100-tree forest using all features per split
     (depth capped, Spark trees are depth-limited), 100 boosting rounds at rate 0.1 depth 3,
-    and 100 rounds at rate 0.3 depth 6."""
+    and 100 rounds at rate 0.3 depth 6.  ``forest_memory_mb`` bounds the forest's per-task
+    split statistics (more passes over the data when smaller, same model)."""
     return {
         "random_forest": lambda f, l, p: RandomForestRegressor(
             featuresCol=f, labelCol=l, predictionCol=p, numTrees=100, maxDepth=forest_depth,
-            featureSubsetStrategy="all", seed=seed),
+            featureSubsetStrategy="all", seed=seed, maxMemoryInMB=forest_memory_mb),
         "gradient_boosting": lambda f, l, p: GBTRegressor(
             featuresCol=f, labelCol=l, predictionCol=p, maxIter=100, stepSize=0.1, maxDepth=3, seed=seed),
         "boosted_trees": lambda f, l, p: GBTRegressor(
@@ -134,12 +146,23 @@ def train_all(frame: DataFrame, features: Mapping[str, list[str]], models: Mappi
     """I16 + I17: for each task fit every candidate on the train split, score the test
     split (I15), keep the lowest-MSE model.  Returns the winners and the metrics table.
 
-    Fits are independent Spark jobs; ``parallelism`` of them are submitted at once
-    from driver threads so small boosting iterations overlap.
+    Fits are independent Spark jobs; up to ``parallelism`` of them are submitted
+    at once from driver threads so small boosting iterations overlap.  Both the
+    concurrency and the forest's per-task statistics budget are sized from the
+    configured executor memory, so a small heap runs the fits one by one.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    models = models or candidates()
+    spark = frame.sparkSession
+    mem_mb = task_memory_mb(spark)
+    if spark.sparkContext.master.startswith("local"):
+        cores = max(1, spark.sparkContext.defaultParallelism)
+    else:
+        cores = int(spark.sparkContext.getConf().get("spark.executor.cores", "4"))
+    parallelism = max(1, min(parallelism, mem_mb // 2048))
+    # At most ``cores`` tasks hold forest statistics at once in one executor heap.
+    budget = int(max(16, min(256, mem_mb / (4 * cores))))
+    models = models or candidates(forest_memory_mb=budget)
     from ..session import materialize
 
     split = materialize(hash_split(frame, key_cols, test_fraction))

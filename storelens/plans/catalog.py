@@ -798,3 +798,8 @@ def q_validated_dates(spark, sf):
     df = base(spark, sf).select(*KEYS, F.col("date").cast("string").alias("date"))
     checked = IO.reject_invalid_dates(df)
     return checked.select(*KEYS, F.date_format("date", "yyyy-MM-dd").alias("date"))
+
+
+# Model-fitting queries run last: they are the longest and the most memory-hungry.
+for _name in ["model_selection", "product_predictions", "current_vs_predicted", "stock_sufficiency_predicted"]:
+    QUERIES[_name] = QUERIES.pop(_name)
