@@ -72,19 +72,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, int):
+        return f"{v}L"
+    if isinstance(v, float):
+        if v != v or v in (float("inf"), float("-inf")):
+            return f"CAST('{v}' AS DOUBLE)"
+        return f"{v!r}D"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_frame(spark: SparkSession, rows, schema) -> "DataFrame":
-    """A small frame from Python values as an inline table (JVM only, no Python RDD).
+    """A small frame from Python values as one inline ``VALUES`` table (JVM only, no Python RDD).
 
     For bounded tables built from aggregates (partition offsets, statistics);
-    ``schema`` is a ``StructType``.
+    ``schema`` is a ``StructType`` of atomic types.  One SQL statement, so the
+    cost stays flat even for tens of thousands of rows (one per partition).
     """
     from pyspark.sql import functions as F
 
     fields = list(schema.fields)
     if not rows:
         return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    body = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
+    cols = ", ".join(f"CAST(col{i + 1} AS {f.dataType.simpleString()}) AS `{f.name}`" for i, f in enumerate(fields))
+    return spark.sql(f"SELECT {cols} FROM VALUES {body}")
 
 
 def materialize(df: "DataFrame") -> "DataFrame":

@@ -115,3 +115,26 @@ def test_shift_with_fill_matches_brute_force(spark, n, groups, null_rate, bucket
     want = _brute_shift_ffill(data, k)
     got = {r["o"]: (r["v"], r["p"]) for r in out.collect()}
     assert got == want
+
+
+def test_literal_frame_round_trip_and_flat_cost(spark):
+    import math
+    import time
+
+    from pyspark.sql import types as T
+
+    from storelens.session import literal_frame
+
+    schema = T.StructType([T.StructField("a", T.DoubleType()), T.StructField("b", T.StringType()),
+                           T.StructField("c", T.LongType()), T.StructField("d", T.BooleanType())])
+    rows = [(1e-05, "it's", 2 ** 40, True), (-2.5, "back\\slash", None, False), (float("nan"), None, 0, None),
+            (float("inf"), "x", -1, True), (5e-324, "Brand#1", 3, False)]
+    got = [tuple(r) for r in literal_frame(spark, rows, schema).collect()]
+    for want, g in zip(rows, got):
+        for x, y in zip(want, g):
+            assert x == y or (isinstance(x, float) and math.isnan(x) and math.isnan(y))
+    # one row per partition at cluster scale must not cost per-row driver calls
+    t0 = time.time()
+    big = literal_frame(spark, [(i, i * 3) for i in range(20000)],
+                        T.StructType([T.StructField("p", T.LongType()), T.StructField("o", T.LongType())]))
+    assert big.count() == 20000 and time.time() - t0 < 60
