@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 
 from ..functions.calendar import holiday_flag
 from ..functions.numeric import half_even, sanitize
-from ..sources.schema import align_features
 from .ordered import latest_per, with_group_mean, with_lags
 from .sales import with_monthly_sales
 from .stats import regression_metrics

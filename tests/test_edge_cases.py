@@ -1,12 +1,11 @@
 """Hand-made edge frames (FIXTURES.md section 4) with hand-computed answers."""
 
 import datetime as dt
-import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import rows
+
 from storelens.functions import calendar as C
 from storelens.functions import numeric as N
 from storelens.functions import text as X

@@ -1,6 +1,5 @@
 """Sources/sinks, forecasting chain invariants and the J3/J4 bundles (sf0.001)."""
 
-import os
 import tempfile
 
 import pytest
