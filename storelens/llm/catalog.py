@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, shared_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -27,6 +27,12 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+    return count_tokens(read_table(spark, sf_dir, "documents"), shared_path(spark, "token-files"))
+
+
 @register("op3_exact_dedup", r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -43,6 +49,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+@register("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+@register("op6_token_ids")
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair_tokens import read_token_ids, write_token_ids
+    path = shared_path(spark, "token-ids")
+    write_token_ids(read_table(spark, sf_dir, "documents"), path)
+    return read_token_ids(spark, path)
+
+
 @register("op9_source_mixing")
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources

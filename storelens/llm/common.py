@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from functools import reduce
 
@@ -47,3 +49,8 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     renamed = right.withColumnsRenamed({k: f"_right{k}" for k in keys})
     cond = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_right{k}")) for k in keys])
     return left.join(renamed, cond, how).drop(*[f"_right{k}" for k in keys])
+
+
+def worker_state() -> dict:
+    """A dictionary that a Python worker process keeps across its tasks (for bounded caches)."""
+    return sys.modules.setdefault("_storelens_worker", types.ModuleType("_storelens_worker")).__dict__
