@@ -61,8 +61,8 @@ def exact_groups(docs: DataFrame, first_bytes: int = FIRST_BYTES, growth: int =
         cut = rows.withColumns(_split(F.col("_rest"), width))
         keys = [*group, "_head", "_ended"]
         twice = _repeated(cut, keys, f"radix-keys-{level}")
-        # The keys side is stored, so its size is known: broadcast when small, else a join that can split a hot key.
-        joined = cut.join(twice, keys, "left")
+        # Always a merge join: the keys grow with the data, and adaptive execution can split a hot key of it.
+        joined = cut.join(twice.hint("merge"), keys, "left")
         if level == 0:
             joined = joined.withColumn("_row", F.monotonically_increasing_id())
             small.append("_row")
