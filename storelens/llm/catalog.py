@@ -97,3 +97,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_classes
     return near_classes(read_table(spark, sf_dir, "documents"))
+
+
+@register("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import identify
+    return identify(read_table(spark, sf_dir, "documents"))
