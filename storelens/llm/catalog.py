@@ -103,3 +103,20 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lang_id import identify
     return identify(read_table(spark, sf_dir, "documents"))
+
+
+@register("op8_exact_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id AS query_id, w FROM v WHERE vec_id % 100 = 0),
+s AS (
+  SELECT q.query_id, v.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.w, v.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM q JOIN v ON v.vec_id <> q.query_id AND len(v.w) = len(q.w)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .top_k import top_k
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
