@@ -1,31 +1,55 @@
-"""The corpus pipeline: documents to packed training sequences, in stages.
+"""The corpus pipeline: documents to packed training sequences, in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
-written as Parquet and read again as the next stage's ``docs``.
+written as Parquet and read again as the next stage's ``docs``.  All stages but the
+last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from storelens.llm.common import read_table, store
+from storelens.llm.lang_id import keep_identified
+from storelens.llm.line_dedup import dedup_lines
+from storelens.llm.mixing import mixed_documents
+from storelens.llm.near_dedup import drop_near_copies
+from storelens.llm.packing import pack_documents
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a language go, and those in which none holds 0.3 of the words."""
+    return keep_identified(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: lines that at least three documents share stay in one of them."""
-    from storelens.llm.line_dedup import dedup_lines
-    return dedup_lines(docs).select(*docs.columns)
+    """Line dedup: lines that at least three documents share stay in one of them; ``n_chars`` follows the text."""
+    kept = dedup_lines(docs).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: one document of each class stays."""
+    return drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of its source takes it."""
-    from storelens.llm.mixing import mixed_documents
+    """Mixing to target weights: every document as often as the mix of its source takes it, or not at all."""
     return mixed_documents(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing: one row per piece of a document with its place in a training sequence."""
+    return pack_documents(docs)
+
+
 STAGES = [
+    ("language_id", identify_language),
     ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
     ("source_mixing", mix),
+    ("packing", pack),
 ]
 
 # Language labels, signatures and packed ids cannot be stated in SQL; tests hold the stages against brute force.

@@ -120,3 +120,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .top_k import top_k
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@register("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan
+    return scan(read_table(spark, sf_dir, "documents"))

@@ -11,8 +11,8 @@ searches one shard (that of its own hash), and takes the k-th score found there
 along as the starting bound in all others, so these return only vectors that can
 still be among the best.
 
-Defined results: vectors that are null, empty of valid numbers (null, NaN or
-infinite components) or of another length than the query take no part; fewer
+Defined results: vectors that are null or hold null, NaN or infinite components,
+and vectors of another length than the query, take no part; fewer
 than k candidates give fewer rows; equal scores go to the smaller id; of rows
 with one id none is a candidate of its own id; an empty table gives no rows;
 further columns are ignored.
