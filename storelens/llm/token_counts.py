@@ -14,7 +14,7 @@ it.  One row per block is shuffled, by file.
 
 Defined results: null text is the empty text (no tokens); ids after the last
 separator of a file are one more document with ``ended`` false; an empty table
-or folder gives no rows; repeated rows are documents of their own; further
+gives no files and no rows; repeated rows are documents of their own; further
 columns are ignored.
 """
 
@@ -152,6 +152,9 @@ def count_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the token files of ``docs`` under ``path`` and count from them: ``doc_id, shard, number, start, n_tokens``."""
     spark = docs.sparkSession
+    if docs.isEmpty():  # then no file is written
+        return docs.limit(0).select(F.col(id_col).cast("long"), F.lit("").alias("shard"), *[
+            F.lit(0).cast("long").alias(c) for c in ("number", "start", "n_tokens")])
     write_token_files(docs, path, tokenizer, end_id, id_col=id_col, text_col=text_col)
     counts = scan_token_files(spark, f"{path}/kind=ids", end_id)
     names = listed_documents(spark, f"{path}/kind=documents", end_id)

@@ -34,6 +34,7 @@ SCALE = 1024
 SHARD_ROWS = 4096
 QUERY_ROWS = 4096
 LEAF_ROWS = 128
+NO_FLOOR = -(1 << 63)
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -89,7 +90,7 @@ def search_shard(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray
     visit = np.argsort(-bounds, axis=1)
     out: list[tuple[int, np.ndarray, np.ndarray]] = []
     for i in range(len(q)):
-        kth, best, who = floor_[i], np.zeros(0), np.zeros(0, np.int64)
+        kth, best, who = int(floor_[i]), np.zeros(0, xs.dtype), np.zeros(0, np.int64)
         for leaf in visit[i]:
             if bounds[i, leaf] < kth:
                 break
@@ -102,7 +103,7 @@ def search_shard(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray
                     top = np.lexsort((who, -best))[:k]
                     best, who = best[top], who[top]
                 if len(best) == k:
-                    kth = max(kth, best.min())
+                    kth = max(kth, int(best.min()))
         out.append((i, who, best))
     n = [len(w) for _, w, _ in out]
     if not sum(n):
@@ -118,8 +119,8 @@ def _search(k: int, leaf_rows: int):
             return empty
         x = np.stack([np.asarray(v, np.int64) for v in vectors["_v"]])
         q = np.stack([np.asarray(v, np.int64) for v in queries["_qv"]])
-        floor_ = queries["_floor"].to_numpy(dtype=np.float64, na_value=-np.inf)
-        i, who, score = search_shard(x, vectors["_id"].to_numpy(), q, queries["_qid"].to_numpy(), floor_, k, leaf_rows)
+        i, who, score = search_shard(x, vectors["_id"].to_numpy(), q, queries["_qid"].to_numpy(),
+                                     queries["_floor"].to_numpy(), k, leaf_rows)
         return pd.DataFrame({"query_id": queries["_qid"].to_numpy()[i], "vec_id": who, "score": score})
     return search
 
@@ -150,11 +151,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
         return placed.groupBy("_shard", "_group", "_dim").cogroup(right.groupBy("_qshard", "_qgroup", "_qdim")) \
             .applyInPandas(_search(k, leaf_rows), schema)
 
-    near = store(search(asked.withColumns({"_qshard": F.col("_home"), "_floor": F.lit(None).cast("double")})), "home-shards")
+    near = store(search(asked.withColumns({"_qshard": F.col("_home"), "_floor": F.lit(NO_FLOOR)})), "home-shards")
     floors = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_min")).select(
-        F.col("query_id").alias("_qid"), F.when(F.col("_n") >= k, F.col("_min")).cast("double").alias("_floor"))
-    far = search(asked.join(floors, "_qid", "left").withColumn("_qshard", every(shards))
-                 .filter(F.col("_qshard") != F.col("_home")))
+        F.col("query_id").alias("_qid"), F.when(F.col("_n") >= k, F.col("_min")).alias("_floor"))
+    far = search(asked.join(floors, "_qid", "left").withColumn("_floor", F.coalesce("_floor", F.lit(NO_FLOOR)))
+                 .withColumn("_qshard", every(shards)).filter(F.col("_qshard") != F.col("_home")))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.unionByName(far).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")

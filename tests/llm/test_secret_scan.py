@@ -1,0 +1,69 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from storelens.llm import secret_scan as S
+from tests.llm.conftest import rows_of, words
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = np.random.default_rng(21)
+    texts, truth = [], {}
+    for i in range(240):
+        w = words(rng, "en", 40)
+        at = int(rng.integers(3, 35))
+        hexa = "".join(rng.choice(list("0123456789abcdef"), 40))
+        if i % 3 == 0:
+            w[at:at] = ["token", "=", f'"{hexa}"']
+            truth[i] = hexa
+        elif i % 3 == 1:
+            w[at:at] = ["".join(rng.choice(list("0123456789"), 16))]
+        else:
+            w[at:at] = ["see", "the-long-page-name-about-2024-things"]
+        texts.append(" ".join(w))
+    return texts, truth
+
+
+def test_finds_secrets_and_drops_false_positives(frame, corpus):
+    texts, truth = corpus
+    got = S.scan(frame(rows_of(texts))).collect()
+    assert len(got) == len(texts)
+    assert {r.doc_id: r.value for r in got if r.secret} == truth
+    assert all(texts[r.doc_id][r.start:r.start + len(r.value)] == r.value for r in got)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_trained_model_works_on_other_documents(spark, frame, corpus):
+    texts, truth = corpus
+    half = frame(rows_of(texts[:120]))
+    ready = S.with_features(S.store(S.find_candidates(half), "t"), S.corpus_words(half))
+    model = S.train(S.rule_labels(ready))
+    got = S.scan(frame(rows_of(texts)), model=model).collect()
+    wrong = [r for r in got if r.secret != (r.doc_id in truth)]
+    assert len(wrong) <= 2
+
+
+def test_odd_texts_and_labels_of_one_kind(frame, odd_texts):
+    assert S.scan(frame([])).count() == 0
+    got = S.scan(frame(rows_of(odd_texts))).collect()
+    assert got == []
+    rows = rows_of(["id 1234567890123456 x", "1234567890123456", None]) * 2
+    got = S.scan(frame(rows)).collect()
+    assert len(got) == 4 and all(r.score == 0.0 and not r.secret for r in got)
+    assert sorted({(r.word, r.start) for r in got}) == [(0, 0), (1, 3)]
+
+
+def test_transitions_are_probabilities(spark):
+    t = S.transitions(spark.createDataFrame([("abab", 3), ("ba", 1)], "w string, n long"))
+    got = {r.pair: r.logp for r in t.collect()}
+    # a is followed by b six times, by the end four times
+    assert np.isclose(np.exp(got["ab"]), 7 / (10 + 37)) or np.isclose(np.exp(got["ab"]), 7 / (7 + 37))
+    sums = t.groupBy(F.substring("pair", 1, 1)).agg(F.sum(F.exp("logp")).alias("p")).collect()
+    assert all(r.p <= 1 + 1e-9 for r in sums)
+
+
+def test_main_path_has_no_python(frame, corpus):
+    ready = S.with_features(S.find_candidates(frame(rows_of(corpus[0][:5]))), S.corpus_words(frame(rows_of(corpus[0][:5]))))
+    plan = ready._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
