@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 TEMPERATURE_BINS = [(-10.0, 10.0, "Cold"), (10.0, 20.0, "Mild"), (20.0, 30.0, "Warm"), (30.0, 40.0, "Hot")]
 TEMPERATURE_LABELS = [label for _, _, label in TEMPERATURE_BINS]
 
-# Calendar month names in calendar order and the seasons by month.
+# Calendar month names in calendar order.
 MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July",
                "August", "September", "October", "November", "December"]
-SEASONS = ["Fall", "Spring", "Summer", "Winter"]  # alphabetical, as the pivot orders them
 
 
 def _c(col: str | Column) -> Column:
@@ -62,6 +61,13 @@ def holiday_flag(x: str | Column) -> Column:
     return F.when(_c(x) == "Yes", 1).otherwise(0).cast("int")
 
 
+def holiday_number(x: str | Column) -> Column:
+    """The holiday column as a model feature: 1 for ``Yes``, true or a number other than 0; 0 for anything else."""
+    text = F.lower(_c(x).cast("string"))
+    return F.when(text.isin("yes", "true"), 1).otherwise(
+        F.when(F.coalesce(text.try_cast("double"), F.lit(0.0)) != 0, 1).otherwise(0)).cast("int")
+
+
 def temperature_bin(t: str | Column) -> Column:
     """H9: right-closed bins; anything outside (-10, 40] is NULL."""
     t = _c(t)

@@ -47,18 +47,12 @@ def percent(x: str | Column) -> Column:
 
 
 def money_sum(x: str | Column) -> Column:
-    """Exact sum of a 2-decimal money column: summed as DECIMAL(18,2), returned as double.
+    """Exact sum of a money column with up to six decimals: summed as DECIMAL(24,6), returned as double.
 
     Float sums depend on task order; the decimal accumulator makes the answer
     independent of partitioning.  An all-NULL group sums to 0 (pandas rule).
     """
-    return F.coalesce(F.sum(_c(x).cast("decimal(18,2)")).cast("double"), F.lit(0.0))
-
-
-def money_mean(x: str | Column) -> Column:
-    """Mean of a money column via the exact sum."""
-    x = _c(x)
-    return F.try_divide(F.sum(x.cast("decimal(18,2)")).cast("double"), F.count(x).cast("double"))
+    return F.coalesce(F.sum(_c(x).cast("decimal(24,6)")).cast("double"), F.lit(0.0))
 
 
 def with_money(df: DataFrame) -> DataFrame:
@@ -82,10 +76,9 @@ def with_return_rate(df: DataFrame) -> DataFrame:
     return df.withColumn("return_rate_pct", percent(ratio("returned", "quantity_sold")))
 
 
-def with_projected_stock(df: DataFrame, stock: str = "current_stock",
-                         predicted: str = "predicted_next_month_sales") -> DataFrame:
+def projected_stock(stock: str | Column, predicted: str | Column) -> Column:
     """Current stock minus predicted sales, rounded half-even."""
-    return df.withColumn("projected_stock", F.rint(F.col(stock) - F.col(predicted)))
+    return F.rint(_c(stock) - _c(predicted))
 
 
 def lookup(df: DataFrame, col: str, mapping: dict, out: str | None = None, default=None) -> DataFrame:

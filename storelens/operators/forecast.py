@@ -8,21 +8,22 @@ fit is a Spark ML estimator on the assembled vector; scoring is
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.calendar import holiday_flag
-from ..functions.numeric import half_even, sanitize
-from .ordered import latest_per, with_group_mean, with_lags
+from ..functions.calendar import holiday_number
+from ..functions.numeric import half_even, projected_stock, sanitize
+from ..session import literal_frame, materialize
+from ..sources.files import clean, coerce_numeric, reject_invalid_dates
+from .ordered import latest_per, with_lags
 from .sales import with_monthly_sales
 from .stats import regression_metrics
 
@@ -33,28 +34,20 @@ NUMERIC = ["quantity_sold", "unit_price", "stock_after_sale", "returned", "tempe
            "sales_lag_1", "sales_lag_7", "sales_lag_14", "day", "month", "year"]
 TARGETS = {"weekly": "future_7_day_sales", "monthly": "monthly_sales", "discount": "discount_pct"}
 NOT_FEATURES = {"future_7_day_sales", "monthly_sales"}
+KEY_COLS = ("transaction_id", "line_no", "part_key", "supp_key")
 
 
-def _safe(name: str) -> str:
-    return re.sub(r"[^0-9A-Za-z_]", "_", name)
-
-
-def training_rows(df: DataFrame, order_cols: Sequence[str], materialize: bool = True) -> DataFrame:
+def training_rows(df: DataFrame, order_cols: Sequence[str], write_once: bool = True) -> DataFrame:
     """The training table: lags 1/7/14 and the 7-row lead per product (E1, E2), rows with a
     missing lag or lead dropped (B16), then the (product, month) quantity total (C2).
 
     The lagged rows feed several aggregates joined back (monthly totals, group
-    means, latest rows) and every model fit; ``materialize`` writes them once as
-    a reliable checkpoint so the windowed stage is not recomputed per branch.
+    means, latest rows) and every model fit; ``write_once`` keeps them as a
+    reliable checkpoint so the windowed stage is not recomputed per branch.
     """
-    from ..session import ensure_checkpoint_dir
-
     shifted = with_lags(df, order_cols)
     kept = shifted.na.drop(subset=["sales_lag_1", "sales_lag_7", "sales_lag_14", "future_7_day_sales"])
-    if materialize:
-        ensure_checkpoint_dir(df.sparkSession)
-        kept = kept.checkpoint(eager=True)
-    return with_monthly_sales(kept)
+    return with_monthly_sales(materialize(kept) if write_once else kept)
 
 
 def vocabulary(df: DataFrame, cols: Sequence[str] = CATEGORICAL) -> dict[str, list[str]]:
@@ -62,30 +55,46 @@ def vocabulary(df: DataFrame, cols: Sequence[str] = CATEGORICAL) -> dict[str, li
 
     Meant for categorical columns (weather, season, category, product): the
     vocabulary becomes the stored feature list.  A column with a vocabulary in
-    the millions belongs in ``StringIndexer`` + ``OneHotEncoder`` (sparse) instead.
+    the millions belongs in ``sparse_encoder`` instead.
     """
     return {c: sorted(r[0] for r in df.filter(F.col(c).isNotNull()).select(c).distinct().collect())
             for c in cols}
 
 
+def dummy_table(vocab: Mapping[str, Sequence[str]], drop_first: bool = True) -> list[tuple[str, str, str]]:
+    """(column, value, dummy name) of every dummy: named by position (``weather_0001``), so no two values can
+    share a name whatever their characters; the alphabetically first value has none."""
+    skip = 1 if drop_first else 0
+    return [(c, v, f"{c}_{i:04d}") for c, values in vocab.items() for i, v in enumerate(values) if i >= skip]
+
+
 def one_hot(df: DataFrame, vocab: Mapping[str, Sequence[str]], drop_first: bool = True) -> DataFrame:
-    """A 0/1 column ``<col>_<value>`` per value, the alphabetically first dropped; NULL is all zeros."""
-    cols = {}
-    for c, values in vocab.items():
-        for v in list(values)[1 if drop_first else 0:]:
-            cols[_safe(f"{c}_{v}")] = F.when(F.col(c) == F.lit(v), 1).otherwise(0).cast("int")
+    """A 0/1 column per value of ``dummy_table``; NULL is all zeros."""
+    cols = {name: F.when(F.col(c) == F.lit(v), 1).otherwise(0).cast("int") for c, v, name in dummy_table(vocab, drop_first)}
     return df.withColumns(cols) if cols else df
 
 
 def dummy_names(vocab: Mapping[str, Sequence[str]], drop_first: bool = True) -> list[str]:
-    return [_safe(f"{c}_{v}") for c, values in vocab.items() for v in list(values)[1 if drop_first else 0:]]
+    return [name for _, _, name in dummy_table(vocab, drop_first)]
+
+
+def sparse_encoder(cols: Sequence[str]) -> Pipeline:
+    """I9 for large vocabularies: sparse 0/1 vectors ``<col>_onehot``, no column per value.
+
+    Values are numbered alphabetically and the last one is dropped (a vector
+    encoder drops the last category); unseen values and NULL are all zeros.
+    """
+    index = StringIndexer(inputCols=list(cols), outputCols=[f"{c}_index" for c in cols],
+                          stringOrderType="alphabetAsc", handleInvalid="keep")
+    return Pipeline(stages=[index, OneHotEncoder(inputCols=[f"{c}_index" for c in cols],
+                                                 outputCols=[f"{c}_onehot" for c in cols], handleInvalid="keep")])
 
 
 def with_features(df: DataFrame, vocab: Mapping[str, Sequence[str]]) -> DataFrame:
     """I11 inputs: date parts (Day, Month, Year), the holiday flag as a number, one-hot columns."""
     out = df.withColumns({
         "day": F.dayofmonth("date"), "month": F.month("date"), "year": F.year("date"),
-        "is_holiday_flag": holiday_flag("is_holiday"),
+        "is_holiday_flag": holiday_number("is_holiday"),
     })
     return one_hot(out, vocab)
 
@@ -106,20 +115,22 @@ def hash_split(df: DataFrame, key_cols: Sequence[str], test_fraction: float = 0.
     return df.withColumn("is_test", (h >= F.lit(threshold)).cast("int"))
 
 
-def task_memory_mb(spark: SparkSession) -> int:
-    """Configured memory of one executor (the driver in local mode), in MB."""
+def task_memory_mb(spark: SparkSession) -> int | None:
+    """Configured memory of one executor (the driver in local mode), in MB; None when it is not configured."""
     conf = spark.sparkContext.getConf()
     key = "spark.driver.memory" if spark.sparkContext.master.startswith("local") else "spark.executor.memory"
-    text = (conf.get(key, None) or "1g").strip().lower()
+    text = (conf.get(key, None) or "").strip().lower()
+    if not text:
+        return None
     units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
     if text[-1] in units:
         return int(float(text[:-1]) * units[text[-1]])
     return int(float(text) / (1024 * 1024))
 
 
-def candidates(seed: int = 42, forest_depth: int = 12, forest_memory_mb: int = 256) -> dict:
+def candidates(seed: int = 42, forest_depth: int = 30, forest_memory_mb: int = 256) -> dict:
     """I12-I14 with library defaults: a 100-tree forest using all features per split
-    (depth capped, Spark trees are depth-limited), 100 boosting rounds at rate 0.1 depth 3,
+    (at the greatest depth that Spark trees have), 100 boosting rounds at rate 0.1 depth 3,
     and 100 rounds at rate 0.3 depth 6.  ``forest_memory_mb`` bounds the forest's per-task
     split statistics (more passes over the data when smaller, same model)."""
     return {
@@ -133,43 +144,65 @@ def candidates(seed: int = 42, forest_depth: int = 12, forest_memory_mb: int = 2
     }
 
 
-def _pipeline(task: str, features: list[str], make) -> Pipeline:
-    vec = f"_features_{task}"
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol=vec, handleInvalid="keep"),
-                            make(vec, TARGETS[task], f"pred_{task}")])
+ROWS_PER_TASK = 50_000  # rows of one partition of the model table
+
+
+def model_table(frame: DataFrame, features: Mapping[str, list[str]], key_cols: Sequence[str] = KEY_COLS,
+                test_fraction: float = 0.2) -> DataFrame:
+    """What every fit reads, written once: labels, ``is_test`` and the assembled vector of each task.
+
+    NULL features are 0 (as in ``score``).  Tasks with one feature list share a
+    vector.  Rows are dealt out by key into as many partitions as their number
+    asks for, and sorted, so bagging does not depend on the session's settings.
+    """
+    lists = {tuple(f): f"_features_{t}" for t, f in reversed(list(features.items()))}
+    split = hash_split(_zero_filled(frame, sorted({c for f in lists for c in f})), key_cols, test_fraction)
+    for cols, name in lists.items():
+        split = VectorAssembler(inputCols=list(cols), outputCol=name, handleInvalid="keep").transform(split)
+    labels = [c for c in dict.fromkeys(TARGETS[t] for t in features)]
+    held = materialize(split.select(*key_cols, *labels, "is_test", *lists.values()))
+    parts = 1 + held.count() // ROWS_PER_TASK
+    return materialize(held.repartition(parts, *key_cols).sortWithinPartitions(*key_cols))
+
+
+def _filled_columns(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """Every listed column as a double: NULL is 0, and so is a column that is not there."""
+    have = set(df.columns)
+    return [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0) for c in cols]
+
+
+def _zero_filled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.withColumns(dict(zip(cols, _filled_columns(df, cols))))
 
 
 def train_all(frame: DataFrame, features: Mapping[str, list[str]], models: Mapping | None = None,
-              key_cols: Sequence[str] = ("transaction_id", "line_no", "part_key", "supp_key"),
-              test_fraction: float = 0.2, parallelism: int = 9) -> tuple[dict[str, PipelineModel], DataFrame]:
+              key_cols: Sequence[str] = KEY_COLS, test_fraction: float = 0.2,
+              parallelism: int = 9) -> tuple[dict[str, PipelineModel], DataFrame]:
     """I16 + I17: for each task fit every candidate on the train split, score the test
     split (I15), keep the lowest-MSE model.  Returns the winners and the metrics table.
 
-    Fits are independent Spark jobs; up to ``parallelism`` of them are submitted
-    at once from driver threads so small boosting iterations overlap.  Both the
-    concurrency and the forest's per-task statistics budget are sized from the
-    configured executor memory, so a small heap runs the fits one by one.
+    Fits are independent Spark jobs over one stored table; up to ``parallelism`` of
+    them are submitted at once from driver threads so small boosting iterations
+    overlap.  A memory that is configured limits how many, and the forest's per-task statistics.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     spark = frame.sparkSession
     mem_mb = task_memory_mb(spark)
-    if spark.sparkContext.master.startswith("local"):
-        cores = max(1, spark.sparkContext.defaultParallelism)
-    else:
-        cores = int(spark.sparkContext.getConf().get("spark.executor.cores", "4"))
-    parallelism = max(1, min(parallelism, mem_mb // 2048))
+    if mem_mb:
+        parallelism = max(1, min(parallelism, mem_mb // 2048))
     # At most ``cores`` tasks hold forest statistics at once in one executor heap.
-    budget = int(max(16, min(256, mem_mb / (4 * cores))))
-    models = models or candidates(forest_memory_mb=budget)
-    from ..session import materialize
-
-    split = materialize(hash_split(frame, key_cols, test_fraction))
-    train, test = split.filter("is_test = 0"), split.filter("is_test = 1")
+    cores = max(1, spark.sparkContext.defaultParallelism) if spark.sparkContext.master.startswith("local") \
+        else int(spark.sparkContext.getConf().get("spark.executor.cores", "4"))
+    models = models or candidates(forest_memory_mb=int(max(16, min(256, (mem_mb or 4096) / (4 * cores)))))
+    table = model_table(frame, features, key_cols, test_fraction)
+    train, test = table.filter("is_test = 0"), table.filter("is_test = 1")
+    vectors = {t: next(v for v in (f"_features_{u}" for u, f in features.items() if f == features[t])
+                       if v in table.columns) for t in features}
 
     def fit_one(job):
         task, name = job
-        fitted = _pipeline(task, list(features[task]), models[name]).fit(train)
+        fitted = models[name](vectors[task], TARGETS[task], f"pred_{task}").fit(train)
         m = regression_metrics(fitted.transform(test), TARGETS[task], f"pred_{task}").first()
         return task, name, float(m["mse"]), None if m["r2"] is None else float(m["r2"]), fitted
 
@@ -180,26 +213,49 @@ def train_all(frame: DataFrame, features: Mapping[str, list[str]], models: Mappi
     for task in features:
         mine = [r for r in results if r[0] == task]
         best = min(mine, key=lambda r: r[2])
-        winners[task] = best[4]
+        assemble = VectorAssembler(inputCols=list(features[task]), outputCol=vectors[task], handleInvalid="keep")
+        winners[task] = PipelineModel(stages=[assemble, best[4]])
         rows += [(task, n, mse, r2, n == best[1]) for _, n, mse, r2, _ in mine]
     schema = T.StructType([T.StructField("task", T.StringType()), T.StructField("model", T.StringType()),
                            T.StructField("mse", T.DoubleType()), T.StructField("r2", T.DoubleType()),
                            T.StructField("selected", T.BooleanType())])
-    from ..session import literal_frame
+    return winners, literal_frame(spark, rows, schema)
+
+
+# One-feature lines: the feature of each task.
+LINE_FEATURES = {"weekly": ["sales_lag_7"], "monthly": ["quantity_sold"], "discount": ["quantity_sold"]}
+
 
-    return winners, literal_frame(frame.sparkSession, rows, schema)
+def fit_lines(frame: DataFrame, features: Mapping[str, list[str]] = LINE_FEATURES) -> dict[str, PipelineModel]:
+    """A least-squares model per task (normal equations, no penalty): a closed form that SQL has too,
+    so the scoring chain can be checked row by row."""
+    models = {}
+    for task, cols in features.items():
+        vec = f"_features_{task}"
+        models[task] = Pipeline(stages=[
+            VectorAssembler(inputCols=list(cols), outputCol=vec, handleInvalid="keep"),
+            LinearRegression(featuresCol=vec, labelCol=TARGETS[task], predictionCol=f"pred_{task}", solver="normal",
+                             regParam=0.0)]).fit(_zero_filled(frame, cols).withColumn(
+                                 TARGETS[task], F.col(TARGETS[task]).cast("double")))
+    return models
 
 
 def score(frame: DataFrame, models: Mapping[str, PipelineModel], features: Mapping[str, list[str]],
           keep: Sequence[str] | None = None) -> DataFrame:
-    """Three predictions per row (B15 alignment: missing features are 0), sanitised."""
+    """Three predictions per row, sanitised.
+
+    As the reference does before it predicts, NULL features are 0 and features
+    that the frame lacks are 0 (B15).  The frame's own columns come back unchanged.
+    """
     keep = list(keep) if keep is not None else list(frame.columns)
     out = frame
     for task, model in models.items():
-        missing = [c for c in features[task] if c not in out.columns]
-        if missing:
-            out = out.withColumns({c: F.lit(0.0) for c in missing})
-        out = model.transform(out).withColumn(f"pred_{task}", sanitize(f"pred_{task}"))
+        cols = list(features[task])
+        out = out.withColumns({f"_{task}_{i}": c for i, c in enumerate(_filled_columns(frame, cols))})
+        stages = [s.copy() for s in model.stages]
+        stages[0] = stages[0].copy({stages[0].inputCols: [f"_{task}_{i}" for i in range(len(cols))]})
+        out = PipelineModel(stages=stages).transform(out).drop(stages[0].getOutputCol()) \
+            .withColumn(f"pred_{task}", sanitize(f"pred_{task}"))
     return out.select(*keep, *[F.col(f"pred_{t}") for t in models]).withColumnsRenamed({
         "pred_weekly": "predicted_next_week_sales",
         "pred_monthly": "predicted_next_month_sales",
@@ -226,12 +282,11 @@ def predictions_by_product(scored: DataFrame, drop_first_product: bool = False,
 
 
 def current_vs_predicted(scored: DataFrame, key: str = "product_name") -> DataFrame:
-    """Per product the current averages (E6, rounded) and the mean predictions, rounded."""
-    cur = with_group_mean(scored, key, ["future_7_day_sales", "monthly_sales", "discount_pct"], digits=0)
-    cols = ["current_avg_future_7_day_sales", "predicted_next_week_sales", "predicted_next_month_sales",
-            "current_avg_discount_pct", "predicted_discount_pct"]
-    return (cur.groupBy(key).agg(*[half_even(F.avg(c), 0).alias(c) for c in cols])
-            .withColumnRenamed("current_avg_future_7_day_sales", "current_avg_weekly_sales")
+    """Per product the rounded current averages (E6) and the rounded mean predictions, from one aggregate."""
+    cols = {"current_avg_weekly_sales": "future_7_day_sales", "predicted_next_week_sales": "predicted_next_week_sales",
+            "predicted_next_month_sales": "predicted_next_month_sales", "current_avg_discount_pct": "discount_pct",
+            "predicted_discount_pct": "predicted_discount_pct"}
+    return (scored.groupBy(key).agg(*[half_even(F.avg(c), 0).alias(name) for name, c in cols.items()])
             .orderBy(key))
 
 
@@ -240,12 +295,39 @@ def stock_sufficiency(scored: DataFrame, order_cols: Sequence[str], key: str = "
     """The latest row per product (E7), projected stock = current - predicted (B7),
     and ``adequate`` (projection >= 0); split with ``filter('adequate')`` / ``filter('NOT adequate')``."""
     cols = list(dict.fromkeys([key, *order_cols, "stock_after_sale", predicted]))
-    latest = latest_per(scored.select(*cols), key, order_cols)
-    proj = F.rint(F.col("stock_after_sale") - F.col(predicted))
+    return _projected(latest_per(scored.select(*cols), key, order_cols), key, predicted)
+
+
+def stock_against_mean(rows: DataFrame, order_cols: Sequence[str], value: str = "monthly_sales",
+                       key: str = "product_name", predicted: str = "predicted_next_month_sales") -> DataFrame:
+    """I21 with the product's rounded mean of ``value`` as the prediction: latest stock and mean from one aggregate."""
+    latest = (rows.filter(F.col(key).isNotNull()).groupBy(key)
+              .agg(F.max_by("stock_after_sale", F.struct(*[F.col(c) for c in order_cols])).alias("stock_after_sale"),
+                   half_even(F.avg(value), 0).alias(predicted)))
+    return _projected(latest, key, predicted)
+
+
+def _projected(latest: DataFrame, key: str, predicted: str) -> DataFrame:
+    proj = projected_stock("stock_after_sale", predicted)
     return latest.select(key, F.col("stock_after_sale").alias("current_stock"), F.col(predicted),
                          proj.alias("projected_stock"), (proj >= 0).alias("adequate"))
 
 
+def predict_products(df: DataFrame, models: Mapping[str, PipelineModel], features: Mapping[str, list[str]],
+                     vocab: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The prediction service in one call: a raw sales frame to one row of mean predictions per product.
+
+    Dates are checked (A7), numbers that came as text are coerced and gaps are 0
+    (B18, B20), categories become the stored dummies (I9), missing features are 0
+    (B15), predictions are sanitised (H12) and averaged per product (I19).
+    """
+    dated = reject_invalid_dates(df)
+    text = {c for c, t in dated.dtypes if t == "string"}
+    coerced = coerce_numeric(dated, [c for c in NUMERIC if c in text])
+    frame = clean(with_features(coerced, vocab), fill=0)
+    return predictions_by_product(score(frame, models, features))
+
+
 def what_if(spark: SparkSession, row: Mapping[str, object], models: Mapping[str, PipelineModel],
             features: Mapping[str, list[str]], vocab: Mapping[str, Sequence[str]]) -> DataFrame:
     """Score one hand-made row; absent features are 0."""
@@ -258,13 +340,27 @@ def what_if(spark: SparkSession, row: Mapping[str, object], models: Mapping[str,
 
 
 def save_models(models: Mapping[str, PipelineModel], features: Mapping[str, list[str]], path: str,
-                spark: SparkSession) -> None:
-    """A4: one PipelineModel directory per task and a (task, position, feature) table."""
+                spark: SparkSession, vocab: Mapping[str, Sequence[str]] | None = None) -> None:
+    """A4: one PipelineModel directory per task, a (task, position, feature) table, and with ``vocab`` the
+    (source, position, value, feature) table of the dummies."""
     for task, model in models.items():
         model.write().overwrite().save(f"{path}/{task}")
     rows = [(t, i, f) for t, feats in features.items() for i, f in enumerate(feats)]
     schema = "task string, position int, feature string"
     spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/features")
+    if vocab is not None:
+        named = {(c, v): name for c, v, name in dummy_table(vocab)}
+        rows = [(c, i, v, named.get((c, v))) for c, values in vocab.items() for i, v in enumerate(values)]
+        schema = "source string, position int, value string, feature string"
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/dummies")
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The vocabulary stored by ``save_models``."""
+    vocab: dict[str, list[str]] = {}
+    for r in spark.read.parquet(f"{path}/dummies").orderBy("source", "position").collect():
+        vocab.setdefault(r["source"], []).append(r["value"])
+    return vocab
 
 
 def load_models(spark: SparkSession, path: str) -> tuple[dict[str, PipelineModel], dict[str, list[str]]]:
@@ -275,11 +371,13 @@ def load_models(spark: SparkSession, path: str) -> tuple[dict[str, PipelineModel
     return {t: PipelineModel.load(f"{path}/{t}") for t in features}, features
 
 
-# The search space of the reference's (commented-out) tuning run, in Spark ML terms.
+# The search space of the tuning run, in Spark ML terms.  No depth limit is 30, the greatest depth
+# Spark trees have.  The least rows to split a node (2 to 19) and the least rows of a leaf (1 to 19) are one
+# parameter here: a split needs at least that many rows on either side.
 TUNE_GRID = {
     "numTrees": [50, 100, 200],
     "maxDepth": [10, 20, 30],
-    "minInstancesPerNode": [1, 5, 10],
+    "minInstancesPerNode": [1, 5, 10, 19],
     "featureSubsetStrategy": ["0.5", "0.75", "sqrt", "log2", "all"],
 }
 
@@ -297,6 +395,7 @@ def tune(frame: DataFrame, task: str, features: list[str], grid: Mapping[str, Se
         builder = builder.addGrid(rf.getParam(name), list(values))
     maps = builder.build()
     evaluator = RegressionEvaluator(labelCol=TARGETS[task], predictionCol=f"pred_{task}", metricName="mse")
+    frame = _zero_filled(frame, features)
     tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=maps, evaluator=evaluator,
                                trainRatio=train_ratio, seed=seed, parallelism=parallelism)
     model = tvs.fit(frame)

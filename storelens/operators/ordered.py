@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even, pct_change, ratio
+from ..session import attach, materialize
 from .sequence import with_shifts
 
 
@@ -59,19 +60,20 @@ def with_group_mean(df: DataFrame, key: str, cols: Sequence[str], digits: int |
     """The group mean of each column attached to every row (rounded half-even).
 
     Written as an aggregate joined back on the key, not a window over the key:
-    the aggregate is partial per task, and the one-row-per-key result is
-    broadcast by AQE when it is small.
+    the aggregate is partial per task, and the one-row-per-key result is counted
+    and broadcast (or salted), so the rows are never dealt out by the key.
     """
     means = df.groupBy(key).agg(*[F.avg(c).alias(f"{prefix}{c}") for c in cols])
     if digits is not None:
         means = means.select(key, *[half_even(f"{prefix}{c}", digits).alias(f"{prefix}{c}") for c in cols])
-    return df.join(means, key, "left")
+    return attach(df, means, key)
 
 
 def latest_per(df: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
     """The last row of each key in (order) order; ties broken by the full order key.
 
-    ``max_by`` over a struct is a partial aggregate, so a hot key costs one row per task.
+    ``max_by`` over a struct is a partial aggregate, so a hot key costs one row per task
+    (planned as a sort aggregate: each task sorts its own rows by key first).
     """
     others = [c for c in df.columns if c != key]
     best = F.max_by(F.struct(*[F.col(c) for c in others]), F.struct(*[F.col(c) for c in order_cols]))
@@ -98,12 +100,11 @@ def factor_codes(df: DataFrame, col: str, order_cols: Sequence[str], out: str |
 def factorize(df: DataFrame, col: str, order_cols: Sequence[str], out: str | None = None) -> DataFrame:
     """Integer code by first appearance in row order; NULL is -1.
 
-    The code table (one row per value) is joined back; AQE broadcasts it when
-    it is small, which a categorical column's always is.
+    The code table (one row per value) is counted and broadcast, or salted when it is large.
     """
     out = out or f"{col}_code"
     codes = factor_codes(df, col, order_cols, out)
-    return df.join(codes, col, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
+    return attach(df, codes, col).withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
 
 
 def growth_by_product(grown: DataFrame, key: str = "product_name") -> DataFrame:
@@ -129,20 +130,16 @@ def promotion_candidates(sensitivity: DataFrame, rows: DataFrame, min_ratio: flo
     """Products with ratio > ``min_ratio`` and price change < ``max_price_change``,
     joined to the distinct (product, margin) pairs of the rows, largest margin first, top ``n``.
 
-    One pass over the rows: reduced to two columns and semi-joined to the
-    candidate products (one row per product), de-duplicated with a partial
-    aggregate (repeated pairs collapse inside each task before the shuffle),
-    then a top-n.  Alternatives that avoid the de-duplication shuffle need a
-    second pass over the rows, which costs more: every pass over the derived
-    view re-runs its fact-table joins.
+    ``rows`` needs the key and ``profit_margin``.  When they are the rows the
+    sensitivity was computed from (``with_product_change`` carries further columns),
+    pass that frame materialised, so the fact tables are joined once.  The pairs are
+    de-duplicated with a partial aggregate (repeated pairs collapse inside each
+    task before the shuffle), then a top-n.
     """
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(rows.sparkSession)
     # One row per product, referenced twice below: materialised so the windowed
     # sensitivity job runs once.
-    picked = sensitivity.filter((F.col("price_sensitivity_ratio") > F.lit(min_ratio))
-                                & (F.col("price_change_pct") < F.lit(max_price_change))).checkpoint(eager=True)
+    picked = materialize(sensitivity.filter((F.col("price_sensitivity_ratio") > F.lit(min_ratio))
+                                            & (F.col("price_change_pct") < F.lit(max_price_change))))
     pairs = rows.select(key, "profit_margin").join(picked.select(key), key, "left_semi").distinct()
     joined = picked.join(pairs, key, "inner")
     order = [F.col("profit_margin").desc_nulls_last(), F.col(key)]

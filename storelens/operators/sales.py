@@ -14,13 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import MONTH_NAMES, SEASONS, TEMPERATURE_LABELS, temperature_bin
+from ..functions.calendar import MONTH_NAMES, TEMPERATURE_LABELS, temperature_bin
 from ..functions.numeric import half_even, money_sum, ratio
+from ..session import materialize
 
 
 def _dec(c: str | Column) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return c.cast("decimal(18,2)")
+    return c.cast("decimal(24,6)")
 
 
 def sales_by(df: DataFrame, key: str | Sequence[str], value: str = "total_sales",
@@ -92,19 +93,30 @@ def weather_temperature_sales(df: DataFrame) -> DataFrame:
     return pivot_sales(df, "weather", temperature_bin("temperature_c"), TEMPERATURE_LABELS, names)
 
 
-def seasonal_sales(df: DataFrame, seasons: Sequence[str] = SEASONS) -> DataFrame:
-    """Category x season, seasons in alphabetical order."""
-    return pivot_sales(df, "category", "season", list(seasons), [s.lower() for s in seasons])
+def _season_sums(df: DataFrame, seasons: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
+    """Sales per (category, season), written once, and the season columns: those given, else those observed."""
+    sums = materialize(df.filter(F.col("category").isNotNull()).groupBy("category", "season")
+                       .agg(F.sum(_dec("total_sales")).alias("total_sales")))
+    if seasons is None:
+        seasons = sorted(r[0] for r in sums.select("season").filter("season IS NOT NULL").distinct().collect())
+    return sums, list(seasons)
 
 
-def seasonal_sales_change(df: DataFrame, seasons: Sequence[str] = SEASONS) -> DataFrame:
+def seasonal_sales(df: DataFrame, seasons: Sequence[str] | None = None) -> DataFrame:
+    """Category x season, a column for every season that occurs, in alphabetical order."""
+    sums, names = _season_sums(df, seasons)
+    return pivot_sales(sums, "category", "season", names, [s.lower() for s in names])
+
+
+def seasonal_sales_change(df: DataFrame, seasons: Sequence[str] | None = None) -> DataFrame:
     """% change from the season column on the left (alphabetical by default, Q2).
 
     First column NULL; x/0 is NULL (Q7); x100 and half-even to 2 places.
     """
-    wide = seasonal_sales(df, seasons)
-    names = [s.lower() for s in seasons]
-    cols = [F.col("category"), F.lit(None).cast("double").alias(names[0])]
+    sums, found = _season_sums(df, seasons)
+    wide = pivot_sales(sums, "category", "season", found, [s.lower() for s in found])
+    names = [s.lower() for s in found]
+    cols = [F.col("category"), *[F.lit(None).cast("double").alias(n) for n in names[:1]]]
     for prev, cur in zip(names, names[1:]):
         cols.append(half_even((ratio(cur, prev) - F.lit(1.0)) * F.lit(100.0), 2).alias(cur))
     return wide.select(*cols)

@@ -12,26 +12,28 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import money_sum
+from ..session import attach, materialize
+
+PRODUCTS_PER_TASK = 10_000
 
 # Cluster id -> descriptive name.
 CLUSTER_NAMES = {0: "High Demand Products", 1: "Seasonal Products", 2: "Low Demand Products"}
 
 
-def observed_weeks(df: DataFrame, week: str = "iso_week") -> list[int]:
-    """The ISO weeks present in the data (at most 53 values)."""
-    return sorted(r[0] for r in df.filter(F.col(week).isNotNull()).select(week).distinct().collect())
-
-
 def product_week_vectors(df: DataFrame, weeks: Sequence[int] | None = None, key: str = "product_name",
                          week: str = "iso_week", value: str = "total_sales") -> tuple[DataFrame, list[int]]:
-    """D25 as arrays: per product, the sales of each observed week in week order, 0 where none."""
-    weeks = list(weeks) if weeks is not None else observed_weeks(df, week)
-    per = (df.filter(F.col(key).isNotNull() & F.col(week).isNotNull())
-           .groupBy(key, week).agg(money_sum(value).alias("_s")))
+    """D25 as arrays: per product, the sales of each observed week in week order, 0 where none.
+
+    The weeks (at most 53) come from the (product, week) sums and from sales without
+    a product, so the rows are read once.
+    """
+    per = materialize(df.filter(F.col(week).isNotNull()).groupBy(key, week).agg(money_sum(value).alias("_s")))
+    weeks = list(weeks) if weeks is not None else sorted(r[0] for r in per.select(week).distinct().collect())
+    per = per.filter(F.col(key).isNotNull())
     slots = F.array(*[F.lit(w) for w in weeks])
     vec = (per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(week, "_s"))).alias("_m"))
            .select(key, F.transform(slots, lambda w: F.coalesce(F.try_element_at("_m", w), F.lit(0.0))).alias("weekly")))
@@ -67,13 +69,15 @@ def segment_products(scaled: DataFrame, k: int = 3, restarts: int = 10, seed: in
     """K-means with ``restarts`` seeds; the fit with the lowest within-cluster cost wins.
 
     Returns (product, cluster) and the winning cost.  The frame has one row per
-    product, so each fit is cheap; Spark ML distributes it all the same.
+    product, so each fit is cheap; Spark ML distributes it all the same.  Seeds and
+    sums follow the partitions, so products are dealt out by key into a number of
+    partitions that only their count decides, and sorted: the session's partition
+    settings do not change the answer.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    from ..session import materialize
-
-    data = materialize(scaled.select(key, array_to_vector("scaled").alias("features")))
+    held = materialize(scaled.select(key, array_to_vector("scaled").alias("features")))
+    data = materialize(held.repartition(1 + held.count() // PRODUCTS_PER_TASK, key).sortWithinPartitions(key))
 
     def fit(r: int):
         model = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features",
@@ -88,13 +92,35 @@ def segment_products(scaled: DataFrame, k: int = 3, restarts: int = 10, seed: in
     return out, float(best_cost)
 
 
+def nearest_is_own(scaled: DataFrame, clusters: DataFrame, key: str = "product_name") -> DataFrame:
+    """What a finished k-means must show: (product, ``nearest_is_own``), true when no other cluster's mean is nearer."""
+    data = scaled.join(clusters.select(key, "cluster"), key)
+    means: dict[int, dict[int, float]] = {}
+    for r in (data.select("cluster", F.posexplode("scaled").alias("i", "z")).groupBy("cluster", "i")
+              .agg(F.avg("z").alias("m")).collect()):  # clusters x weeks
+        means.setdefault(r["cluster"], {})[r["i"]] = r["m"]
+
+    def gap(mean: dict[int, float]) -> Column:
+        centre = F.array(*[F.lit(mean[i]) for i in sorted(mean)])
+        return F.aggregate(F.zip_with("scaled", centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
+
+    gaps = {c: gap(m) for c, m in means.items()}
+    own = F.coalesce(*[F.when(F.col("cluster") == c, g) for c, g in gaps.items()], F.lit(None).cast("double"))
+    return data.select(key, (own <= F.array_min(F.array(*gaps.values())) + 1e-9).alias("nearest_is_own"))
+
+
+def _cluster_name(number: Column) -> Column:
+    """The descriptive name of a cluster number; numbers without one are called by it."""
+    names = F.create_map(*[x for i, n in CLUSTER_NAMES.items() for x in (F.lit(i), F.lit(n))])
+    return F.coalesce(F.try_element_at(names, number.cast("int")), F.concat(F.lit("Cluster "), number.cast("string")))
+
+
 def label_clusters(clusters: DataFrame, by: str = "id", vectors: DataFrame | None = None,
                    key: str = "product_name") -> DataFrame:
     """Cluster id -> name.  ``by='id'`` keeps the reference's arbitrary mapping (Q12);
     ``by='demand'`` names clusters by descending mean weekly sales."""
-    names = F.create_map(*[x for i, n in CLUSTER_NAMES.items() for x in (F.lit(i), F.lit(n))])
     if by == "id":
-        return clusters.withColumn("cluster_name", names[F.col("cluster")])
+        return clusters.withColumn("cluster_name", _cluster_name(F.col("cluster")))
     if vectors is None:
         raise ValueError("by='demand' needs the weekly vectors")
     total = F.aggregate("weekly", F.lit(0.0), lambda a, x: a + x) / F.size("weekly")
@@ -102,7 +128,8 @@ def label_clusters(clusters: DataFrame, by: str = "id", vectors: DataFrame | Non
               .groupBy("cluster").agg(F.avg("_avg").alias("_d")))
     ranked = demand.select("cluster", (F.row_number().over(Window.orderBy(F.col("_d").desc(), "cluster")) - 1)
                            .alias("_rank"))
-    return clusters.join(ranked, "cluster").withColumn("cluster_name", names[F.col("_rank")]).drop("_rank")
+    return clusters.join(F.broadcast(ranked), "cluster").withColumn(  # one row per cluster
+        "cluster_name", _cluster_name(F.col("_rank"))).drop("_rank")
 
 
 def clustered_products(labelled: DataFrame, key: str = "product_name",
@@ -110,7 +137,9 @@ def clustered_products(labelled: DataFrame, key: str = "product_name",
     """I8: one column per cluster name, products listed side by side in name order, NULL padded."""
     from .sequence import SEQ, sequence_rows
 
-    names = list(names or CLUSTER_NAMES.values())
+    if names is None:  # the fixed names first, then any others that occur (at most one per cluster)
+        found = [r[0] for r in labelled.select("cluster_name").distinct().orderBy("cluster_name").collect()]
+        names = [*CLUSTER_NAMES.values(), *[n for n in found if n not in CLUSTER_NAMES.values()]]
     # Position inside the cluster from the global (cluster, product) sequence, so a
     # cluster holding most products is still split over many tasks.
     seqd, _ = sequence_rows(labelled.select("cluster_name", key), [key], by=["cluster_name"])
@@ -122,5 +151,5 @@ def clustered_products(labelled: DataFrame, key: str = "product_name",
 
 
 def with_clusters(df: DataFrame, clusters: DataFrame, key: str = "product_name") -> DataFrame:
-    """The cluster of each sale's product (left join; the one-row-per-product side is broadcast by AQE)."""
-    return df.join(clusters.select(key, "cluster"), key, "left")
+    """The cluster of each sale's product (left join with a counted one-row-per-product table)."""
+    return attach(df, clusters.select(key, "cluster"), key)

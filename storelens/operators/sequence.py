@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,6 +73,7 @@ def _sequence(df: DataFrame, order_cols: Sequence[str], by: Sequence[str], parti
     schema = T.StructType([T.StructField("_part", T.LongType()), T.StructField("_off", T.LongType())])
     off_df = literal_frame(spark, offsets or [(0, 0)], schema)
     mask = (1 << _POS_BITS) - 1
+    # One row per partition of the checkpoint: bounded by the partition count.
     out = (ranged.join(F.broadcast(off_df), part == F.col("_part"), "inner")
            .withColumn(SEQ, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(mask)))
            .drop("_mid", "_part", "_off"))
@@ -97,7 +99,8 @@ def with_shifts(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] = ()
 
     ``shifts`` maps an output name to ``(source, k)``: ``k > 0`` takes the value
     ``k`` rows earlier (``lag``), ``k < 0`` the value ``-k`` rows later (``lead``);
-    NULL when that row is outside the group.  Sources listed in
+    NULL when that row is outside the group, and for a row whose group is NULL
+    in any ``by`` column (such rows belong to no group).  Sources listed in
     ``fill_forward`` are first forward-filled within the group (pandas pads
     before ``pct_change``); the filled value replaces the source column.
     """
@@ -107,6 +110,7 @@ def with_shifts(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] = ()
     fwd = max([-k for _, k in shifts.values() if k < 0], default=0)
     size = _bucket_size(total, back + fwd, _shuffle_partitions(df), bucket_rows)
     group: Column = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+    in_group = reduce(Column.__and__, [F.col(c).isNotNull() for c in by], F.lit(True))
 
     bucket = F.floor(F.col(SEQ) / F.lit(size)).cast("long")
     data = seqd.withColumn("_bucket", bucket)
@@ -129,7 +133,7 @@ def with_shifts(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] = ()
             same, val = F.lag(group, k).over(w), F.lag(F.col(src), k).over(w)
         else:
             same, val = F.lead(group, -k).over(w), F.lead(F.col(src), -k).over(w)
-        cols[out] = F.when(same == group, val)
+        cols[out] = F.when((same == group) & in_group, val)
     res = spread.withColumns(cols).filter(F.col("_tb") == F.col("_bucket")).drop("_tb", "_bucket")
     return res if keep_seq else res.drop(SEQ)
 

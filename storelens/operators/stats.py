@@ -1,239 +1,166 @@
 """Descriptive statistics, correlations and regression metrics.
 
-All moments come from aggregate passes (partial per task).  Exact quartiles
-use ``percentile`` only under a checked row bound (its buffer holds every
-distinct value of a column in one task); above it they come from a
-range-partitioned sort of the (column, value) pairs, whose per-column positions
-are known from the counts.  Only aggregates (a few numbers per column) reach
-the driver.
+Moments and exact quartiles come from the counts of the distinct values of each
+column (one pass, partial per task) and a running count over their range
+partitions; correlations from one aggregate pass.  Only aggregates (a few
+numbers per column, or per range partition and column) reach the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import literal_frame, materialize
 from ..sources.schema import columns_of_type
-from ..session import literal_frame
-from .sequence import SEQ, sequence_rows
 
 STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 PROBS = [0.25, 0.5, 0.75]
 
 
-def _moments(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, float]]:
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    row = df.agg(*aggs).first()
-    return {c: {"count": float(row[f"n{i}"]), "mean": row[f"m{i}"], "std": row[f"s{i}"],
-                "min": row[f"lo{i}"], "max": row[f"hi{i}"]} for i, c in enumerate(cols)}
+def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``_c`` (column number), ``_v`` (value as double), ``_n`` (rows), range-partitioned and sorted by
+    (column, value), with ``_part``, the number of the range partition; written once.
 
-
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = PROBS) -> DataFrame:
-    """Linear-interpolation quantiles (numpy/pandas default), exact, as (column, prob, value).
-
-    Values are unpivoted to (column index, value), globally sorted by the
-    sequence primitive, and only the 2 x len(probs) rows per column at the
-    interpolation positions are kept.
+    One pass over ``df``: each task counts its own values first, so a column
+    with few values costs a few rows per task whatever the row count.
     """
-    spark = df.sparkSession
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)
     ])).alias("_p")).select("_p._c", "_p._v").filter(F.col("_v").isNotNull())
-    seqd, _ = sequence_rows(pairs, ["_v"], by=["_c"])
-    counts = {r["_c"]: r["_n"] for r in seqd.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).collect()}
-    wanted, start = [], 0
-    for i in range(len(cols)):
-        n = int(counts.get(i, 0))
-        for p in probs:
-            if n == 0:
-                continue
-            h = (n - 1) * p
-            lo = math.floor(h)
-            hi = min(lo + 1, n - 1)
-            wanted.append((i, float(p), start + lo, start + hi, h - lo))
-        start += n
-    schema = T.StructType([T.StructField("_c", T.IntegerType()), T.StructField("prob", T.DoubleType()),
-                           T.StructField("_lo", T.LongType()), T.StructField("_hi", T.LongType()),
-                           T.StructField("_frac", T.DoubleType())])
-    spots = literal_frame(spark, wanted, schema)
-    positions = spots.select(F.explode(F.array("_lo", "_hi")).alias(SEQ)).distinct()
-    picked = seqd.join(F.broadcast(positions), SEQ, "inner").select(SEQ, "_v")
-    lo_v = picked.select(F.col(SEQ).alias("_lo"), F.col("_v").alias("_vlo"))
-    hi_v = picked.select(F.col(SEQ).alias("_hi"), F.col("_v").alias("_vhi"))
-    names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_c") + 1)
-    return (spots.join(lo_v, "_lo").join(hi_v, "_hi")
-            .select(names.alias("column"), "prob",
-                    (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("value")))
-
-
-def band_quantiles(df: DataFrame, cols: Sequence[str], counts: dict[str, int],
-                   probs: Sequence[float] = PROBS, max_band: int = 20000) -> dict | None:
-    """Exact quantiles by selection in two aggregate passes, or None when not applicable.
-
-    Pass 1: ``percentile_approx`` brackets each target rank (rank error at most
-    n / accuracy, accuracy chosen so each bracket holds about ``max_band`` values
-    at most).  Pass 2: per (column, prob) the count below the bracket and the
-    sorted values inside it.  The answer is exact when the bracket is verified
-    to contain both interpolation ranks; otherwise None (caller sorts).
+    counts = pairs.groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    return materialize(counts.repartitionByRange("_c", "_v").sortWithinPartitions("_c", "_v")
+                       .withColumn("_part", F.spark_partition_id()))
+
+
+def _ranks(counts: DataFrame, wanted: dict[int, set[int]]) -> dict[tuple[int, int], float]:
+    """The values at the given 0-based ranks of each column, from ``value_counts``.
+
+    The driver sees one row per (partition, column) and the values found.  Only
+    the partitions that hold a wanted rank are searched, each by a running count.
     """
-    n_max = max(counts.values(), default=0)
-    if n_max == 0:
-        return {}
-    accuracy = int(min(max(10000, 8 * n_max / max_band), 1_000_000))
-    if 8 * n_max / accuracy > max_band:
-        return None
-    eps = 1.0 / accuracy
-    grid = [x for p in probs for x in (max(0.0, p - 3 * eps), min(1.0, p + 3 * eps))]
-    first = df.agg(*[F.percentile_approx(F.col(c), grid, accuracy).alias(f"b{i}")
-                     for i, c in enumerate(cols)]).first()
-    aggs = []
-    for i, c in enumerate(cols):
-        for j, _ in enumerate(probs):
-            br = first[f"b{i}"]
-            if br is None:
-                continue
-            lo, hi = br[2 * j], br[2 * j + 1]
-            x = F.col(c)
-            aggs += [F.count_if(x < F.lit(lo)).alias(f"below_{i}_{j}"),
-                     F.array_sort(F.collect_list(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), x)))
-                     .alias(f"band_{i}_{j}")]
-    second = df.agg(*aggs).first() if aggs else None
+    sizes = counts.groupBy("_part", "_c").agg(F.sum("_n").alias("_s")).collect()
+    spots, before = [], {}
+    for part, c, n in sorted((r["_part"], r["_c"], r["_s"]) for r in sizes):
+        start = before.get(c, 0)
+        spots += [(part, c, rank, rank - start) for rank in sorted(wanted.get(c, ())) if start <= rank < start + n]
+        before[c] = start + n
+    schema = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_c", T.IntegerType()),
+                           T.StructField("_rank", T.LongType()), T.StructField("_at", T.LongType())])
+    spot = literal_frame(counts.sparkSession, spots, schema)
+    held = counts.join(F.broadcast(spot.select("_part", "_c").distinct()), ["_part", "_c"])  # a few rows per column
+    upto = Window.partitionBy("_part", "_c").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    run = held.withColumn("_upto", F.sum("_n").over(upto))
+    found = run.join(F.broadcast(spot), ["_part", "_c"]).filter(
+        (F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_n")))
+    return {(r["_c"], r["_rank"]): r["_v"] for r in found.select("_c", "_rank", "_v").collect()}
+
+
+def _moments(counts: DataFrame, cols: Sequence[str]) -> dict[int, dict[str, float]]:
+    """Count, mean, standard deviation, minimum and maximum of each column from its value counts."""
+    first = {r["_c"]: r for r in counts.groupBy("_c").agg(
+        F.sum("_n").alias("n"), F.sum(F.col("_v") * F.col("_n")).alias("s"), F.min("_v").alias("lo"),
+        F.max("_v").alias("hi")).collect()}
+    means = literal_frame(counts.sparkSession, [(c, r["s"] / r["n"]) for c, r in first.items()],
+                          T.StructType([T.StructField("_c", T.IntegerType()), T.StructField("_m", T.DoubleType())]))
+    d = F.col("_v") - F.col("_m")
+    squares = {r["_c"]: r["q"] for r in counts.join(F.broadcast(means), "_c")  # one row per column
+               .groupBy("_c").agg(F.sum(d * d * F.col("_n")).alias("q")).collect()}
+    out = {}
+    for i in range(len(cols)):
+        r = first.get(i)
+        n = int(r["n"]) if r else 0
+        out[i] = {"count": float(n), "mean": r["s"] / n if n else None,
+                  "std": math.sqrt(squares[i] / (n - 1)) if n > 1 else None,
+                  "min": r["lo"] if n else None, "max": r["hi"] if n else None}
+    return out
+
+
+def quantiles(counts: DataFrame, sizes: Mapping[int, int], probs: Sequence[float] = PROBS) -> dict[tuple[int, float], float]:
+    """Exact quantiles with linear interpolation (numpy/pandas default) from ``value_counts``, by (column, prob)."""
+    spots = {(c, p): (n - 1) * p for c, n in sizes.items() if n for p in probs}
+    wanted: dict[int, set[int]] = {}
+    for (c, _), h in spots.items():
+        wanted.setdefault(c, set()).update({math.floor(h), min(math.floor(h) + 1, sizes[c] - 1)})
+    at = _ranks(counts, wanted)
     out = {}
-    for i, c in enumerate(cols):
-        n = int(counts.get(c, 0))
-        for j, p in enumerate(probs):
-            if n == 0:
-                out[(c, p)] = None
-                continue
-            h = (n - 1) * p
-            lo_rank = math.floor(h)
-            hi_rank = min(lo_rank + 1, n - 1)
-            below, vals = second[f"below_{i}_{j}"], second[f"band_{i}_{j}"]
-            if not (below <= lo_rank and hi_rank < below + len(vals)):
-                return None
-            a, b = vals[lo_rank - below], vals[hi_rank - below]
-            out[(c, p)] = a + (b - a) * (h - lo_rank)
+    for (c, p), h in spots.items():
+        lo, hi = at[(c, math.floor(h))], at[(c, min(math.floor(h) + 1, sizes[c] - 1))]
+        out[(c, p)] = lo + (hi - lo) * (h - math.floor(h))
     return out
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False,
-                     accuracy: int = 100000, exact_buffer_rows: int = 250_000) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pandas ``describe()``: rows count, mean, std, min, 25%, 50%, 75%, max; one column per input.
 
-    Quartiles are exact by default: with at most ``exact_buffer_rows`` values
-    per column the in-memory ``percentile`` aggregate is used (its buffer is
-    bounded by that count); above it, a verified two-pass selection
-    (``band_quantiles``), and if that cannot be verified the distributed sort in
-    ``exact_quantiles``.  ``approx=True`` uses ``percentile_approx``.
+    Exact at every size by one method: the value counts of all columns from one
+    pass, then moments and ranks from those.  What reaches the driver is one row per column
+    and per (range partition, column), never values of the data but the ranks asked for.
     """
-    from ..session import materialize
-
     cols = list(cols or columns_of_type(df, "numeric"))
-    spark = df.sparkSession
-    df = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    mom = _moments(df, cols)
-    if approx:
-        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), PROBS, accuracy).alias(f"q{i}")
-                       for i, c in enumerate(cols)]).first()
-        quant = {(c, p): row[f"q{i}"][j] if row[f"q{i}"] else None
-                 for i, c in enumerate(cols) for j, p in enumerate(PROBS)}
-    elif max((mom[c]["count"] for c in cols), default=0) <= exact_buffer_rows:
-        # Under the bound the exact in-memory percentile is cheapest (one pass).
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in PROBS])).alias(f"q{i}")
-                       for i, c in enumerate(cols)]).first()
-        quant = {(c, p): row[f"q{i}"][j] if row[f"q{i}"] else None
-                 for i, c in enumerate(cols) for j, p in enumerate(PROBS)}
-    else:
-        counts = {c: int(mom[c]["count"]) for c in cols}
-        quant = band_quantiles(df, cols, counts)
-        if quant is None:  # bracket not verified or too wide: distributed sort
-            quant = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, cols).collect()}
+    counts = value_counts(df, cols)
+    mom = _moments(counts, cols)
+    quant = quantiles(counts, {i: int(m["count"]) for i, m in mom.items()})
     rows = []
     for stat in STATS:
-        vals = []
-        for c in cols:
-            if stat.endswith("%"):
-                vals.append(quant.get((c, int(stat[:-1]) / 100)))
-            else:
-                vals.append(mom[c][stat])
+        vals = [quant.get((i, int(stat[:-1]) / 100)) if stat.endswith("%") else mom[i][stat] for i in range(len(cols))]
         rows.append((stat, *[None if v is None else float(v) for v in vals]))
     schema = T.StructType([T.StructField("stat", T.StringType())]
                           + [T.StructField(c, T.DoubleType()) for c in cols])
-    return literal_frame(spark, rows, schema)
+    return literal_frame(df.sparkSession, rows, schema)
 
 
-def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson r for every ordered pair (a, b) including the diagonal, long form.
+def _pearson(cov, va, vb):
+    if cov is None or not va or not vb:
+        return None  # too few rows, or a constant column
+    return max(-1.0, min(1.0, cov / math.sqrt(va * vb)))
+
 
-    Pass 1 gets each column's mean and NULL count; pass 2 sums products of
-    centred values (numerically stable).  Pairs of NULL-free columns need one
-    sum each; a pair touching a column with NULLs uses pandas' pairwise rule
-    (only rows where both are present), with masked sums.  A constant column
-    gives NULL, never an ANSI divide error.
+def _correlations(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """Pearson r of the given column pairs from one aggregate pass.
+
+    ``covar_pop`` skips rows where either side is NULL.  If a pair's rows are
+    all rows of both columns, the columns' own variances belong to it; only pairs
+    touched by NULLs need a second pass, with variances over the common rows (pandas' rule).
     """
-    from ..session import materialize
-
-    cols = list(cols)
-    k = len(cols)
-    spark = df.sparkSession
-    # Both passes read only these columns: write them once instead of recomputing the input.
-    df = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    xs = [F.col(c) for c in cols]
-    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
-                   *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
-                   *[(F.min(x) == F.max(x)).alias(f"k{i}") for i, x in enumerate(xs)]).first()
-    n = first["n"]
-    mean = [first[f"m{i}"] or 0.0 for i in range(k)]
-    has_null = [first[f"n{i}"] != n for i in range(k)]
-    d = [(x - F.lit(float(mean[i]))) for i, x in enumerate(xs)]
-    aggs, plan = [], {}
-    for i in range(k):
-        for j in range(i, k):
-            if not (has_null[i] or has_null[j]):
-                aggs.append(F.sum(d[i] * d[j]).alias(f"p_{i}_{j}"))
-                plan[(i, j)] = "fast"
-            else:
-                both = xs[i].isNotNull() & xs[j].isNotNull()
-                di, dj = F.when(both, d[i]), F.when(both, d[j])
-                aggs += [F.count(di).alias(f"c_{i}_{j}"), F.sum(di).alias(f"a_{i}_{j}"),
-                         F.sum(dj).alias(f"b_{i}_{j}"), F.sum(di * di).alias(f"aa_{i}_{j}"),
-                         F.sum(dj * dj).alias(f"bb_{i}_{j}"), F.sum(di * dj).alias(f"p_{i}_{j}")]
-                plan[(i, j)] = "pairwise"
-    sums = df.agg(*aggs).first() if aggs else None
-    out = []
-    for i in range(k):
-        for j in range(k):
-            lo, hi = min(i, j), max(i, j)
-            r = None
-            if plan[(lo, hi)] == "fast":
-                sxy, sxx, syy = sums[f"p_{lo}_{hi}"], sums[f"p_{lo}_{lo}"], sums[f"p_{hi}_{hi}"]
-                if n and n > 1 and sxy is not None and sxx and syy:
-                    r = sxy / math.sqrt(sxx * syy)
-            else:
-                m = sums[f"c_{lo}_{hi}"]
-                if m and m > 1:
-                    a, b = sums[f"a_{lo}_{hi}"], sums[f"b_{lo}_{hi}"]
-                    sxx = sums[f"aa_{lo}_{hi}"] - a * a / m
-                    syy = sums[f"bb_{lo}_{hi}"] - b * b / m
-                    sxy = sums[f"p_{lo}_{hi}"] - a * b / m
-                    if sxx > 0 and syy > 0:
-                        r = sxy / math.sqrt(sxx * syy)
-            if first[f"k{i}"] or first[f"k{j}"]:
-                r = None  # a constant column has no correlation
-            if r is not None:
-                r = max(-1.0, min(1.0, r))
-            out.append((cols[i], cols[j], i * k + j, r))
+    xs = [F.col(c).cast("double") for c in cols]
+    used = sorted({i for p in pairs for i in p})
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 *[F.count(xs[i]).alias(f"n{i}") for i in used], *[F.var_pop(xs[i]).alias(f"v{i}") for i in used],
+                 *[F.covar_pop(xs[i], xs[j]).alias(f"c{i}_{j}") for i, j in pairs if i != j]).first()
+    whole = {i: row[f"n{i}"] == row["n"] for i in used}
+    out, rest = {}, []
+    for i, j in pairs:
+        if i == j:
+            out[(i, j)] = 1.0 if row[f"n{i}"] > 1 and row[f"v{i}"] else None
+        elif whole[i] and whole[j]:
+            out[(i, j)] = _pearson(row[f"c{i}_{j}"], row[f"v{i}"], row[f"v{j}"]) if row["n"] > 1 else None
+        else:
+            rest.append((i, j))
+    if rest:
+        aggs = []
+        for i, j in rest:
+            both = xs[i].isNotNull() & xs[j].isNotNull()
+            aggs += [F.count_if(both).alias(f"n{i}_{j}"), F.var_pop(F.when(both, xs[i])).alias(f"a{i}_{j}"),
+                     F.var_pop(F.when(both, xs[j])).alias(f"b{i}_{j}")]
+        more = df.agg(*aggs).first()
+        for i, j in rest:
+            out[(i, j)] = _pearson(row[f"c{i}_{j}"], more[f"a{i}_{j}"], more[f"b{i}_{j}"]) if more[f"n{i}_{j}"] > 1 else None
+    return out
+
+
+def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pearson r for every ordered pair (a, b) including the diagonal, long form; NULL for a constant column."""
+    cols, k = list(cols), len(cols)
+    r = _correlations(df, cols, [(i, j) for i in range(k) for j in range(i, k)])
+    out = [(cols[i], cols[j], i * k + j, r[(min(i, j), max(i, j))]) for i in range(k) for j in range(k)]
     schema = T.StructType([T.StructField("col1", T.StringType()), T.StructField("col2", T.StringType()),
                            T.StructField("ordinal", T.IntegerType()), T.StructField("correlation", T.DoubleType())])
-    return literal_frame(spark, out, schema)
+    return literal_frame(df.sparkSession, out, schema)
 
 
 def sales_factor_correlation(df: DataFrame, target: str = "total_sales",
@@ -241,9 +168,11 @@ def sales_factor_correlation(df: DataFrame, target: str = "total_sales",
                                                        "holiday_code", "discount_pct")) -> DataFrame:
     """Correlation of each factor (and the target itself) with the target, largest first, NULL last."""
     cols = [*factors, target]
-    pairs = correlation_pairs(df, cols).filter(F.col("col2") == target)
-    return (pairs.select(F.col("col1").alias("factor"), "correlation")
-            .orderBy(F.col("correlation").desc_nulls_last(), "factor"))
+    t = len(factors)
+    r = _correlations(df, cols, [(i, t) for i in range(t + 1)])
+    schema = T.StructType([T.StructField("factor", T.StringType()), T.StructField("correlation", T.DoubleType())])
+    return literal_frame(df.sparkSession, [(c, r[(i, t)]) for i, c in enumerate(cols)], schema) \
+        .orderBy(F.col("correlation").desc_nulls_last(), "factor")
 
 
 def strength(r: Column) -> Column:
@@ -271,8 +200,11 @@ def correlation_summary(df: DataFrame, cols: Sequence[str] | None = None, digits
             .orderBy("ordinal"))
 
 
-def correlation_summary_text(summary: DataFrame,
-                             empty: str = "No numeric data available for correlation analysis.") -> DataFrame:
+# Fixed value: the text when there is nothing to correlate.
+NO_NUMERIC = "No numeric data available for correlation analysis."
+
+
+def correlation_summary_text(summary: DataFrame, empty: str = NO_NUMERIC) -> DataFrame:
     """The summary as one text (lines joined by newlines, each ending in a newline)."""
     lines = F.array_sort(F.collect_list(F.struct("ordinal", "line")))
     text = F.concat(F.array_join(F.transform(lines, lambda s: s["line"]), "\n"),

@@ -14,9 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import half_even
+from ..functions.numeric import half_even, lookup, projected_stock, sanitize, with_money
 from ..operators import sales as S
-from ..sources.tables import enriched, prepared, sales_view, with_sql
+from ..session import materialize
+from ..sources.tables import enriched, prepared, read_table, sales_view, with_sql
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -45,19 +46,20 @@ def r2sql(expr: str) -> str:
     return f"round_even(CAST({expr} AS DOUBLE) * 100.0, 0) / 100.0"
 
 
-MONEY = "COALESCE(CAST(SUM(CAST(total_sales AS DECIMAL(18,2))) AS DOUBLE), 0.0)"
+MONEY = "COALESCE(CAST(SUM(CAST(total_sales AS DECIMAL(24,6))) AS DOUBLE), 0.0)"
 
 
-def base(spark: SparkSession, sf: str) -> DataFrame:
-    return sales_view(spark, sf)
+def base(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    """The sales view, of only the named columns if any are named (then only their tables are joined)."""
+    return sales_view(spark, sf, cols or None)
 
 
-def prep(spark: SparkSession, sf: str) -> DataFrame:
-    return prepared(sales_view(spark, sf))
+def prep(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    return prepared(base(spark, sf, *(("date", *cols) if cols else ())))
 
 
-def enr(spark: SparkSession, sf: str) -> DataFrame:
-    return enriched(sales_view(spark, sf))
+def enr(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    return enriched(base(spark, sf, *(("date", *cols) if cols else ())))
 
 
 # ---------------------------------------------------------------- grouped sales
@@ -65,42 +67,42 @@ def enr(spark: SparkSession, sf: str) -> DataFrame:
 @register("sales_by_day_of_week", f"""
 SELECT day_of_week, {MONEY} AS total_sales FROM enriched GROUP BY day_of_week""")
 def q_sales_by_day_of_week(spark, sf):
-    return S.sales_by_day_of_week(enr(spark, sf))
+    return S.sales_by_day_of_week(enr(spark, sf, "total_sales"))
 
 
 @register("sales_by_week_of_month", f"""
 SELECT week_of_month, {MONEY} AS total_sales FROM prepared GROUP BY week_of_month""")
 def q_sales_by_week_of_month(spark, sf):
-    return S.sales_by_week_of_month(prep(spark, sf))
+    return S.sales_by_week_of_month(prep(spark, sf, "total_sales"))
 
 
 @register("sales_by_weather", f"""
 SELECT weather, {MONEY} AS total_sales FROM prepared GROUP BY weather""")
 def q_sales_by_weather(spark, sf):
-    return S.sales_by_weather(prep(spark, sf))
+    return S.sales_by_weather(prep(spark, sf, "weather", "total_sales"))
 
 
 @register("weather_temperature_sales", """
 SELECT weather,
-  COALESCE(CAST(SUM(CASE WHEN temperature_c > -10 AND temperature_c <= 10 THEN CAST(total_sales AS DECIMAL(18,2)) END) AS DOUBLE), 0.0) AS cold,
-  COALESCE(CAST(SUM(CASE WHEN temperature_c > 10 AND temperature_c <= 20 THEN CAST(total_sales AS DECIMAL(18,2)) END) AS DOUBLE), 0.0) AS mild,
-  COALESCE(CAST(SUM(CASE WHEN temperature_c > 20 AND temperature_c <= 30 THEN CAST(total_sales AS DECIMAL(18,2)) END) AS DOUBLE), 0.0) AS warm,
-  COALESCE(CAST(SUM(CASE WHEN temperature_c > 30 AND temperature_c <= 40 THEN CAST(total_sales AS DECIMAL(18,2)) END) AS DOUBLE), 0.0) AS hot
+  COALESCE(CAST(SUM(CASE WHEN temperature_c > -10 AND temperature_c <= 10 THEN CAST(total_sales AS DECIMAL(24,6)) END) AS DOUBLE), 0.0) AS cold,
+  COALESCE(CAST(SUM(CASE WHEN temperature_c > 10 AND temperature_c <= 20 THEN CAST(total_sales AS DECIMAL(24,6)) END) AS DOUBLE), 0.0) AS mild,
+  COALESCE(CAST(SUM(CASE WHEN temperature_c > 20 AND temperature_c <= 30 THEN CAST(total_sales AS DECIMAL(24,6)) END) AS DOUBLE), 0.0) AS warm,
+  COALESCE(CAST(SUM(CASE WHEN temperature_c > 30 AND temperature_c <= 40 THEN CAST(total_sales AS DECIMAL(24,6)) END) AS DOUBLE), 0.0) AS hot
 FROM prepared GROUP BY weather""")
 def q_weather_temperature_sales(spark, sf):
-    return S.weather_temperature_sales(prep(spark, sf))
+    return S.weather_temperature_sales(prep(spark, sf, "weather", "temperature_c", "total_sales"))
 
 
 @register("sales_by_holiday", f"""
 SELECT is_holiday, {MONEY} AS total_sales FROM prepared GROUP BY is_holiday""")
 def q_sales_by_holiday(spark, sf):
-    return S.sales_by_holiday(prep(spark, sf))
+    return S.sales_by_holiday(prep(spark, sf, "is_holiday", "total_sales"))
 
 
 def _season_cols(transform=None) -> str:
     out = []
     for s in ["Fall", "Spring", "Summer", "Winter"]:
-        out.append(f"COALESCE(CAST(SUM(CASE WHEN season = '{s}' THEN CAST(total_sales AS DECIMAL(18,2)) END) AS DOUBLE), 0.0) AS {s.lower()}")
+        out.append(f"COALESCE(CAST(SUM(CASE WHEN season = '{s}' THEN CAST(total_sales AS DECIMAL(24,6)) END) AS DOUBLE), 0.0) AS {s.lower()}")
     return ",\n  ".join(out)
 
 
@@ -109,7 +111,7 @@ SELECT category,
   {_season_cols()}
 FROM prepared GROUP BY category""")
 def q_seasonal_sales(spark, sf):
-    return S.seasonal_sales(prep(spark, sf))
+    return S.seasonal_sales(prep(spark, sf, "category", "season", "total_sales"))
 
 
 @register("seasonal_sales_change", f"""
@@ -123,7 +125,7 @@ SELECT category,
   {r2sql('(winter / NULLIF(summer, 0) - 1.0) * 100.0')} AS winter
 FROM wide""")
 def q_seasonal_sales_change(spark, sf):
-    return S.seasonal_sales_change(prep(spark, sf))
+    return S.seasonal_sales_change(prep(spark, sf, "category", "season", "total_sales"))
 
 
 @register("return_rate_top5", f"""
@@ -131,7 +133,7 @@ def q_seasonal_sales_change(spark, sf):
 t AS (SELECT *, CAST(row_number() OVER (ORDER BY return_rate_pct DESC NULLS LAST, product_name) AS INTEGER) AS rank FROM m)
 SELECT product_name, {r6sql('return_rate_pct')} AS return_rate_pct, rank FROM t WHERE rank <= 5""")
 def q_return_rate_top5(spark, sf):
-    return S.return_rate_top5(prep(spark, sf)).withColumn("return_rate_pct", r6("return_rate_pct"))
+    return S.return_rate_top5(prep(spark, sf, "product_name", "returned", "quantity_sold")).withColumn("return_rate_pct", r6("return_rate_pct"))
 
 
 @register("current_stock_top5", f"""
@@ -139,7 +141,7 @@ def q_return_rate_top5(spark, sf):
 t AS (SELECT *, CAST(row_number() OVER (ORDER BY current_stock DESC NULLS LAST, product_name) AS INTEGER) AS rank FROM m)
 SELECT product_name, {r6sql('current_stock')} AS current_stock, rank FROM t WHERE rank <= 5""")
 def q_current_stock_top5(spark, sf):
-    return S.current_stock_top5(prep(spark, sf)).withColumn("current_stock", r6("current_stock"))
+    return S.current_stock_top5(prep(spark, sf, "product_name", "stock_after_sale")).withColumn("current_stock", r6("current_stock"))
 
 
 @register("monthly_inventory_turnover", f"""
@@ -147,19 +149,19 @@ SELECT month,
   {r2sql(f'{MONEY} / (CAST(SUM(stock_after_sale) AS DOUBLE) / COUNT(stock_after_sale))')} AS inventory_turnover_rate
 FROM prepared GROUP BY month""")
 def q_monthly_inventory_turnover(spark, sf):
-    return S.monthly_inventory_turnover(prep(spark, sf))
+    return S.monthly_inventory_turnover(prep(spark, sf, "total_sales", "stock_after_sale"))
 
 
 @register("sales_by_discount", f"""
 SELECT discount_pct, {MONEY} AS total_sales FROM prepared GROUP BY discount_pct""")
 def q_sales_by_discount(spark, sf):
-    return S.sales_by_discount(prep(spark, sf))
+    return S.sales_by_discount(prep(spark, sf, "discount_pct", "total_sales"))
 
 
 @register("profit_margin_by_product", f"""
 SELECT product_name, {r6sql('AVG(profit_margin)')} AS profit_margin FROM prepared GROUP BY product_name""")
 def q_profit_margin_by_product(spark, sf):
-    return S.profit_margin_by_product(prep(spark, sf)).withColumn("profit_margin", r6("profit_margin"))
+    return S.profit_margin_by_product(prep(spark, sf, "product_name", "net_sales", "total_sales")).withColumn("profit_margin", r6("profit_margin"))
 
 
 @register("category_performance", f"""
@@ -167,7 +169,8 @@ SELECT category, CAST(SUM(quantity_sold) AS BIGINT) AS quantity_sold, {MONEY} AS
   {r6sql('AVG(profit_margin)')} AS profit_margin
 FROM prepared GROUP BY category""")
 def q_category_performance(spark, sf):
-    return S.category_performance(prep(spark, sf)).withColumn("profit_margin", r6("profit_margin"))
+    return S.category_performance(
+        prep(spark, sf, "category", "quantity_sold", "net_sales", "total_sales")).withColumn("profit_margin", r6("profit_margin"))
 
 
 def _total_avg_sql(key: str) -> str:
@@ -180,43 +183,43 @@ for _name, _key in [("category_sales", "category"), ("weather_sales", "weather")
                     ("product_sales", "product_name"), ("season_sales", "season"),
                     ("day_of_week_sales", "day_of_week")]:
     register(_name, _total_avg_sql(_key))(
-        (lambda key: lambda spark, sf: S.total_and_average_sales(enr(spark, sf), key))(_key))
+        (lambda key: lambda spark, sf: S.total_and_average_sales(enr(spark, sf, key, "total_sales"), key))(_key))
 
 
 @register("monthly_sales_over_year", f"""
 , per_year AS (
-  SELECT year(date) AS y, month(date) AS m, SUM(CAST(total_sales AS DECIMAL(18,2))) AS t FROM sales GROUP BY 1, 2)
+  SELECT year(date) AS y, month(date) AS m, SUM(CAST(total_sales AS DECIMAL(24,6))) AS t FROM sales GROUP BY 1, 2)
 SELECT monthname(make_date(2000, m, 1)) AS month,
   {r2sql('CAST(SUM(t) AS DOUBLE) / COUNT(*)')} AS average_monthly_sales,
   {r2sql('CAST(SUM(t) AS DOUBLE)')} AS total_sales
 FROM per_year GROUP BY m""")
 def q_monthly_sales_over_year(spark, sf):
-    return S.monthly_sales_over_year(base(spark, sf))
+    return S.monthly_sales_over_year(base(spark, sf, "date", "total_sales"))
 
 
 @register("transaction_count", """
 SELECT CAST(COUNT(DISTINCT transaction_id) AS BIGINT) AS transactions FROM prepared""")
 def q_transaction_count(spark, sf):
-    return S.transaction_count(prep(spark, sf))
+    return S.transaction_count(prep(spark, sf, "transaction_id"))
 
 
 @register("transaction_product_counts", """
 SELECT transaction_id, product_name, CAST(COUNT(*) AS BIGINT) AS rows FROM prepared GROUP BY 1, 2""")
 def q_transaction_product_counts(spark, sf):
-    return S.transaction_product_counts(prep(spark, sf))
+    return S.transaction_product_counts(prep(spark, sf, "transaction_id", "product_name"))
 
 
 @register("monthly_product_sales", """
 SELECT product_name, strftime(date, '%Y-%m') AS month_period, CAST(SUM(quantity_sold) AS BIGINT) AS monthly_sales
 FROM sales GROUP BY 1, 2""")
 def q_monthly_product_sales(spark, sf):
-    return S.monthly_product_sales(base(spark, sf))
+    return S.monthly_product_sales(base(spark, sf, "date", "product_name", "quantity_sold"))
 
 
 @register("sales_by_day_number", f"""
 SELECT day_number, {MONEY} AS total_sales FROM prepared GROUP BY day_number""")
 def q_sales_by_day_number(spark, sf):
-    return S.sales_by_day_number(prep(spark, sf))
+    return S.sales_by_day_number(prep(spark, sf, "total_sales"))
 
 
 # ---------------------------------------------------------------- ordered operators
@@ -237,7 +240,7 @@ SELECT {KEYS_SQL}, product_name, quantity_sold,
   CAST(lead(quantity_sold, 7) OVER w AS DOUBLE) AS future_7_day_sales
 FROM sales WINDOW w AS (PARTITION BY product_name ORDER BY {ORDER_SQL})""")
 def q_sales_lags(spark, sf):
-    df = base(spark, sf).select(*ORDER_COLS, "product_name", "quantity_sold")
+    df = base(spark, sf, *ORDER_COLS, "product_name", "quantity_sold")
     return O.with_lags(df, ORDER_COLS).select(
         *KEYS, "product_name", "quantity_sold",
         *[F.col(c).cast("double").alias(c) for c in ["sales_lag_1", "sales_lag_7", "sales_lag_14",
@@ -260,10 +263,15 @@ chr AS (SELECT *, quantity_change_pct / NULLIF(price_change_pct, 0) AS price_sen
 """
 
 
+def _change_input(spark, sf):
+    cols = [*ORDER_COLS, "product_name", "unit_price", "quantity_sold"]
+    return prep(spark, sf, *cols).select(*cols)
+
+
 @register("price_quantity_change", _CHANGE_SQL + f"""
 SELECT {KEYS_SQL}, product_name, price_change_pct, quantity_change_pct, price_sensitivity_ratio FROM chr""")
 def q_price_quantity_change(spark, sf):
-    df = prep(spark, sf).select(*ORDER_COLS, "product_name", "unit_price", "quantity_sold")
+    df = _change_input(spark, sf)
     return O.with_product_change(df, ORDER_COLS).select(
         *KEYS, "product_name", "price_change_pct", "quantity_change_pct", "price_sensitivity_ratio")
 
@@ -284,7 +292,7 @@ gr AS (
 @register("sales_growth", _GROWTH_SQL + f"""
 SELECT {KEYS_SQL}, product_name, weekly_growth, monthly_growth FROM gr""")
 def q_sales_growth(spark, sf):
-    df = prep(spark, sf).select(*ORDER_COLS, "product_name")
+    df = prep(spark, sf, *ORDER_COLS, "product_name").select(*ORDER_COLS, "product_name")
     return O.with_growth(df, ORDER_COLS).select(*KEYS, "product_name", "weekly_growth", "monthly_growth")
 
 
@@ -292,7 +300,7 @@ def q_sales_growth(spark, sf):
 SELECT product_name, {r2sql('AVG(weekly_growth)')} AS weekly_growth, {r2sql('AVG(monthly_growth)')} AS monthly_growth
 FROM gr GROUP BY product_name""")
 def q_growth_by_product(spark, sf):
-    df = prep(spark, sf).select(*ORDER_COLS, "product_name")
+    df = prep(spark, sf, *ORDER_COLS, "product_name").select(*ORDER_COLS, "product_name")
     return O.growth_by_product(O.with_growth(df, ORDER_COLS))
 
 
@@ -302,7 +310,7 @@ SELECT product_name, {r6sql('AVG(price_change_pct)')} AS price_change_pct,
   {r6sql('AVG(price_sensitivity_ratio)')} AS price_sensitivity_ratio
 FROM chr GROUP BY product_name""")
 def q_price_sensitivity(spark, sf):
-    df = prep(spark, sf).select(*ORDER_COLS, "product_name", "unit_price", "quantity_sold")
+    df = _change_input(spark, sf)
     res = O.price_sensitivity(O.with_product_change(df, ORDER_COLS))
     return res.select("product_name", *[r6(c).alias(c) for c in
                                         ["price_change_pct", "quantity_change_pct", "price_sensitivity_ratio"]])
@@ -326,10 +334,11 @@ FROM ranked WHERE rank <= 10"""
 
 def _promotion_query(min_ratio: float, max_change: float):
     def run(spark, sf):
-        rows = prep(spark, sf)
-        df = rows.select(*ORDER_COLS, "product_name", "unit_price", "quantity_sold")
-        sens = O.price_sensitivity(O.with_product_change(df, ORDER_COLS))
-        res = O.promotion_candidates(sens, rows, min_ratio, max_change)
+        cols = [*ORDER_COLS, "product_name", "unit_price", "quantity_sold"]
+        rows = prep(spark, sf, *cols, "net_sales").select(*cols, "profit_margin")
+        # The margin rides along through the change, so the fact tables are joined once.
+        changed = materialize(O.with_product_change(rows, ORDER_COLS))
+        res = O.promotion_candidates(O.price_sensitivity(changed), changed, min_ratio, max_change)
         return res.select("product_name", *[r6(c).alias(c) for c in [
             "price_change_pct", "quantity_change_pct", "price_sensitivity_ratio", "profit_margin"]], "rank")
     return run
@@ -347,7 +356,8 @@ register("promotion_candidates_wide", _promotion_sql(-2.0, 460.0))(_promotion_qu
 SELECT product_name, strftime(date, '%Y-%m-%d') AS date, {KEYS_SQL}, total_sales, stock_after_sale AS current_stock
 FROM r WHERE rn = 1""")
 def q_latest_per_product(spark, sf):
-    df = prep(spark, sf).select("product_name", *ORDER_COLS, F.col("stock_after_sale").alias("current_stock"))
+    df = prep(spark, sf, "product_name", *ORDER_COLS, "stock_after_sale").select(
+        "product_name", *ORDER_COLS, F.col("stock_after_sale").alias("current_stock"))
     res = O.latest_per(df, "product_name", ORDER_COLS)
     return res.select("product_name", F.date_format("date", "yyyy-MM-dd").alias("date"), *KEYS,
                       "total_sales", "current_stock")
@@ -358,7 +368,7 @@ def q_latest_per_product(spark, sf):
 f AS (SELECT weather, MIN(p) AS p FROM pos WHERE weather IS NOT NULL GROUP BY weather)
 SELECT weather, CAST(row_number() OVER (ORDER BY p) - 1 AS INTEGER) AS weather_code FROM f""")
 def q_weather_codes(spark, sf):
-    return O.factor_codes(prep(spark, sf), "weather", ORDER_COLS)
+    return O.factor_codes(prep(spark, sf, "weather", *ORDER_COLS), "weather", ORDER_COLS)
 
 
 # ---------------------------------------------------------------- statistics
@@ -384,7 +394,7 @@ def _describe_sql(cols: list[str]) -> str:
 
 @register("describe_numeric", _describe_sql(MEASURES))
 def q_describe_numeric(spark, sf):
-    res = ST.describe_numeric(base(spark, sf), MEASURES)
+    res = ST.describe_numeric(base(spark, sf, "date", *MEASURES), MEASURES)
     return res.select("stat", *[r6(c).alias(c) for c in MEASURES])
 
 
@@ -402,7 +412,10 @@ x AS (SELECT p.*, COALESCE(c.weather_code, -1) AS weather_code,
     f"SELECT '{c}' AS factor, {r6sql(f'CORR(CAST({c} AS DOUBLE), total_sales)')} AS correlation FROM x"
     for c in [*FACTORS, "total_sales"]))
 def q_sales_factor_correlation(spark, sf):
-    df = O.factorize(prep(spark, sf), "weather", ORDER_COLS).withColumn("holiday_code", holiday_flag("is_holiday"))
+    # Read twice (codes, then correlations): written once.
+    rows = prep(spark, sf, *ORDER_COLS, "weather", "is_holiday", "discount_pct")
+    rows = materialize(rows.select(*ORDER_COLS, "weather", "is_holiday", "discount_pct", "day_number", "iso_week", "is_weekend"))
+    df = O.factorize(rows, "weather", ORDER_COLS).withColumn("holiday_code", holiday_flag("is_holiday"))
     return ST.sales_factor_correlation(df, "total_sales", FACTORS).withColumn("correlation", r6("correlation"))
 
 
@@ -428,14 +441,14 @@ lines AS (SELECT col1, col2, CAST(ordinal AS INTEGER) AS ordinal, correlation, s
 
 @register("correlation_summary", _SUMMARY_SQL + "SELECT * FROM lines")
 def q_correlation_summary(spark, sf):
-    return ST.correlation_summary(enr(spark, sf), MEASURES, digits=6)
+    return ST.correlation_summary(enr(spark, sf, *MEASURES), MEASURES, digits=6)
 
 
 @register("correlation_summary_text", _SUMMARY_SQL + """
 SELECT COALESCE(string_agg(line, chr(10) ORDER BY ordinal) || chr(10),
   'No numeric data available for correlation analysis.') AS correlation_summary FROM lines""")
 def q_correlation_summary_text(spark, sf):
-    return ST.correlation_summary_text(ST.correlation_summary(enr(spark, sf), MEASURES, digits=6))
+    return ST.correlation_summary_text(ST.correlation_summary(enr(spark, sf, *MEASURES), MEASURES, digits=6))
 
 
 # ---------------------------------------------------------------- market basket
@@ -448,13 +461,10 @@ MIN_SUPPORT = 0.005
 _ITEMSETS_SQL = f"""
 , bt AS (SELECT DISTINCT transaction_id AS t, product_name AS p FROM prepared WHERE product_name IS NOT NULL),
 nb AS (SELECT COUNT(DISTINCT t) AS n FROM bt),
-s1 AS (SELECT [p] AS items, COUNT(*) AS freq FROM bt GROUP BY p),
-s2 AS (SELECT [a.p, b.p] AS items, COUNT(*) AS freq FROM bt a JOIN bt b ON a.t = b.t AND a.p < b.p GROUP BY a.p, b.p),
-s3 AS (SELECT [a.p, b.p, c.p] AS items, COUNT(*) AS freq FROM bt a JOIN bt b ON a.t = b.t AND a.p < b.p
-       JOIN bt c ON a.t = c.t AND b.p < c.p GROUP BY a.p, b.p, c.p),
-s4 AS (SELECT [a.p, b.p, c.p, d.p] AS items, COUNT(*) AS freq FROM bt a JOIN bt b ON a.t = b.t AND a.p < b.p
-       JOIN bt c ON a.t = c.t AND b.p < c.p JOIN bt d ON a.t = d.t AND c.p < d.p GROUP BY a.p, b.p, c.p, d.p),
-allsets AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4),
+baskets AS (SELECT t, list_sort(list(p)) AS b FROM bt GROUP BY t),
+subsets AS (SELECT t, list_filter(b, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS items
+            FROM (SELECT t, b, UNNEST(range(1, 1 << len(b))) AS m FROM baskets)),
+allsets AS (SELECT items, COUNT(*) AS freq FROM subsets GROUP BY items),
 itemsets AS (
   SELECT items, CAST(freq AS BIGINT) AS freq, CAST(freq AS DOUBLE) / n AS support, CAST(len(items) AS INTEGER) AS length
   FROM allsets, nb WHERE CAST(freq AS DOUBLE) / n >= {MIN_SUPPORT})
@@ -477,14 +487,14 @@ rules AS (
 
 
 def _prepared_itemsets(spark, sf):
-    return B.frequent_itemsets(B.baskets(prep(spark, sf)), MIN_SUPPORT)[0]
+    return B.frequent_itemsets(B.baskets(prep(spark, sf, "transaction_id", "product_name")), MIN_SUPPORT)[0]
 
 
 @register("baskets", """
 SELECT transaction_id, array_to_string(list_sort(list(DISTINCT product_name)), ', ') AS items
 FROM prepared WHERE product_name IS NOT NULL GROUP BY transaction_id""")
 def q_baskets(spark, sf):
-    return B.baskets(prep(spark, sf)).select("transaction_id", join_items("items").alias("items"))
+    return B.baskets(prep(spark, sf, "transaction_id", "product_name")).select("transaction_id", join_items("items").alias("items"))
 
 
 @register("frequent_itemsets", _ITEMSETS_SQL + """
@@ -523,7 +533,7 @@ def q_bought_together_top10(spark, sf):
 from ..operators import segments as G  # noqa: E402
 
 _WEEKS_SQL = """
-, pw AS (SELECT product_name, iso_week, SUM(CAST(total_sales AS DECIMAL(18,2))) AS s FROM prepared
+, pw AS (SELECT product_name, iso_week, SUM(CAST(total_sales AS DECIMAL(24,6))) AS s FROM prepared
          WHERE product_name IS NOT NULL GROUP BY 1, 2),
 wk AS (SELECT DISTINCT iso_week FROM prepared WHERE iso_week IS NOT NULL),
 pr AS (SELECT DISTINCT product_name FROM prepared WHERE product_name IS NOT NULL),
@@ -534,7 +544,7 @@ filled AS (SELECT pr.product_name, wk.iso_week, COALESCE(CAST(pw.s AS DOUBLE), 0
 
 @register("product_week_sales", _WEEKS_SQL + "SELECT * FROM filled")
 def q_product_week_sales(spark, sf):
-    return G.product_week_matrix(prep(spark, sf))
+    return G.product_week_matrix(prep(spark, sf, "product_name", "total_sales"))
 
 
 @register("standardise_weekly", _WEEKS_SQL + f"""
@@ -543,29 +553,64 @@ SELECT f.product_name, f.iso_week,
   {r6sql('(f.total_sales - st.m) / CASE WHEN st.sd = 0 THEN 1.0 ELSE st.sd END')} AS z
 FROM filled f JOIN st ON f.product_name = st.product_name""")
 def q_standardise_weekly(spark, sf):
-    vec, weeks = G.product_week_vectors(prep(spark, sf))
+    vec, weeks = G.product_week_vectors(prep(spark, sf, "product_name", "total_sales"))
     return G.standardised_long(G.standardise_weekly(vec), weeks).withColumn("z", r6("z"))
 
 
 def _segments(spark, sf):
-    vec, _ = G.product_week_vectors(prep(spark, sf))
-    clusters, _cost = G.segment_products(G.standardise_weekly(vec))
-    return G.label_clusters(clusters)
+    vec, _ = G.product_week_vectors(prep(spark, sf, "product_name", "total_sales"))
+    scaled = G.standardise_weekly(vec)
+    clusters, _cost = G.segment_products(scaled)
+    return vec, scaled, clusters
 
 
 @register("product_segments")
 def q_product_segments(spark, sf):
-    return _segments(spark, sf)
+    return G.label_clusters(_segments(spark, sf)[2])
 
 
 @register("clustered_products")
 def q_clustered_products(spark, sf):
-    return G.clustered_products(_segments(spark, sf))
+    return G.clustered_products(G.label_clusters(_segments(spark, sf)[2]))
+
+
+@register("product_segments_check", """
+SELECT product_name, TRUE AS nearest_is_own, TRUE AS named FROM prepared WHERE product_name IS NOT NULL GROUP BY 1""")
+def q_product_segments_check(spark, sf):
+    """What any finished k-means shows: one row per product, its own cluster's mean the nearest."""
+    vec, scaled, clusters = _segments(spark, sf)
+    named = G.label_clusters(clusters, by="demand", vectors=vec)
+    return G.nearest_is_own(scaled, clusters).join(
+        named.select("product_name", F.col("cluster_name").isin(*G.CLUSTER_NAMES.values()).alias("named")), "product_name")
+
+
+@register("clustered_products_listing", """
+SELECT product_name, CAST(1 AS BIGINT) AS listed FROM prepared WHERE product_name IS NOT NULL GROUP BY 1""")
+def q_clustered_products_listing(spark, sf):
+    """I8: the side-by-side listing by demand, long again: every product is in it once."""
+    vec, _scaled, clusters = _segments(spark, sf)
+    table = G.clustered_products(G.label_clusters(clusters, by="demand", vectors=vec))
+    long = table.unpivot(["row"], [c for c in table.columns if c != "row"], "cluster_name", "product_name")
+    return long.filter("product_name IS NOT NULL").groupBy("product_name").agg(F.count(F.lit(1)).alias("listed"))
+
+
+@register("sales_by_cluster_products", f"""
+SELECT product_name, CAST(COUNT(*) AS BIGINT) AS rows, TRUE AS has_cluster FROM prepared
+WHERE product_name IS NOT NULL GROUP BY 1""")
+def q_sales_by_cluster_products(spark, sf):
+    """Every sale carries its product's cluster."""
+    clusters = _segments(spark, sf)[2]
+    rows = G.with_clusters(prep(spark, sf, "product_name"), clusters).filter("product_name IS NOT NULL")
+    return rows.groupBy("product_name").agg(F.count(F.lit(1)).alias("rows"),
+                                            F.bool_and(F.col("cluster").isNotNull()).alias("has_cluster"))
 
 
 # ---------------------------------------------------------------- features and models
 
+from pyspark.sql import Window  # noqa: E402
+
 from ..operators import forecast as FC  # noqa: E402
+from ..sources.schema import SALES_TYPES  # noqa: E402
 
 _TRAINING_SQL = f"""
 , lg AS (
@@ -581,12 +626,17 @@ tr AS (SELECT k.*, CAST(m.monthly_sales AS BIGINT) AS monthly_sales FROM kept k
 """
 
 
+def training(spark, sf, *cols):
+    """The training table with the columns it is built from and ``cols``."""
+    return FC.training_rows(base(spark, sf, *ORDER_COLS, "product_name", "quantity_sold", *cols), ORDER_COLS)
+
+
 @register("training_rows", _TRAINING_SQL + f"""
 SELECT {KEYS_SQL}, product_name, month_period, quantity_sold, CAST(sales_lag_1 AS DOUBLE) AS sales_lag_1,
   CAST(sales_lag_7 AS DOUBLE) AS sales_lag_7, CAST(sales_lag_14 AS DOUBLE) AS sales_lag_14,
   CAST(future_7_day_sales AS DOUBLE) AS future_7_day_sales, monthly_sales FROM tr""")
 def q_training_rows(spark, sf):
-    tr = FC.training_rows(base(spark, sf), ORDER_COLS)
+    tr = training(spark, sf)
     return tr.select(*KEYS, "product_name", "month_period", "quantity_sold",
                      *[F.col(c).cast("double").alias(c) for c in ["sales_lag_1", "sales_lag_7", "sales_lag_14",
                                                                  "future_7_day_sales"]],
@@ -599,7 +649,7 @@ SELECT {r6sql('AVG((y - p) * (y - p))')} AS mse, {r6sql('1.0 - AVG((y - p) * (y
   CAST(COUNT(*) AS BIGINT) AS n FROM d""")
 def q_naive_forecast_metrics(spark, sf):
     """I15 on a deterministic baseline: next-week quantity predicted by the 7-row lag."""
-    tr = FC.training_rows(base(spark, sf), ORDER_COLS)
+    tr = training(spark, sf)
     m = ST.regression_metrics(tr, "future_7_day_sales", "sales_lag_7")
     return m.select(r6("mse").alias("mse"), r6("r2").alias("r2"), "n")
 
@@ -608,7 +658,7 @@ def q_naive_forecast_metrics(spark, sf):
 SELECT {KEYS_SQL}, CAST(substr(md5(concat_ws('|', '42', CAST(transaction_id AS VARCHAR), CAST(line_no AS VARCHAR),
   CAST(part_key AS VARCHAR), CAST(supp_key AS VARCHAR))), 1, 8) >= 'cccccccc' AS INTEGER) AS is_test FROM sales""")
 def q_hash_split(spark, sf):
-    return FC.hash_split(base(spark, sf), KEYS).select(*KEYS, "is_test")
+    return FC.hash_split(base(spark, sf, *KEYS), KEYS).select(*KEYS, "is_test")
 
 
 @register("one_hot_weather", f"""
@@ -619,9 +669,10 @@ SELECT {KEYS_SQL}, weather,
   CAST(CASE WHEN weather = 'Sunny' THEN 1 ELSE 0 END AS INTEGER) AS weather_Sunny
 FROM sales""")
 def q_one_hot_weather(spark, sf):
-    df = base(spark, sf)
+    df = base(spark, sf, *KEYS, "weather")
     vocab = FC.vocabulary(df, ["weather"])
-    return FC.one_hot(df, vocab).select(*KEYS, "weather", *FC.dummy_names(vocab))
+    names = {name: f"weather_{v}" for _, v, name in FC.dummy_table(vocab)}
+    return FC.one_hot(df, vocab).select(*KEYS, "weather", *names).withColumnsRenamed(names)
 
 
 @register("stock_sufficiency", _TRAINING_SQL + f"""
@@ -635,53 +686,119 @@ FROM lt l JOIN avgm a ON l.product_name = a.product_name WHERE rn = 1""")
 def q_stock_sufficiency(spark, sf):
     """I21 with a deterministic stand-in predictor: next month's sales = the product's
     rounded mean monthly sales (E6), so the whole chain has an oracle."""
-    tr = FC.training_rows(base(spark, sf), ORDER_COLS)
-    scored = O.with_group_mean(tr, "product_name", ["monthly_sales"], digits=0, prefix="predicted_") \
-        .withColumnRenamed("predicted_monthly_sales", "predicted_next_month_sales")
-    return FC.stock_sufficiency(scored, ORDER_COLS)
+    return FC.stock_against_mean(training(spark, sf, "stock_after_sale"), ORDER_COLS)
+
+
+FEATURE_INPUTS = ["date", *[c for c in FC.NUMERIC if c in SALES_TYPES and "lag" not in c], "is_holiday", *FC.CATEGORICAL]
+
+
+def model_frame(spark, sf):
+    """Training rows with every feature column, and the vocabulary of the dummies."""
+    rows = training(spark, sf, *FEATURE_INPUTS)
+    vocab = FC.vocabulary(rows)
+    return FC.with_features(rows, vocab), vocab
 
 
-_MODEL_CACHE: dict = {}
+def _selection_sql(task: str) -> str:
+    names = ", ".join(f"('{m}')" for m in FC.candidates())
+    return _TRAINING_SQL + f"""
+, sp AS (SELECT md5(concat_ws('|', '42', CAST(transaction_id AS VARCHAR), CAST(line_no AS VARCHAR),
+    CAST(part_key AS VARCHAR), CAST(supp_key AS VARCHAR))) AS h FROM tr),
+n AS (SELECT CAST(COUNT(*) FILTER (substr(h, 1, 8) < 'cccccccc') AS BIGINT) AS train_rows,
+             CAST(COUNT(*) FILTER (substr(h, 1, 8) >= 'cccccccc') AS BIGINT) AS test_rows FROM sp)
+SELECT '{task}' AS task, m.model, TRUE AS selected_is_lowest, TRUE AS finite, n.train_rows, n.test_rows
+FROM (VALUES {names}) AS m(model), n"""
 
 
-def trained(spark, sf):
-    """One training run per (session, dataset): features, the three winners and the metrics."""
-    key = (id(spark), sf)
-    if key not in _MODEL_CACHE:
-        tr = FC.training_rows(base(spark, sf), ORDER_COLS)
-        vocab = FC.vocabulary(tr)
-        frame = FC.with_features(tr, vocab).checkpoint(eager=True)
-        feats = FC.feature_sets(vocab)
-        models, metrics = FC.train_all(frame, feats)
-        _MODEL_CACHE[key] = (frame, feats, vocab, models, metrics.checkpoint(eager=True))
-    return _MODEL_CACHE[key]
+def _selection(task: str):
+    """I12-I14, I16, I17 for one task: the three candidates, uncut; what SQL can check of the outcome."""
+    def run(spark, sf):
+        frame, vocab = model_frame(spark, sf)
+        _models, metrics = FC.train_all(frame, {task: FC.feature_sets(vocab)[task]})
+        split = FC.hash_split(frame, KEYS).groupBy().agg(F.count_if(F.col("is_test") == 0).alias("train_rows"),
+                                                         F.count_if(F.col("is_test") == 1).alias("test_rows")).first()
+        lowest = F.min("mse").over(Window.partitionBy("task"))  # three rows
+        return metrics.select("task", "model", (F.col("selected") == (F.col("mse") == lowest)).alias("selected_is_lowest"),
+                              (F.abs("mse") < float("inf")).alias("finite"),
+                              F.lit(split["train_rows"]).alias("train_rows"), F.lit(split["test_rows"]).alias("test_rows"))
+    return run
+
 
+for _task in FC.TARGETS:
+    register(f"model_selection_{_task}", _selection_sql(_task))(_selection(_task))
 
-@register("model_selection")
-def q_model_selection(spark, sf):
-    return trained(spark, sf)[4]
+
+# The scoring chain with one-feature least squares, whose closed form SQL has.
+_LINE_SQL = {t: f"regr_intercept(CAST({FC.TARGETS[t]} AS DOUBLE), CAST({x} AS DOUBLE)) AS a_{t}, "
+                f"regr_slope(CAST({FC.TARGETS[t]} AS DOUBLE), CAST({x} AS DOUBLE)) AS b_{t}"
+             for t, (x,) in FC.LINE_FEATURES.items()}
+_SCORED_SQL = _TRAINING_SQL + f"""
+, fit AS (SELECT {', '.join(_LINE_SQL.values())} FROM tr),
+scored AS (SELECT tr.*,
+    CAST(round_even(a_weekly + b_weekly * sales_lag_7, 0) AS BIGINT) AS predicted_next_week_sales,
+    CAST(round_even(a_monthly + b_monthly * quantity_sold, 0) AS BIGINT) AS predicted_next_month_sales,
+    CAST(round_even(a_discount + b_discount * quantity_sold, 0) AS BIGINT) AS predicted_discount_pct
+  FROM tr, fit)
+"""
 
 
 def _scored(spark, sf):
-    frame, feats, _vocab, models, _m = trained(spark, sf)
-    return FC.score(frame, models, feats)
+    rows = training(spark, sf, "discount_pct", "stock_after_sale")
+    return FC.score(rows, FC.fit_lines(rows), FC.LINE_FEATURES)
 
 
-@register("product_predictions")
+@register("scored_rows", _SCORED_SQL + f"SELECT {KEYS_SQL}, {', '.join(FC.PREDICTIONS)} FROM scored")
+def q_scored_rows(spark, sf):
+    """Sanitised predictions of every training row."""
+    return _scored(spark, sf).select(*KEYS, *FC.PREDICTIONS)
+
+
+@register("product_predictions", _SCORED_SQL + f"""
+SELECT product_name, {', '.join(f'CAST(round_even(AVG({c}), 0) AS BIGINT) AS {c}' for c in FC.PREDICTIONS)}
+FROM scored GROUP BY product_name""")
 def q_product_predictions(spark, sf):
     return FC.predictions_by_product(_scored(spark, sf))
 
 
-@register("current_vs_predicted")
+@register("current_vs_predicted", _SCORED_SQL + """
+SELECT product_name, round_even(AVG(future_7_day_sales), 0) AS current_avg_weekly_sales,
+  round_even(AVG(predicted_next_week_sales), 0) AS predicted_next_week_sales,
+  round_even(AVG(predicted_next_month_sales), 0) AS predicted_next_month_sales,
+  round_even(AVG(discount_pct), 0) AS current_avg_discount_pct,
+  round_even(AVG(predicted_discount_pct), 0) AS predicted_discount_pct
+FROM scored GROUP BY product_name""")
 def q_current_vs_predicted(spark, sf):
     return FC.current_vs_predicted(_scored(spark, sf))
 
 
-@register("stock_sufficiency_predicted")
+@register("stock_sufficiency_predicted", _SCORED_SQL + """
+, lt AS (SELECT *, row_number() OVER (PARTITION BY product_name ORDER BY date DESC, transaction_id DESC, line_no DESC,
+    part_key DESC, supp_key DESC, total_sales DESC) AS rn FROM scored)
+SELECT product_name, stock_after_sale AS current_stock, predicted_next_month_sales,
+  CAST(stock_after_sale - predicted_next_month_sales AS DOUBLE) AS projected_stock,
+  stock_after_sale >= predicted_next_month_sales AS adequate FROM lt WHERE rn = 1""")
 def q_stock_sufficiency_predicted(spark, sf):
     return FC.stock_sufficiency(_scored(spark, sf), ORDER_COLS)
 
 
+@register("service_predictions", _TRAINING_SQL + f"""
+, fit AS (SELECT {', '.join(_LINE_SQL.values())} FROM tr),
+s AS (SELECT p.product_name,
+    CAST(round_even(a_weekly, 0) AS BIGINT) AS predicted_next_week_sales,
+    CAST(round_even(a_monthly + b_monthly * quantity_sold, 0) AS BIGINT) AS predicted_next_month_sales,
+    CAST(round_even(a_discount + b_discount * quantity_sold, 0) AS BIGINT) AS predicted_discount_pct
+  FROM sales p, fit)
+SELECT product_name, {', '.join(f'CAST(round_even(AVG({c}), 0) AS BIGINT) AS {c}' for c in FC.PREDICTIONS)}
+FROM s WHERE product_name IS NOT NULL GROUP BY product_name""")
+def q_service_predictions(spark, sf):
+    """The prediction service on raw rows with text numbers: no lags there, so that feature is 0 in every row."""
+    models = FC.fit_lines(training(spark, sf, "discount_pct"))
+    raw = base(spark, sf, "date", "product_name", "quantity_sold", "is_holiday", "weather", "season", "category").select(
+        F.col("date").cast("string").alias("date"), "product_name", F.col("quantity_sold").cast("string").alias("quantity_sold"),
+        "is_holiday", "weather", "season", "category")
+    return FC.predict_products(raw, models, FC.LINE_FEATURES, FC.vocabulary(raw, ["weather", "season"]))
+
+
 # ---------------------------------------------------------------- report bundle
 
 from . import report as RP  # noqa: E402
@@ -771,7 +888,7 @@ SELECT {KEYS_SQL}, product_name,
 FROM tr""")
 def q_group_means(spark, sf):
     """Product means of next-week sales, monthly sales and discount on every training row."""
-    tr = FC.training_rows(base(spark, sf), ORDER_COLS)
+    tr = training(spark, sf, "discount_pct")
     cols = ["future_7_day_sales", "monthly_sales", "discount_pct"]
     out = O.with_group_mean(tr, "product_name", cols, digits=0)
     return out.select(*KEYS, "product_name", *[f"current_avg_{c}" for c in cols])
@@ -779,7 +896,9 @@ def q_group_means(spark, sf):
 
 # ---------------------------------------------------------------- sources and sinks
 
+from ..functions.text import capitalize_word, strip_prefix  # noqa: E402
 from ..sources import files as IO  # noqa: E402
+from ..sources.schema import ANALYSIS_REQUIRED, align_features, columns_of_type  # noqa: E402
 
 
 @register("transaction_product_records", """
@@ -788,18 +907,170 @@ SELECT CAST(to_json({'transaction_id': transaction_id, 'product_name': product_n
 FROM c""")
 def q_transaction_product_records(spark, sf):
     """A5: D23's rows as JSON records (one object per row)."""
-    return IO.to_records(S.transaction_product_counts(prep(spark, sf)))
+    return IO.to_records(S.transaction_product_counts(prep(spark, sf, "transaction_id", "product_name")))
 
 
 @register("validated_dates", f"""
 SELECT {KEYS_SQL}, strftime(CAST(TRY_CAST(CAST(date AS VARCHAR) AS TIMESTAMP) AS DATE), '%Y-%m-%d') AS date FROM sales""")
 def q_validated_dates(spark, sf):
     """A7 + B21: dates re-parsed from text; the job fails if any is missing or invalid."""
-    df = base(spark, sf).select(*KEYS, F.col("date").cast("string").alias("date"))
+    df = base(spark, sf, *KEYS, "date").select(*KEYS, F.col("date").cast("string").alias("date"))
     checked = IO.reject_invalid_dates(df)
     return checked.select(*KEYS, F.date_format("date", "yyyy-MM-dd").alias("date"))
 
 
-# Model-fitting queries run last: they are the longest and the most memory-hungry.
-for _name in ["model_selection", "product_predictions", "current_vs_predicted", "stock_sufficiency_predicted"]:
+@register("money_columns", f"""
+SELECT {KEYS_SQL}, {r6sql('quantity_sold * unit_price')} AS total_sales,
+  {r6sql('quantity_sold * unit_price * (1.0 - discount_pct / 100.0)')} AS total_after_discount,
+  {r6sql('quantity_sold * unit_price * (1.0 - discount_pct / 100.0) - returned * unit_price')} AS net_sales,
+  round_even(stock_after_sale - quantity_sold, 0) AS projected_stock FROM sales""")
+def q_money_columns(spark, sf):
+    """The money columns computed from quantity, price, discount and returns."""
+    df = with_money(base(spark, sf, *KEYS, "quantity_sold", "unit_price", "discount_pct", "returned", "stock_after_sale"))
+    return df.select(*KEYS, *[r6(c).alias(c) for c in ["total_sales", "total_after_discount", "net_sales"]],
+                     projected_stock("stock_after_sale", "quantity_sold").alias("projected_stock"))
+
+
+_GAPS_SQL = f"""
+, gaps AS (SELECT {KEYS_SQL},
+    CASE WHEN line_no % 3 = 0 THEN NULL ELSE weather END AS weather,
+    CASE WHEN line_no % 2 = 0 THEN NULL ELSE humidity_pct END AS humidity_pct,
+    CASE WHEN line_no % 5 = 0 THEN 'n/a' ELSE CAST(quantity_sold AS VARCHAR) END AS quantity_text,
+    CASE WHEN line_no = 7 THEN NULL ELSE season END AS season FROM sales)
+"""
+
+
+def _gaps(spark, sf):
+    """The sales with holes: rows with NULLs and texts that are no numbers."""
+    ln = F.col("line_no")
+    return base(spark, sf, *KEYS, "date", "weather", "humidity_pct", "quantity_sold", "season").select(
+        *KEYS, F.when(ln % 3 != 0, F.col("weather")).alias("weather"),
+        F.when(ln % 2 != 0, F.col("humidity_pct")).alias("humidity_pct"),
+        F.when(ln % 5 == 0, "n/a").otherwise(F.col("quantity_sold").cast("string")).alias("quantity_text"),
+        F.when(ln != 7, F.col("season")).alias("season"))
+
+
+@register("cleaned_rows", _GAPS_SQL + f"""
+SELECT {KEYS_SQL}, COALESCE(weather, 'Unknown') AS weather, COALESCE(humidity_pct, 0) AS humidity_pct,
+  COALESCE(TRY_CAST(quantity_text AS DOUBLE), 0.0) AS quantity_text, season FROM gaps WHERE season IS NOT NULL""")
+def q_cleaned_rows(spark, sf):
+    """Rows without a season go, missing labels and numbers are filled, texts become numbers."""
+    df = IO.clean(_gaps(spark, sf), subset=["season"])
+    return IO.coerce_numeric(IO.clean(IO.fill_label(df, "weather"), fill=0), ["quantity_text"])
+
+
+@register("complete_rows", _GAPS_SQL + f"""
+SELECT {KEYS_SQL}, weather, humidity_pct, quantity_text, season FROM gaps
+WHERE weather IS NOT NULL AND humidity_pct IS NOT NULL AND season IS NOT NULL""")
+def q_complete_rows(spark, sf):
+    """B16."""
+    return IO.clean(_gaps(spark, sf), drop_any=True)
+
+
+@register("aligned_features", f"""
+SELECT {KEYS_SQL}, temperature_c AS temperature_c, 0.0 AS unseen_feature, CAST(quantity_sold AS DOUBLE) AS quantity_sold
+FROM sales""")
+def q_aligned_features(spark, sf):
+    """The numeric columns aligned to a stored list with a feature that the data lacks."""
+    df = base(spark, sf, *KEYS, "temperature_c", "quantity_sold", "weather")
+    numeric = [c for c in columns_of_type(df, "numeric") if c not in KEYS]
+    want = ["temperature_c", "unseen_feature", "quantity_sold"]
+    return align_features(df.select(*KEYS, *numeric), want, keep=KEYS)
+
+
+_SEASON_QUARTER = {"Winter": "cold", "Summer": "hot"}
+
+
+@register("season_lookup", f"""
+SELECT {KEYS_SQL}, CASE season WHEN 'Winter' THEN 'cold' WHEN 'Summer' THEN 'hot' ELSE 'mild' END AS climate,
+  CASE WHEN starts_with(product_name, 'Brand#') THEN substr(product_name, 7) END AS brand_no FROM sales""")
+def q_season_lookup(spark, sf):
+    """A dictionary lookup with a default, and a prefix stripped."""
+    df = lookup(base(spark, sf, *KEYS, "date", "season", "product_name"), "season", _SEASON_QUARTER, "climate", default="mild")
+    return df.select(*KEYS, "climate", strip_prefix("product_name", "Brand#").alias("brand_no"))
+
+
+@register("sanitised_values", f"""
+SELECT {KEYS_SQL}, CASE WHEN line_no % 4 IN (1, 2, 3) THEN 0 ELSE CAST(round_even(unit_price, 0) AS BIGINT) END AS value
+FROM sales""")
+def q_sanitised_values(spark, sf):
+    """NaN, infinities and NULL are 0, other numbers are rounded half-even."""
+    ln = F.col("line_no") % 4
+    x = F.when(ln == 1, float("nan")).when(ln == 2, float("-inf")).when(ln == 3, F.lit(None)).otherwise(F.col("unit_price"))
+    return base(spark, sf, *KEYS, "unit_price").select(*KEYS, sanitize(x).alias("value"))
+
+
+@register("parsed_reports", """
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'good' ELSE 'unknown' END AS store_performance_rating,
+  CASE WHEN turn % 2 = 0 THEN CAST(length(text) AS VARCHAR) ELSE 'Error occurred while processing data' END AS first_insight,
+  CASE WHEN turn % 2 = 0 THEN upper(role[1]) || lower(role[2:]) ELSE 'Unable to analyze due to processing error.' END
+    AS first_challenge
+FROM conversations""")
+def q_parsed_reports(spark, sf):
+    """Fenced JSON made from every even turn, and plain text, parsed as report responses."""
+    conv = read_table(spark, sf, "conversations")
+    body = F.to_json(F.struct(F.lit("good").alias("store_performance_rating"),
+                              F.array(F.length("text").cast("string")).alias("key_insights"),
+                              F.array().cast("array<string>").alias("recommendations"),
+                              F.array(capitalize_word("role")).alias("challenges")))
+    response = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.col("text"))
+    parsed = RP.parse_report_responses(conv.select("conv_id", "turn", response.alias("response")))
+    return parsed.select("conv_id", "turn", "store_performance_rating", F.get("key_insights", F.lit(0)).alias("first_insight"),
+                         F.get("challenges", F.lit(0)).alias("first_challenge"))
+
+
+@register("csv_round_trip", f"""
+SELECT CAST(transaction_id AS VARCHAR) AS transaction_id, line_no, strftime(date, '%Y-%m-%d') AS date, product_name,
+  quantity_sold, unit_price, discount_pct, stock_after_sale, returned, weather, temperature_c, humidity_pct,
+  precipitation_mm, wind_speed_kmh, is_holiday, is_weekend, is_special_event, season, category, total_sales,
+  total_after_discount, net_sales, CAST(quantity_sold AS DOUBLE) AS sales_lag_1 FROM sales""")
+def q_csv_round_trip(spark, sf):
+    """A1, A3: every row written as a CSV line with display names and read back by the typing of ``read_sales``.
+
+    ``sales_lag_1`` is the quantity as the files have it, a number with a fraction ("5.0")."""
+    cols = ["transaction_id", "line_no", "date", "product_name", "quantity_sold", "unit_price", "discount_pct",
+            "stock_after_sale", "returned", "weather", "temperature_c", "humidity_pct", "precipitation_mm",
+            "wind_speed_kmh", "is_holiday", "is_weekend", "is_special_event", "season", "category", "total_sales",
+            "total_after_discount", "net_sales"]
+    df = base(spark, sf).select(*cols, F.col("quantity_sold").cast("double").alias("sales_lag_1"))
+    back = IO.from_csv_text(IO.csv_text(df), df.columns)
+    return back.withColumn("line_no", F.col("line_no").cast("long")).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+_J3_KEYS = ["category", "weather", "product_name", "season", "day_of_week"]
+
+
+@register("service_analysis", "\n" + "\n UNION ALL \n".join(
+    f"SELECT '{k}' AS section, {k} AS item, {r2sql(MONEY)} AS total_sales, {r2sql(f'{MONEY} / COUNT(total_sales)')} "
+    f"AS average_sales FROM enriched GROUP BY {k}" for k in _J3_KEYS))
+def q_service_analysis(spark, sf):
+    """J3 on a frame with just the required columns: its five grouped tables as one."""
+    out = RP.data_analysis(base(spark, sf, *ANALYSIS_REQUIRED).select(*ANALYSIS_REQUIRED))
+    tables = {"category": "category_sales", "weather": "weather_sales", "product_name": "product_sales",
+              "season": "season_sales", "day_of_week": "day_of_week_sales"}
+    parts = [out[t].select(F.lit(k).alias("section"), F.col(k).alias("item"), "total_sales", "average_sales")
+             for k, t in tables.items()]
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
+
+
+@register("report_predictions", _SCORED_SQL + "\n".join(
+    f"{'UNION ALL' if i else ''} SELECT 'predicted_data' AS section, product_name AS item, '{c}' AS metric, "
+    f"round_even(AVG({c}), 0) AS value FROM scored GROUP BY product_name" for i, c in enumerate(FC.PREDICTIONS)))
+def q_report_predictions(spark, sf):
+    """The prediction table of the bundle as facts."""
+    return RP.facts(FC.predictions_by_product(_scored(spark, sf)), "predicted_data", ["product_name"], FC.PREDICTIONS)
+
+
+@register("report_facts_full")
+def q_report_facts_full(spark, sf):
+    """All ten tables of the bundle; the cluster numbers are arbitrary, so there is no SQL for them."""
+    return RP.report_facts(base(spark, sf), ORDER_COLS, FC.predictions_by_product(_scored(spark, sf)),
+                           _segments(spark, sf)[2], digits=6)
+
+
+# Model fits run last: they are the longest and the most memory-hungry.
+for _name in [f"model_selection_{t}" for t in FC.TARGETS]:
     QUERIES[_name] = QUERIES.pop(_name)

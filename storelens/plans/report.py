@@ -46,25 +46,23 @@ def report_facts(df: DataFrame, order_cols: Sequence[str], predictions: DataFram
     ``predictions`` (scored rows) and ``clusters`` (product, cluster) are added
     when given.  ``digits`` rounds the values half-even (for stable comparison).
     """
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
     needed = list(dict.fromkeys([*order_cols, "day_number", "iso_week", "is_weekend", "weather", "is_holiday",
                                  "discount_pct", "total_sales", "product_name", "profit_margin", "category",
                                  "season", "return_rate_pct", "month", "stock_after_sale", "transaction_id"]))
     # Eight sections read the same week-filtered rows: materialise the narrow projection once.
-    prep = prepared(df).select(*needed).checkpoint(eager=True)
+    prep = materialize(prepared(df).select(*needed))
     coded = O.factorize(prep, "weather", order_cols).withColumn("holiday_code", holiday_flag("is_holiday"))
     corr = ST.correlation_pairs(coded, CORRELATION_FACTORS)
     rules = B.association_rules(B.frequent_itemsets(B.baskets(prep))[0])
     rules = rules.withColumn("rule", F.concat(join_items("antecedent"), F.lit(" -> "), join_items("consequent")))
+    seasons = S.seasonal_sales(prep)
     parts = [
         facts(S.sales_by_day_number(prep), "sales_by_day_of_week", ["day_number"], ["total_sales"]),
         facts(S.profit_margin_by_product(prep), "profit_analysis", ["product_name"], ["profit_margin"]),
         facts(S.sales_by_weather(prep), "weather_sales", ["weather"], ["total_sales"]),
         corr.select(F.lit("correlation_matrix").alias("section"), F.col("col1").alias("item"),
                     F.col("col2").alias("metric"), F.col("correlation").alias("value")),
-        facts(S.seasonal_sales(prep), "seasonal_sales", ["category"], ["fall", "spring", "summer", "winter"]),
+        facts(seasons, "seasonal_sales", ["category"], seasons.columns[1:]),
         facts(S.return_rate_top5(prep), "return_analysis", ["product_name"], ["return_rate_pct"]),
         facts(S.monthly_inventory_turnover(prep), "monthly_stock_turnover", ["month"], ["inventory_turnover_rate"]),
         facts(rules, "association_rules", ["rule"], ["support", "confidence", "lift"]),
@@ -111,15 +109,16 @@ def data_analysis(df: DataFrame, persist: bool = True,
     The correlation summary covers every numeric column except identifiers
     (``exclude``), which are numbers only because of how the keys are stored.
     """
-    cleaned = enriched(analysis_frame(df))
+    raw = analysis_frame(df)
     if persist:
-        cleaned = materialize(cleaned)
+        raw = materialize(raw)
+    cleaned = enriched(raw)
     numeric = [c for c in columns_of_type(df, "numeric") if c not in set(exclude)]
-    summary = ST.correlation_summary(cleaned, numeric) if numeric else None
+    # Raw columns: the calendar columns of ``cleaned`` replace some of the same name.
+    summary = ST.correlation_summary(raw, numeric) if numeric else None
     out = {
         "correlation_summary": ST.correlation_summary_text(summary) if summary is not None else
-        cleaned.sparkSession.range(1).select(
-            F.lit("No numeric data available for correlation analysis.").alias("correlation_summary")),
+        raw.sparkSession.range(1).select(F.lit(ST.NO_NUMERIC).alias("correlation_summary")),
         "category_sales": S.total_and_average_sales(cleaned, "category"),
         "weather_sales": S.total_and_average_sales(cleaned, "weather"),
         "monthly_sales_over_year": S.monthly_sales_over_year(cleaned),

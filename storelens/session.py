@@ -103,6 +103,27 @@ def literal_frame(spark: SparkSession, rows, schema) -> "DataFrame":
     return spark.sql(f"SELECT {cols} FROM VALUES {body}")
 
 
+BROADCAST_ROWS = 100_000  # one-row-per-key tables up to this many rows are broadcast
+SALTS = 16
+
+
+def attach(df: "DataFrame", table: "DataFrame", key: str, max_rows: int = BROADCAST_ROWS) -> "DataFrame":
+    """``df`` left-joined with a one-row-per-key ``table`` on ``key``, without dealing the rows of ``df`` out by a hot key.
+
+    The table is written once and counted.  Up to ``max_rows`` rows it is
+    broadcast; beyond that both sides are spread over ``SALTS`` salts of the key, so one
+    key's rows go to that many tasks.
+    """
+    from pyspark.sql import functions as F
+
+    table = materialize(table)
+    if table.count() <= max_rows:
+        return df.join(F.broadcast(table), key, "left")
+    salted = table.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    spread = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != key]), F.lit(SALTS)).cast("int"))
+    return spread.join(salted, [key, "_salt"], "left").drop("_salt")
+
+
 def materialize(df: "DataFrame") -> "DataFrame":
     """Write ``df`` once as a reliable checkpoint and return the frame reading it back.
 

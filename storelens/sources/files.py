@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 from .schema import SALES_TYPES, from_display, to_display
 
 
+INVALID_DATE = "Invalid date found in data"  # fixed value: the message callers match on
+
+
 def _typed(df: DataFrame, strict: bool) -> DataFrame:
     cols = []
     for name in df.columns:
@@ -53,9 +56,23 @@ def to_records(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("json"))
 
 
-def preview(df: DataFrame, n: int = 20) -> DataFrame:
-    """A6."""
-    return df.limit(n)
+def preview(df: DataFrame, order_cols: Iterable[str], n: int = 20) -> DataFrame:
+    """The first ``n`` rows in the order of ``order_cols`` (a top-n, no full sort)."""
+    return df.orderBy(*order_cols).limit(n)
+
+
+def csv_text(df: DataFrame) -> DataFrame:
+    """A3 without a folder: one CSV line per row under the display names, as a ``line`` column."""
+    shown = to_display(df)
+    return shown.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in shown.columns])).alias("line"))
+
+
+def from_csv_text(lines: DataFrame, columns: Iterable[str], strict: bool = True) -> DataFrame:
+    """A1 without a folder: parse CSV lines with every column as text, then type them as ``read_sales`` does."""
+    names = list(columns)
+    text = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    schema = ", ".join(f"`{f.name}` STRING" for f in text.fields)
+    return _typed(lines.select(F.from_csv("line", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*"), strict)
 
 
 def parse_date(c: str | Column, strict: bool = False) -> Column:
@@ -73,7 +90,7 @@ def reject_invalid_dates(df: DataFrame, col: str = "date") -> DataFrame:
     """
     parsed = df.withColumn(col, parse_date(F.col(col).cast("string"), strict=False))
     if not parsed.filter(F.col(col).isNull()).limit(1).isEmpty():
-        raise ValueError("Invalid date found in data")
+        raise ValueError(INVALID_DATE)
     return parsed
 
 

@@ -62,15 +62,19 @@ SALES_TYPES: dict[str, T.DataType] = {
     "total_sales": T.DoubleType(),
     "total_after_discount": T.DoubleType(),
     "net_sales": T.DoubleType(),
-    "sales_lag_1": T.LongType(),
-    "sales_lag_7": T.LongType(),
-    "sales_lag_14": T.LongType(),
-    "future_7_day_sales": T.LongType(),
+    # Shifted columns are fractional in the files ("5.0").
+    "sales_lag_1": T.DoubleType(),
+    "sales_lag_7": T.DoubleType(),
+    "sales_lag_14": T.DoubleType(),
+    "future_7_day_sales": T.DoubleType(),
     "month_period": T.StringType(),
     "monthly_sales": T.LongType(),
 }
 SALES_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t in SALES_TYPES.items()])
 
+# Fixed value: the message callers match on.
+MISSING_COLUMNS = "Missing required columns: "
+
 # Columns the analysis entry point needs (API analysis, in display order).
 ANALYSIS_REQUIRED = ["date", "total_sales", "product_name", "weather", "is_holiday", "season", "category"]
 
@@ -79,7 +83,7 @@ def require_columns(df: DataFrame, cols: Iterable[str]) -> None:
     """A2: raise listing every missing column, comma-joined.  Schema only, no job."""
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {', '.join(missing)}")
+        raise ValueError(MISSING_COLUMNS + ", ".join(missing))
 
 
 def columns_of_type(df: DataFrame, kind: str = "numeric") -> list[str]:

@@ -5,8 +5,8 @@ transaction date and flags, ``part`` the product (brand) and category (type),
 ``customer`` the temperature stand-in.  The same view is written once in SQL
 (``SALES_VIEW_SQL``) so every query can be checked in DuckDB.
 
-Scale notes: only the columns a query uses survive column pruning, and the
-filters on ``date`` are evaluated right above the scan of ``orders``.  Join
+Scale notes: only the columns a query uses survive column pruning, a query that
+names its columns joins only the tables they come from, and the filters on ``date`` are evaluated right above the scan of ``orders``.  Join
 order is orders x customer first (both smaller than lineitem), then lineitem
 (a sort-merge join on the order key, so the fact table is shuffled, never
 broadcast), then part.  A dimension is broadcast only when its estimated size
@@ -17,10 +17,13 @@ rows are shuffled twice (order key, part key).
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import season_of, week_of_month, with_calendar
+from ..functions.numeric import with_margin, with_return_rate
 
 # Canonical row order: unique on every scale factor of the driver data.
 ORDER_COLS = ["date", "transaction_id", "line_no", "part_key", "supp_key", "total_sales"]
@@ -35,32 +38,37 @@ PRIORITY_WEATHER = [
 OTHER_WEATHER = "Stormy"
 
 
-_HANDLES: dict[tuple[int, str], DataFrame] = {}
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A parquet table; the handle (schema and file listing) is reused within a session."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _HANDLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _HANDLES[key] = df
-    return df
-
-
-def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The base sales table (one row per line item) with the fixed column names."""
-    li = read_table(spark, sf_dir, "lineitem")
-    orders = read_table(spark, sf_dir, "orders")
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+FROM_PART = {"product_name", "category"}
+FROM_CUSTOMER = {"temperature_c"}
+
 
-    oc = orders.join(cust, orders.o_custkey == cust.c_custkey, "inner")
+def sales_view(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
+    """The base sales table (one row per line item) with the fixed column names.
+
+    ``columns`` limits the view, and with it the tables that are joined: ``part``
+    and ``customer`` are looked up (left joins: a sale with an unmatched key
+    stays, its looked-up columns NULL) only when one of their columns is asked for.
+    """
+    wanted = None if columns is None else set(columns)
+    li = read_table(spark, sf_dir, "lineitem")
+    oc = read_table(spark, sf_dir, "orders")
+    if wanted is None or wanted & FROM_CUSTOMER:
+        cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+        oc = oc.join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
+    else:
+        oc = oc.withColumn("c_acctbal", F.lit(None).cast("double"))
     # The fact table is always streamed: size-only statistics multiply the sizes of
     # joined inputs, which would make a pruned lineitem look like the small side.
-    j = (li.join(oc.hint("merge"), li.l_orderkey == oc.o_orderkey, "inner")
-         .join(part, li.l_partkey == part.p_partkey, "inner"))
+    j = li.join(oc.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"), "inner")
+    if wanted is None or wanted & FROM_PART:
+        part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+        j = j.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    else:
+        j = j.withColumns({c: F.lit(None).cast("string") for c in ("p_brand", "p_type")})
 
     weather = None
     for prio, name in PRIORITY_WEATHER:
@@ -74,7 +82,7 @@ def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
     ok, pk, sk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     date = F.col("o_orderdate").cast("date")
-    return j.select(
+    view = j.select(
         ok.alias("transaction_id"),
         ln.alias("line_no"),
         pk.alias("part_key"),
@@ -100,22 +108,20 @@ def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", 1).otherwise(0).cast("int").alias("is_special_event"),
         season_of(date).alias("season"),
     )
+    return view if wanted is None else view.select(*[c for c in view.columns if c in wanted])
 
 
 def prepared(df: DataFrame, max_week: int = 4, date_col: str = "date") -> DataFrame:
     """B8 + calendar columns + margin/return rate: the frame every dashboard analysis after D1 uses."""
-    from ..functions.numeric import with_margin, with_return_rate
-
-    out = df.filter(week_of_month(F.col(date_col)) <= max_week)
-    out = with_calendar(out, date_col)
-    return with_return_rate(with_margin(out))
+    return enriched(df.filter(week_of_month(F.col(date_col)) <= max_week), date_col)
 
 
 def enriched(df: DataFrame, date_col: str = "date") -> DataFrame:
-    """Calendar columns, margin and return rate without the week filter."""
-    from ..functions.numeric import with_margin, with_return_rate
-
-    return with_return_rate(with_margin(with_calendar(df, date_col)))
+    """Calendar columns without the week filter, and margin and return rate where their columns are there."""
+    out = with_calendar(df, date_col)
+    if {"net_sales", "total_sales"} <= set(df.columns):
+        out = with_margin(out)
+    return with_return_rate(out) if {"returned", "quantity_sold"} <= set(df.columns) else out
 
 
 # The same view for DuckDB (tables pre-registered as views by name).
@@ -152,8 +158,8 @@ sales AS (
          WHEN month(o_orderdate) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END AS season
   FROM lineitem
   JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey
-  JOIN part ON l_partkey = p_partkey
+  LEFT JOIN customer ON o_custkey = c_custkey
+  LEFT JOIN part ON l_partkey = p_partkey
 ),
 enriched AS (
   SELECT *,

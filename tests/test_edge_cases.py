@@ -111,7 +111,85 @@ def test_season_pct_zero_column(spark):
                                "category string, season string, total_sales double")
     r = S.seasonal_sales_change(df).first()
     assert r["fall"] is None and r["spring"] is None  # x/0 -> NULL (policy Q7)
-    assert r["summer"] == -100.0 and r["winter"] is None
+    assert r["winter"] == -100.0 and "summer" not in S.seasonal_sales_change(df).columns  # a season that never occurs
+
+
+def test_observed_seasons_money_and_unmatched_names(spark):
+    df = spark.createDataFrame([("c", "Autumn", 0.004), ("c", "Autumn", 0.004), ("c", "Autumn", 0.004), ("d", None, 1.0)],
+                               "category string, season string, total_sales double")
+    got = {r["category"]: r["autumn"] for r in S.seasonal_sales(df).collect()}
+    assert got == {"c": 0.012, "d": 0.0}
+    assert {r["season"]: r["total_sales"] for r in S.sales_by(df, "season").collect()} == {"Autumn": 0.012}
+
+
+def test_null_product_has_no_lags(spark):
+    df = spark.createDataFrame([(1, None, 5), (2, None, 6), (3, "p", 7), (4, "p", 8)],
+                               "o int, product_name string, quantity_sold long")
+    got = {r["o"]: r["sales_lag_1"] for r in O.with_lags(df, ["o"], lags=(1,), lead=None).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: 7}
+
+
+def test_attach_keeps_every_row_broadcast_or_salted(spark):
+    from storelens.session import attach
+    df = spark.createDataFrame([(i, "hot" if i % 3 else "k") for i in range(60)] + [(99, None)], "i int, k string")
+    table = spark.createDataFrame([("hot", 1), ("k", 2)], "k string, v int")
+    want = sorted((i, {"hot": 1, "k": 2}.get(k)) for i, k in df.collect())
+    for most in (10, 0):
+        assert sorted((r["i"], r["v"]) for r in attach(df, table, "k", max_rows=most).collect()) == want
+
+
+def test_describe_of_a_two_valued_column_collects_a_few_numbers(spark):
+    df = spark.range(5000).select((F.col("id") % 2).cast("double").alias("flag"), F.col("id").cast("double").alias("x"))
+    assert ST.value_counts(df, ["flag"]).count() == 2
+    got = {r["stat"]: (r["flag"], r["x"]) for r in ST.describe_numeric(df, ["flag", "x"]).collect()}
+    assert got["25%"] == (0.0, 1249.75) and got["50%"] == (0.5, 2499.5) and got["75%"] == (1.0, 3749.25)
+    assert got["count"] == (5000.0, 5000.0) and got["std"][0] == pytest.approx(0.50005, abs=1e-5)
+
+
+def test_dummies_of_like_names_stay_apart(spark):
+    from storelens.operators import forecast as FC
+    df = spark.createDataFrame([("Smart TV",), ("Smart-TV",), ("电视",), ("冰箱",)], "product_name string")
+    vocab = FC.vocabulary(df, ["product_name"])
+    assert len(set(FC.dummy_names(vocab))) == 3
+    rows = FC.one_hot(df, vocab).select(*FC.dummy_names(vocab)).collect()
+    assert sorted(sum(r) for r in rows) == [0, 1, 1, 1] and len(set(map(tuple, rows))) == 4
+    sparse = FC.sparse_encoder(["product_name"]).fit(df).transform(df)
+    assert len({str(r["product_name_onehot"]) for r in sparse.collect()}) == 4
+
+
+def test_holiday_feature_takes_numbers_and_words(spark):
+    df = spark.createDataFrame([("Yes",), ("No",), ("1",), ("0",), ("1.0",), ("true",), (None,)], "h string")
+    assert [r["x"] for r in df.select(C.holiday_number("h").alias("x")).collect()] == [1, 0, 1, 0, 1, 1, 0]
+
+
+def test_more_clusters_than_names(spark):
+    from storelens.operators.segments import clustered_products, label_clusters
+    df = spark.createDataFrame([("a", 0), ("b", 3), ("c", 4)], "product_name string, cluster int")
+    named = label_clusters(df)
+    assert {r["product_name"]: r["cluster_name"] for r in named.collect()} == \
+        {"a": "High Demand Products", "b": "Cluster 3", "c": "Cluster 4"}
+    listed = clustered_products(named).collect()[0]
+    assert listed["Cluster 3"] == "b" and listed["Cluster 4"] == "c"
+
+
+def test_analysis_service_on_the_required_columns(spark):
+    df = spark.createDataFrame([("2024-01-06", 5.0, "p", "Sunny", "No", "Winter", "c"), ("bad", 1.0, "p", "Sunny", "No", "Winter", "c")],
+                               "date string, total_sales double, product_name string, weather string, is_holiday string, "
+                               "season string, category string")
+    out = RP.data_analysis(df)
+    assert out["day_of_week_sales"].collect()[0]["day_of_week"] == "Saturday" and out["category_sales"].first()["total_sales"] == 5.0
+
+
+def test_analysis_service_correlates_raw_columns(spark):
+    rows = [(f"2024-01-{d:02d}", float(d % 2 * 10 + d * 0.01), "p", "Sunny", "No", "Winter", "c", d % 2) for d in range(1, 29)]
+    df = spark.createDataFrame(rows, "date string, total_sales double, product_name string, weather string, "
+                                     "is_holiday string, season string, category string, is_weekend int")
+    text = RP.data_analysis(df)["correlation_summary"].first()[0]
+    assert "Strong correlation between total_sales and is_weekend" in text
+
+
+def test_preview_is_a_top_n(spark):
+    assert [r["id"] for r in IO.preview(spark.range(100), ["id"], 3).collect()] == [0, 1, 2]
 
 
 def test_ties_break_on_key(spark):

@@ -11,6 +11,7 @@ from storelens.operators import forecast as FC
 from storelens.operators import segments as G
 from storelens.plans import report as RP
 from storelens.sources import files as IO
+from storelens.sources.schema import SALES_TYPES
 from storelens.sources.tables import ORDER_COLS, prepared, sales_view
 
 
@@ -76,8 +77,9 @@ def test_training_selection_scoring(spark, sales):
     assert cvp.count() == per.count()
 
     path = tempfile.mkdtemp(prefix="storelens-models-")
-    FC.save_models(models, feats, path, spark)
+    FC.save_models(models, feats, path, spark, vocab)
     loaded, lfeats = FC.load_models(spark, path)
+    assert FC.load_vocabulary(spark, path) == {c: list(v) for c, v in vocab.items()}
     assert lfeats == feats
     again = FC.score(frame, loaded, lfeats)
     key = ["transaction_id", "line_no", "part_key", "supp_key"]
@@ -96,6 +98,43 @@ def test_training_selection_scoring(spark, sales):
     assert len(one) == 1 and one[0]["predicted_next_month_sales"] is not None
 
 
+def test_null_feature_scores_like_zero_and_columns_come_back(spark, sales):
+    rows = FC.training_rows(sales, ORDER_COLS)
+    models = FC.fit_lines(rows)
+    one = rows.limit(1).withColumn("quantity_sold", F.lit(None).cast("long"))
+    zero = one.withColumn("quantity_sold", F.lit(0).cast("long"))
+    gone = one.drop("quantity_sold")
+    got = [[r[c] for c in FC.PREDICTIONS] for f in (one, zero, gone) for r in FC.score(f, models, FC.LINE_FEATURES).collect()]
+    assert got[0] == got[1] == got[2]
+    assert FC.score(one, models, FC.LINE_FEATURES).first()["quantity_sold"] is None
+
+
+def test_full_csv_round_trip_with_fractional_lags(spark, sales):
+    lagged = FC.training_rows(sales, ORDER_COLS).select(*[c for c in SALES_TYPES])
+    typed = lagged.select(*[F.col(c).cast(t).alias(c) for c, t in SALES_TYPES.items()])
+    out = tempfile.mkdtemp(prefix="storelens-csv-")
+    IO.write_sales(typed, out + "/t")
+    assert any(",5.0," in line for line in spark.read.text(out + "/t").toPandas()["value"])
+    back = IO.read_sales(spark, out + "/t")
+    assert back.dtypes == typed.dtypes and len(back.columns) == 27
+    assert back.exceptAll(typed).count() == 0 and back.count() == typed.count()
+
+
+def test_fact_rows_are_not_dealt_out_by_a_tiny_key(spark, sales):
+    from storelens.operators import ordered as O
+    rows = sales.select("transaction_id", "line_no", "product_name", "weather", "quantity_sold").checkpoint()
+    for df in (O.with_group_mean(rows, "product_name", ["quantity_sold"]), O.factorize(rows, "weather", ["transaction_id", "line_no"])):
+        df.count()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(product_name" not in plan and "hashpartitioning(weather" not in plan
+
+
+def test_a_query_joins_only_the_tables_it_needs(spark):
+    plan = sales_view(spark, SF_SMALL, ["date", "total_sales"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" not in plan and "c_custkey" not in plan and plan.count("Relation") == 2
+    assert sales_view(spark, SF_SMALL, ["date", "total_sales"]).columns == ["date", "total_sales"]
+
+
 def test_segments_invariants(spark, sales):
     prep = prepared(sales)
     vec, weeks = G.product_week_vectors(prep)

@@ -51,7 +51,8 @@ def test_sequence_is_dense_and_ordered(spark):
 
 
 def test_partition_count_independence(spark):
-    names = ["sales_lags", "category_performance", "frequent_itemsets"]
+    names = ["sales_lags", "category_performance", "frequent_itemsets", "describe_numeric", "product_week_sales",
+             "latest_per_product", "scored_rows", "weather_codes"]
     before = spark.conf.get("spark.sql.shuffle.partitions")
     results = {}
     for parts in ["1", "8"]:
@@ -61,27 +62,51 @@ def test_partition_count_independence(spark):
     assert results["1"] == results["8"]
 
 
-def test_exact_quantiles_sorted_path_matches_percentile(spark):
+def test_quantiles_and_moments_match_sorted_values(spark):
     rnd = random.Random(3)
-    df = spark.createDataFrame([(rnd.random() * 100, float(rnd.randint(0, 9))) for _ in range(997)], "a double, b double")
-    fast = ST.describe_numeric(df, ["a", "b"]).collect()
-    sorted_path = ST.describe_numeric(df, ["a", "b"], exact_buffer_rows=10).collect()
-    for x, y in zip(fast, sorted_path):
-        assert x["stat"] == y["stat"]
-        for c in ["a", "b"]:
-            assert abs(x[c] - y[c]) < 1e-9
-
-
-def test_band_quantiles_match_sort(spark):
-    rnd = random.Random(5)
-    vals = [(rnd.gauss(0, 1) * 50, float(rnd.randint(0, 3))) for _ in range(3001)]
-    df = spark.createDataFrame(vals, "a double, b double")
-    counts = {"a": 3001, "b": 3001}
-    band = ST.band_quantiles(df, ["a", "b"], counts, max_band=400)
-    assert band is not None
-    exact = {(r["column"], r["prob"]): r["value"] for r in ST.exact_quantiles(df, ["a", "b"]).collect()}
-    for k, v in exact.items():
-        assert abs(band[k] - v) < 1e-9
+    rows = [(rnd.gauss(0, 1) * 50 if rnd.random() < 0.9 else None, float(rnd.randint(0, 3)), float(i // 400), None)
+            for i in range(2001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(7)
+    got = {r["stat"]: r for r in ST.describe_numeric(df, ["a", "b", "c", "d"]).collect()}
+    for i, c in enumerate("abc"):
+        vals = sorted(r[i] for r in rows if r[i] is not None)
+        mean = sum(vals) / len(vals)
+        want = {"count": len(vals), "mean": mean, "min": vals[0], "max": vals[-1],
+                "std": (sum((v - mean) ** 2 for v in vals) / (len(vals) - 1)) ** 0.5}
+        for p in (25, 50, 75):
+            h = (len(vals) - 1) * p / 100
+            lo = int(h)
+            hi = min(lo + 1, len(vals) - 1)
+            want[f"{p}%"] = vals[lo] + (vals[hi] - vals[lo]) * (h - lo)
+        for stat, v in want.items():
+            assert abs(got[stat][c] - v) < 1e-9, (stat, c)
+    assert got["count"]["d"] == 0.0 and all(got[s]["d"] is None for s in ST.STATS[1:])
+
+
+def test_correlations_with_gaps_follow_the_pairwise_rule(spark):
+    rnd = random.Random(4)
+    rows = [(float(i), i * 2.0 + rnd.random() if i % 3 else None, rnd.random(), 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, k double")
+    got = {(r["col1"], r["col2"]): r["correlation"] for r in ST.correlation_pairs(df, ["a", "b", "c", "k"]).collect()}
+
+    def pearson(i, j):
+        xs = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+        mx, my = (sum(v[n] for v in xs) / len(xs) for n in (0, 1))
+        sxy = sum((x - mx) * (y - my) for x, y in xs)
+        return sxy / (sum((x - mx) ** 2 for x, _ in xs) * sum((y - my) ** 2 for _, y in xs)) ** 0.5
+    for (i, a), (j, b) in [((0, "a"), (1, "b")), ((1, "b"), (2, "c")), ((0, "a"), (2, "c"))]:
+        assert abs(got[(a, b)] - pearson(i, j)) < 1e-9 and got[(a, b)] == got[(b, a)]
+    assert got[("k", "a")] is None and got[("k", "k")] is None and abs(got[("b", "b")] - 1.0) < 1e-12
+
+
+def test_segments_do_not_depend_on_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    for parts in ["1", "8"]:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        results.append(sorted(map(tuple, QUERIES["product_segments"](spark, SF_SMALL).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1]
 
 
 def _brute_shift_ffill(data, k):
