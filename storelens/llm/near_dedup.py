@@ -16,8 +16,8 @@ the bucket (a star, so a bucket of any size is linear) by the exact overlap of
 the shingle multisets.  A class that is not linked to the largest component of its
 connected buckets may still be similar to another member: these stragglers are
 compared with all members of those buckets, block by block, through an inverted
-index that gives all exact overlaps of a block without a row per pair.  So no
-link between texts that share a bucket is lost, and nothing is capped.
+index of the rarest shingles, by exact overlaps and without a row per pair.  So
+no link between texts that share a bucket is lost, and nothing is capped.
 
 Defined results: null or empty text has no words; texts without words are one
 class; a text of fewer than five words has one shingle, all its words; repeated
@@ -41,7 +41,7 @@ from .shingles import WORDS, counted, mix, shingle_hashes, slices
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4              # registers of a band: 0.8 ** 4, 32 times: a pair at 0.8 is missed once in 20 million
-BLOCK_CHARS = 4 << 20  # text of one block of the straggler search
+BLOCK_CHARS = 1 << 20  # text of one block of the straggler search
 
 
 def signatures(shingles: np.ndarray, owner: np.ndarray, texts: int, registers: int) -> np.ndarray:
@@ -141,41 +141,124 @@ def _verify(words: int, similarity: float):
     return verify
 
 
-def _search(words: int, similarity: float, probe_entries: int = 4_000_000):
+class _Ranked:
+    """Multisets with their shingles as ranks, rarest first, and the prefix of each that any similar set must share.
+
+    If two sets are at least ``similarity`` alike, their overlap is at least
+    that share of either's weight; so they have a shingle in common before the point
+    where less than that share of the weight is left, in both.
+    """
+
+    def __init__(self, sets: _Overlap, rank: np.ndarray, similarity: float):
+        order = np.lexsort((rank, sets.doc))
+        self.rank, self.doc, self.count = rank[order], sets.doc[order], sets.count[order]
+        self.weight, self.limits = sets.weight, sets.limits
+        run = np.concatenate(([0], np.cumsum(self.count)))
+        before = run[:-1] - run[self.limits[self.doc]]
+        self.prefix = np.flatnonzero(self.weight[self.doc] - before >= similarity * self.weight[self.doc] - 1e-9)
+
+
+def _expand(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within runs of the given sizes."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def _chunks(costs: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of items whose costs stay below ``most`` together (one item at least)."""
+    ends, start = np.cumsum(costs), 0
+    while start < len(costs):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, stop
+        start = stop
+
+
+def _similar_pairs(m: _Overlap, p: _Overlap, mcomp: np.ndarray, pcomp: np.ndarray, similarity: float,
+                   entries: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """All (probe, member) pairs of different components that are at least ``similarity`` alike."""
+    distinct, number = np.unique(np.concatenate((m.element, p.element)), return_inverse=True)
+    if not len(distinct) or not len(m.element) or not len(p.element):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rarest = np.lexsort((np.arange(len(distinct)), np.bincount(number)))
+    rank = np.empty(len(distinct), np.int64)
+    rank[rarest] = np.arange(len(distinct))
+    members = _Ranked(m, rank[number[:len(m.element)]], similarity)
+    probes = _Ranked(p, rank[number[len(m.element):]], similarity)
+    n = len(m.weight)
+
+    def postings(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the members at ``at`` by rank, and where each rank's begin."""
+        by = at[np.argsort(members.rank[at], kind="stable")]
+        return by, np.searchsorted(members.rank[by], np.arange(len(distinct) + 1))
+
+    # 1. Candidates: pairs that share a shingle of both prefixes and whose sizes allow it.
+    some, first = postings(members.prefix)
+    at = probes.prefix
+    size = first[probes.rank[at] + 1] - first[probes.rank[at]]
+    pairs = []
+    for a, b in _chunks(size, entries):
+        k = size[a:b]
+        j = members.doc[some[np.repeat(first[probes.rank[at[a:b]]], k) + _expand(k)]]
+        i = np.repeat(probes.doc[at[a:b]], k)
+        ok = (pcomp[i] != mcomp[j]) & (np.minimum(p.weight[i], m.weight[j]) >= similarity * np.maximum(p.weight[i], m.weight[j]) - 1e-9)
+        pairs.append(np.unique(i[ok] * n + j[ok]))
+    pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+    if not len(pairs):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    # 2. Exact overlaps: by look-up for a probe with few candidates, else through the whole index.
+    every, first = postings(np.arange(len(members.rank)))
+    full = first[probes.rank + 1] - first[probes.rank]
+    index_cost = np.bincount(probes.doc, weights=full, minlength=len(p.weight))
+    elements = np.diff(probes.limits)
+    by_index = index_cost < 8 * np.bincount(pairs // n, minlength=len(p.weight)) * elements
+    found_i, found_j = [], []
+
+    def keep(i, j, both):
+        close = both >= similarity * (p.weight[i] + m.weight[j] - both) - 1e-9
+        found_i.append(i[close])
+        found_j.append(j[close])
+
+    keys = members.doc * len(distinct) + members.rank
+    looked = pairs[~by_index[pairs // n]]
+    for a, b in _chunks(elements[looked // n], entries):
+        i, j = looked[a:b] // n, looked[a:b] % n
+        k = elements[i]
+        own = np.repeat(probes.limits[i], k) + _expand(k)
+        want = np.repeat(j, k) * len(distinct) + probes.rank[own]
+        where = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        both = np.where(keys[where] == want, np.minimum(members.count[where], probes.count[own]), 0)
+        keep(i, j, np.bincount(np.repeat(np.arange(len(i)), k), weights=both, minlength=len(i)))
+    indexed = pairs[by_index[pairs // n]]
+    some = np.unique(indexed // n)
+    for a, b in _chunks(index_cost[some] + n, entries):
+        docs = some[a:b]
+        k = elements[docs]
+        own = np.repeat(probes.limits[docs], k) + _expand(k)
+        row = np.repeat(np.arange(len(docs)), k)
+        size = full[own]
+        entry = every[np.repeat(first[probes.rank[own]], size) + _expand(size)]
+        both = np.bincount(np.repeat(row, size) * n + members.doc[entry],
+                           weights=np.minimum(np.repeat(probes.count[own], size), members.count[entry]), minlength=len(docs) * n)
+        mine = indexed[(indexed // n >= docs[0]) & (indexed // n <= docs[-1])]
+        i, j = mine // n, mine % n
+        keep(i, j, both[np.searchsorted(docs, i) * n + j])
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def _search(words: int, similarity: float):
     """Links between probes and members of one block: (probe, least linked member) per component of the members."""
     import pandas as pd
 
     def search(members: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int]] = []
-        if len(members) and len(probes):
-            m, p = _Overlap(members["_text"].tolist(), words), _Overlap(probes["_text"].tolist(), words)
-            rows, comps = members["_row"].to_numpy(), members["_comp"].to_numpy()
-            prow, pcomp = probes["_row"].to_numpy(), probes["_comp"].to_numpy()
-            order = np.argsort(m.element, kind="stable")
-            element, doc, count = m.element[order], m.doc[order], m.count[order]
-            left, right = np.searchsorted(element, p.element, "left"), np.searchsorted(element, p.element, "right")
-            ends = np.cumsum(right - left)
-            start = 0
-            while start < len(probes):  # probes whose index entries fit into memory together
-                a = int(p.limits[start])
-                used = int(ends[a - 1]) if a else 0
-                stop = start + 1
-                while stop < len(probes) and int(ends[p.limits[stop + 1] - 1] if p.limits[stop + 1] else 0) - used <= probe_entries:
-                    stop += 1
-                b = int(p.limits[stop])
-                n = (right - left)[a:b]
-                entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left[a:b], n)
-                pair = np.repeat(p.doc[a:b] - start, n) * len(members) + doc[entry]
-                keys, where = np.unique(pair, return_inverse=True)
-                sums = np.bincount(where, weights=np.minimum(np.repeat(p.count[a:b], n), count[entry]))
-                i, j = keys // len(members) + start, keys % len(members)
-                close = (sums >= similarity * (p.weight[i] + m.weight[j] - sums)) & (pcomp[i] != comps[j])
-                i, j = i[close], j[close]
-                if len(i):
-                    links = pd.DataFrame({"u": prow[i], "c": comps[j], "v": rows[j]}).groupby(["u", "c"], sort=False)["v"].min()
-                    found += zip(links.index.get_level_values(0).tolist(), links.tolist())
-                start = stop
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+        if not len(members) or not len(probes):
+            return pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
+        rows, comps = members["_row"].to_numpy(), members["_comp"].to_numpy()
+        prow, pcomp = probes["_row"].to_numpy(), probes["_comp"].to_numpy()
+        i, j = _similar_pairs(_Overlap(members["_text"].tolist(), words), _Overlap(probes["_text"].tolist(), words),
+                              comps, pcomp, similarity)
+        links = pd.DataFrame({"u": prow[i], "c": comps[j], "v": rows[j]})
+        return links.groupby(["u", "c"], sort=False, as_index=False)["v"].min()[["u", "v"]].astype("int64")
     return search
 
 
@@ -201,7 +284,8 @@ def _classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS
 
     # 3. Texts of the classes in buckets, fetched once; stars verified by the exact overlap.
     wanted = store(active.select("_row", "_id", "_tag").distinct(), "wanted")
-    texts = store(join_on(base, wanted, ["_id", "_tag"]).select("_row", "_text"), "texts")
+    # Always a merge join: the wanted keys grow with the data.
+    texts = store(join_on(base, wanted.hint("merge"), ["_id", "_tag"]).select("_row", "_text"), "texts")
     if texts.count() > wanted.count():  # rows that repeat an id and its text
         texts = store(texts.dropDuplicates(["_row"]), "texts")
     pairs = stars.join(texts.withColumnsRenamed({"_row": "u", "_text": "_tu"}), "u") \

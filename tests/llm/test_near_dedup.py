@@ -110,3 +110,16 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 1 for i in range(1, 7)}, 10: 10, 11: 10, 12: 10, **{i: 100 for i in range(100, 150)}}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_straggler_search_finds_all_similar_pairs(family):
+    from storelens.llm.near_dedup import _Overlap, _similar_pairs
+    texts = family + ["one", "one", "", "a b c d e"]
+    sets = [multiset(t) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(len(texts))
+            if i % 7 != j % 5 and sets[i] and sets[j] and similarity(sets[i], sets[j]) >= 0.8}
+    a = _Overlap(texts, 5)
+    comp_m, comp_p = np.arange(len(texts)) % 5, np.arange(len(texts)) % 7
+    for entries in (4_000_000, 50):
+        i, j = _similar_pairs(a, _Overlap(texts, 5), comp_m, comp_p, 0.8, entries)
+        assert len(i) == len(want) and set(zip(i.tolist(), j.tolist())) == want
