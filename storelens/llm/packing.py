@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .shingles import slices
 from .tokens import encoder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -76,7 +77,7 @@ def _pieces(name: str, size: int, end_id: int, with_ids: bool):
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
             cols: dict[str, list] = {"_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}

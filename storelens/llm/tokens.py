@@ -26,7 +26,8 @@ _BYTE_LEVEL = re.compile(
 _WORD_LEVEL = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 _WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
-CACHE_CHUNKS = 300_000   # distinct chunks in each of two generations
+_MARK = "\x00"
+CACHE_CHUNKS = 400_000   # distinct chunks in each of two generations
 PIECE_CHARS = 2_000_000  # longer texts are cut at single spaces between words
 
 
@@ -43,23 +44,30 @@ class ChunkEncoder:
 
     def __init__(self, name: str, capacity: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         path = tokenizer_path(name)
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True   # their strings in a text are ordinary text
-        self.joined = Tokenizer.from_file(path)   # here they part the chunks
-        self.pattern, self.lower, self.mark = None, False, None
+        self.pattern, self.lower = None, False
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        marks = [t for t in spec.get("added_tokens", []) if t["special"] and not (t["lstrip"] or t["rstrip"])]
-        if marks:
-            self.mark, self.mark_id = marks[-1]["content"], marks[-1]["id"]
-            if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
-                self.pattern = _BYTE_LEVEL
-            elif _WORD_SPLIT in json.dumps(pre).replace("\\\\", "\\") and '"Lowercase"' in json.dumps(norm):
-                self.pattern, self.lower = _WORD_LEVEL, True
+        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
+            self.pattern = _BYTE_LEVEL
+        elif _WORD_SPLIT in json.dumps(pre).replace("\\\\", "\\") and '"Lowercase"' in json.dumps(norm):
+            self.pattern, self.lower = _WORD_LEVEL, True
+        # For chunks: the same model, told where the chunks end by a character that none of them has.
+        self.joined = Tokenizer.from_file(path)
+        self.joined.encode_special_tokens = True
+        self.joined.normalizer = normalizers.Sequence([])
+        self.joined.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split(_MARK, "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        mark = self.joined.encode(_MARK, add_special_tokens=False).ids
+        if len(mark) == 1:
+            self.mark_id = mark[0]
+        else:
+            self.pattern = None
         self.capacity, self.new, self.old = capacity, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -111,10 +119,10 @@ class ChunkEncoder:
                 missing.append(c)
             else:
                 self.new[c] = ids
-        for at in range(0, len(missing), 1024):
-            some = missing[at:at + 1024]
+        for at in range(0, len(missing), 512):
+            some = missing[at:at + 512]
             ids = np.array(self.joined.encode_batch_fast(
-                [self.mark.join(some) + self.mark], add_special_tokens=False)[0].ids, dtype="<u4")
+                [_MARK.join(some) + _MARK], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(ids == self.mark_id).tolist()
             raw, start = ids.tobytes(), 0
             for c, end in zip(some, ends, strict=True):
