@@ -144,7 +144,7 @@ def candidates(seed: int = 42, forest_depth: int = 30, forest_memory_mb: int = 2
     }
 
 
-ROWS_PER_TASK = 50_000  # rows of one partition of the model table
+ROWS_PER_TASK = 8_000  # rows of one partition of the model table
 
 
 def model_table(frame: DataFrame, features: Mapping[str, list[str]], key_cols: Sequence[str] = KEY_COLS,
