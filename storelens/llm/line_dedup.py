@@ -85,13 +85,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     A key of at least ``min_chars`` code points found in at least ``min_docs``
     documents loses all its lines except those of the largest id that holds it.
     """
-    drops = dropped_positions(docs, min_chars, min_docs, id_col, text_col)
+    own = {"_id": "_line_dedup_id", "_tag": "_line_dedup_tag", "_drop": "_line_dedup_drop"}  # beside the input's columns
+    drops = dropped_positions(docs, min_chars, min_docs, id_col, text_col).withColumnsRenamed(own)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    left = docs.select(*names).withColumns({"_id": F.col(id_col), "_tag": _text_tag(text_or_empty(text_col))})
+    left = docs.select(*names).withColumns({own["_id"]: F.col(id_col), own["_tag"]: _text_tag(text_or_empty(text_col))})
     lines = F.split(text_or_empty(text_col), "\n", -1)
-    joined = join_on(left, drops, ["_id", "_tag"], "left")
-    kept = F.when(F.col("_drop").isNull(), text_or_empty(text_col)).otherwise(
-        F.array_join(_without(lines, F.col("_drop")), "\n"))
+    joined = join_on(left, drops, [own["_id"], own["_tag"]], "left")
+    drop = F.col(own["_drop"])
+    kept = F.when(drop.isNull(), text_or_empty(text_col)).otherwise(F.array_join(_without(lines, drop), "\n"))
     out = [kept.alias(c) if c == text_col else F.col(c) for c in names]
     return joined.select(*out, F.size(lines).cast("long").alias("n_lines"),
-                         F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+                         F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"))

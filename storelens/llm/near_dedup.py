@@ -362,8 +362,9 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: st
     """``docs`` with one document of each class, columns unchanged."""
     names = docs.columns
     stay = store(_classes(docs, similarity, id_col=id_col, text_col=text_col, **options).filter("_kept")
-                 .select("_id", "_tag"), "stay")
-    tagged = docs.withColumns({"_id": F.col(id_col), "_tag": F.xxhash64(text_or_empty(text_col))})
-    kept = join_on(tagged, stay, ["_id", "_tag"])
+                 .select(F.col("_id").alias("_near_dedup_id"), F.col("_tag").alias("_near_dedup_tag")), "stay")
+    keys = ["_near_dedup_id", "_near_dedup_tag"]  # beside the input's columns
+    tagged = docs.withColumns(dict(zip(keys, (F.col(id_col), F.xxhash64(text_or_empty(text_col))))))
+    kept = join_on(tagged, stay, keys)
     repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return (kept if repeated.isEmpty() else kept.dropDuplicates(["_id", "_tag"])).select(*names)
+    return (kept if repeated.isEmpty() else kept.dropDuplicates(keys)).select(*names)

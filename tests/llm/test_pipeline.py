@@ -1,5 +1,6 @@
 import corpus_pipeline
 from storelens.llm.catalog import QUERIES
+from tests.llm.conftest import rows_of
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_near_dedup import brute_classes
 
@@ -31,6 +32,18 @@ def test_stages_take_effect_and_keep_the_columns(spark):
     assert whole.agg({"length": "sum"}).first()[0] == tokens
 
 
+def test_stages_take_odd_rows_clashing_names_and_an_empty_table(frame, odd_texts, spark):
+    rows = rows_of(odd_texts + odd_texts[:4]) + [(3, "a text of its own under a known id", None, None, *[None] * 6), (None, None, *[None] * 8)]
+    docs = frame(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert {r._row for r in out.collect()} <= {7, None}
+        assert out.count() > 0
+        assert stage(spark, frame([]), SF).count() == 0
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as entry
     names = list(entry.queries())

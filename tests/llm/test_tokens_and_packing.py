@@ -71,7 +71,7 @@ def test_open_bins_best_fit_and_bound():
 
 def test_token_counts_from_flat_files(spark, frame, odd_texts, tmp_path):
     rows = rows_of(odd_texts)
-    want = {r[0]: len(x) for r, x in zip(rows, plain("byte_bpe_50k.json", odd_texts))}
+    want = {r[0]: len(x) for r, x in zip(rows, plain("word_bpe_49k.json", odd_texts))}
     got = count_tokens(frame(rows).repartition(3), str(tmp_path / "a")).collect()
     assert {r.doc_id: r.n_tokens for r in got} == want and len(got) == len(rows)
     assert count_tokens(frame(rows_of(["same"]) * 3), str(tmp_path / "b")).count() == 3
@@ -83,12 +83,12 @@ def test_scan_stitches_documents_over_blocks(spark, frame, odd_texts, tmp_path,
     path = str(tmp_path / "files")
     write_token_files(frame(rows_of(odd_texts[:9] + odd_texts[12:])).coalesce(1), path, shard_bytes=400)
     (tmp_path / "tail").mkdir()
-    ids = np.array([5, 6, 50256, 50256, 7, 8, 9], "<u2")  # ids after the last separator
+    ids = np.array([5, 6, 49407, 49407, 7, 8, 9], "<u2")  # ids after the last separator
     (tmp_path / "tail" / "shard.bin").write_bytes(ids.tobytes())
     small = scan_token_files(spark, str(tmp_path / "tail"), block_ids=block).orderBy("number").collect()
     assert [(r.start, r.n_tokens, r.ended) for r in small] == [(0, 2, True), (3, 0, True), (4, 3, False)]
     found = scan_token_files(spark, f"{path}/kind=ids", block_ids=block).orderBy("shard", "number").collect()
-    want = [len(x) for x in plain("byte_bpe_50k.json", odd_texts[:9] + odd_texts[12:])]
+    want = [len(x) for x in plain("word_bpe_49k.json", odd_texts[:9] + odd_texts[12:])]
     assert [r.n_tokens for r in found] == want and len({r.shard for r in found}) > 1
 
 
