@@ -10,7 +10,7 @@ import pyarrow as pa
 from .common import worker_state
 
 WORDS = 5
-SLICE_BYTES = 2 << 20   # text taken at a time
+SLICE_BYTES = 1 << 20   # text taken at a time
 _BASE = 0x9E3779B97F4A7C15 | 1
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
