@@ -32,8 +32,8 @@ from .common import text_or_empty
 from .shingles import slices
 from .tokens import encoder
 
-TOKENIZER = "byte_bpe_50k.json"
-END_ID = 50256            # <|endoftext|>; no text encodes to it
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 49407            # <|endoftext|>; no text encodes to it
 ID_BYTES = 2              # unsigned 16-bit ids
 SHARD_BYTES = 32 << 20    # a file closes after that many bytes
 BLOCK_IDS = 1 << 20
@@ -123,13 +123,13 @@ def scan_token_files(spark: SparkSession, path: str, end_id: int = END_ID, id_by
     # Starts and ends of the documents that end in the block, and what is left after the last separator of the file.
     rest = F.coalesce(last + 1, F.col("_open"))
     starts = F.concat(F.array("_open"), F.transform("ends", lambda e: e + 1))
-    docs = F.transform("ends", lambda e, i: F.struct(
-        (F.col("_first") + i).alias("number"), F.get(starts, i).alias("start"), e.alias("stop"), F.lit(True).alias("ended")))
+    docs = F.zip_with(F.slice(starts, F.lit(1), F.size("ends")), "ends", lambda a, b: F.struct(
+        a.alias("start"), b.alias("stop"), F.lit(True).alias("ended")))
     tail = F.when(F.col("_final") & (rest < F.col("n_ids")), F.array(F.struct(
-        (F.col("_first") + F.size("ends")).alias("number"), rest.alias("start"), F.col("n_ids").alias("stop"),
-        F.lit(False).alias("ended")))).otherwise(F.array().cast("array<struct<number:bigint,start:bigint,stop:bigint,ended:boolean>>"))
-    return stitched.select("shard", F.explode(F.concat(docs, tail)).alias("d")).select(
-        "shard", F.col("d.number").alias("number"), F.col("d.start").alias("start"),
+        rest.alias("start"), F.col("n_ids").alias("stop"), F.lit(False).alias("ended")))).otherwise(
+        F.array().cast("array<struct<start:bigint,stop:bigint,ended:boolean>>"))
+    return stitched.select("shard", "_first", F.posexplode(F.concat(docs, tail)).alias("pos", "d")).select(
+        "shard", (F.col("_first") + F.col("pos")).alias("number"), F.col("d.start").alias("start"),
         (F.col("d.stop") - F.col("d.start")).alias("n_tokens"), F.col("d.ended").alias("ended"))
 
 
