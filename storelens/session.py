@@ -25,7 +25,7 @@ SCALE_CONF = {
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
-                  app_name: str = "storelens") -> SparkSession:
+                  app_name: str = "storelens", conf: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and benchmarks (UI off, no server)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -36,7 +36,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for key, value in SCALE_CONF.items():
+    for key, value in {**SCALE_CONF, **(conf or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
