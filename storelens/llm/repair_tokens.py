@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .shingles import slices
 from .tokens import encoder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +35,7 @@ SHARD_IDS = 1 << 20
 ROUNDS = 8
 PAIRS_PER_ROUND = 1024
 MIN_COUNT = 16
+CACHE_CHUNKS = 600_000   # of the tokenizer; no other state of a size is kept beside it
 
 FILE_SCHEMA = ("part long, shard long, first_symbol long, rule_left array<int>, rule_right array<int>, "
                "expansion array<int>, symbol_bytes int, symbols binary, documents binary, lengths binary, n_tokens long")
@@ -42,7 +44,7 @@ FILE_SCHEMA = ("part long, shard long, first_symbol long, rule_left array<int>,
 def compress(ids: np.ndarray, first: int, end_id: int = END_ID, rounds: int = ROUNDS,
              pairs_per_round: int = PAIRS_PER_ROUND, min_count: int = MIN_COUNT):
     """Symbols, left and right of every rule, and the length of every rule's expansion; rule r is the symbol first + r."""
-    s = ids.astype(np.uint64)
+    s = ids.astype(np.uint32)
     lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     length = np.zeros(0, np.int64)
     closed = np.zeros(first, bool)   # symbols whose expansion ends with the end id
@@ -52,20 +54,22 @@ def compress(ids: np.ndarray, first: int, end_id: int = END_ID, rounds: int = RO
     for _ in range(rounds):
         if len(s) < 2:
             break
-        open_ = ~closed[s[:-1]]
-        keys = s[:-1] * np.uint64(top) + s[1:]
-        ordered = np.sort(keys[open_])
-        if not len(ordered):
-            break
+        wide = np.uint32 if top <= 1 << 16 else np.uint64  # a pair as one number
+        shift = wide(16 if top <= 1 << 16 else 32)
+        ordered = s[:-1].astype(wide)
+        ordered <<= shift
+        ordered |= s[1:]
+        ordered.sort()
         starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(starts, len(ordered)))
         often = np.flatnonzero(counts >= min_count)
+        often = often[~closed[ordered[starts[often]] >> shift]]  # no pair starts with the end of a document
         if len(often) > pairs_per_round:
             often = often[np.argpartition(-counts[often], pairs_per_round)[:pairs_per_round]]
         if not len(often):
             break
         chosen = ordered[starts[often]]
-        left, right = (chosen // np.uint64(top)).astype(np.int64), (chosen % np.uint64(top)).astype(np.int64)
+        left, right = (chosen >> shift).astype(np.int64), (chosen & ((wide(1) << shift) - wide(1))).astype(np.int64)
         # A small table of (left, right) finds the pairs of the round in two look-ups per position.
         dl, row = np.unique(left, return_inverse=True)
         dr, col = np.unique(right, return_inverse=True)
@@ -73,15 +77,18 @@ def compress(ids: np.ndarray, first: int, end_id: int = END_ID, rounds: int = RO
         at_l[dl], at_r[dr] = np.arange(1, len(dl) + 1), np.arange(1, len(dr) + 1)
         table = np.full((len(dl) + 1, len(dr) + 1), -1, np.int32)
         table[row + 1, col + 1] = np.arange(len(chosen))
-        rule = table[at_l[s[:-1]], at_r[s[1:]]]
-        rule[~open_] = -1
-        at = np.flatnonzero(rule >= 0)
+        at = np.flatnonzero(at_l[s[:-1]])
+        rule = table[at_l[s[at]], at_r[s[at + 1]]]
+        at, rule = at[rule >= 0], rule[rule >= 0]
         # Of pairs that overlap in a row, the first, third, ... are replaced.
         fresh = np.concatenate(([True], np.diff(at) != 1))
         begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - begin) % 2 == 0]
-        used, number = np.unique(rule[at], return_inverse=True)
-        s[at] = np.uint64(top) + number.astype(np.uint64)
+        odd = (np.arange(len(at)) - begin) % 2 == 0
+        at, rule = at[odd], rule[odd]
+        times = np.bincount(rule, minlength=len(chosen))
+        used = np.flatnonzero(times)
+        number = (np.cumsum(times > 0) - 1)[rule]
+        s[at] = (top + number).astype(np.uint32)
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         before, s = len(s), s[keep]
@@ -98,19 +105,22 @@ def compress(ids: np.ndarray, first: int, end_id: int = END_ID, rounds: int = RO
 
 
 def expand(symbols: np.ndarray, first: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The ids of ``symbols``."""
-    s = symbols.astype(np.int64)
+    """The ids of ``symbols``, all nonterminals replaced level by level."""
+    s = symbols.astype(np.uint32)
+    left, right = left.astype(np.uint32), right.astype(np.uint32)
     while True:
-        inner = s >= first
-        if not inner.any():
+        at = np.flatnonzero(s >= first)
+        if not len(at):
             return s
-        width = 1 + inner
-        place = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.int64)
-        rule = s[inner] - first
-        out[place] = s
-        out[place[inner]] = left[rule]
-        out[place[inner] + 1] = right[rule]
+        rule = s[at] - np.uint32(first)
+        # Each nonterminal becomes its left symbol, and its right one goes in after it.
+        out = np.empty(len(s) + len(at), np.uint32)
+        after = at + np.arange(1, len(at) + 1)
+        plain = np.ones(len(out), bool)
+        plain[after] = False
+        s[at] = left[rule]
+        out[plain] = s
+        out[after] = right[rule]
         s = out
 
 
@@ -144,10 +154,10 @@ def _encode(name: str, end_id: int, shard_ids: int, rounds: int, pairs_per_round
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(name)
+        enc = encoder(name, CACHE_CHUNKS)
         first = max(enc.whole.get_vocab_size(with_added_tokens=True), end_id + 1)
         part, shard, docs, raws, size = TaskContext.get().partitionId(), 0, [], [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for doc, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
                 docs.append(doc)
                 raws.append(raw + end)

@@ -20,10 +20,10 @@ from .common import worker_state
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _OTHER = re.compile("[^\t\n\r\x0b\x0c\x20-\x7eÀ-ÖØ-öø-ÿ]")
-# The split patterns of the two vocabularies, written for those characters.
+# The split patterns of the two vocabularies, written for those characters; words first, as no other part starts like one.
 _BYTE_LEVEL = re.compile(
-    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
-_WORD_LEVEL = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+    f" ?[{_LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
+_WORD_LEVEL = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-zß-öø-ÿ0-9]+")
 _WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 _MARK = "\x00"
@@ -94,11 +94,20 @@ class ChunkEncoder:
                 for p in _pieces(t):
                     pieces.append(self.pattern.findall(p.lower() if self.lower else p))
                     owner.append(i)
-        get = self._known(set().union(*pieces)).__getitem__
-        parts: dict[int, list[bytes]] = {}
-        for i, chunks in zip(owner, pieces):
-            parts.setdefault(i, []).append(b"".join(map(get, chunks)))
-        for i, bits in parts.items():
+        get, parts, gaps, missing = self.new.get, [], [], set()
+        for chunks in pieces:
+            found = list(map(get, chunks))
+            gap = [i for i, ids in enumerate(found) if ids is None] if None in found else []
+            missing.update([chunks[i] for i in gap])
+            parts.append(found)
+            gaps.append(gap)
+        known = self._known(missing)
+        joined: dict[int, list[bytes]] = {}
+        for owner_, chunks, found, gap in zip(owner, pieces, parts, gaps):
+            for i in gap:
+                found[i] = known[chunks[i]]
+            joined.setdefault(owner_, []).append(b"".join(found))
+        for i, bits in joined.items():
             result[i] = b"".join(bits)
         return result
 
@@ -107,13 +116,11 @@ class ChunkEncoder:
         return np.array(ids, dtype="<u4").tobytes()
 
     def _known(self, chunks: set[str]) -> dict[str, bytes]:
-        """A cache that holds at least ``chunks``."""
+        """The newer generation of the cache, with ``chunks`` (none of which it had) in it."""
         missing = []
-        fresh = [c for c in chunks if c not in self.new]
-        if len(self.new) + len(fresh) > self.capacity:
+        if len(self.new) + len(chunks) > self.capacity:
             self.old, self.new = self.new, {}
-            fresh = list(chunks)
-        for c in fresh:
+        for c in chunks:
             ids = self.old.get(c)
             if ids is None:
                 missing.append(c)
@@ -145,9 +152,10 @@ def _pieces(text: str):
     yield text[start:]
 
 
-def encoder(name: str) -> ChunkEncoder:
+def encoder(name: str, capacity: int = CACHE_CHUNKS) -> ChunkEncoder:
     """The worker's encoder for a vocabulary; it lives across tasks."""
     kept = worker_state().setdefault("encoders", {})
     if name not in kept:
-        kept[name] = ChunkEncoder(name)
+        kept[name] = ChunkEncoder(name, capacity)
+    kept[name].capacity = capacity
     return kept[name]
