@@ -60,15 +60,16 @@ def compress(ids: np.ndarray, first: int, end_id: int = END_ID, rounds: int = RO
         ordered <<= shift
         ordered |= s[1:]
         ordered.sort()
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(starts, len(ordered)))
-        often = np.flatnonzero(counts >= min_count)
-        often = often[~closed[ordered[starts[often]] >> shift]]  # no pair starts with the end of a document
+        # Only pairs that are there ``min_count`` times: equal to the one as many places on.
+        starts = np.flatnonzero(ordered[min_count - 1:] == ordered[:len(ordered) - min_count + 1]) if len(ordered) >= min_count \
+            else np.zeros(0, np.int64)
+        pairs, counts = np.unique(ordered[starts], return_counts=True)
+        often = np.flatnonzero(~closed[pairs >> shift])  # no pair starts with the end of a document
         if len(often) > pairs_per_round:
             often = often[np.argpartition(-counts[often], pairs_per_round)[:pairs_per_round]]
         if not len(often):
             break
-        chosen = ordered[starts[often]]
+        chosen = pairs[often]
         left, right = (chosen >> shift).astype(np.int64), (chosen & ((wide(1) << shift) - wide(1))).astype(np.int64)
         # A small table of (left, right) finds the pairs of the round in two look-ups per position.
         dl, row = np.unique(left, return_inverse=True)
@@ -77,13 +78,14 @@ def compress(ids: np.ndarray, first: int, end_id: int = END_ID, rounds: int = RO
         at_l[dl], at_r[dr] = np.arange(1, len(dl) + 1), np.arange(1, len(dr) + 1)
         table = np.full((len(dl) + 1, len(dr) + 1), -1, np.int32)
         table[row + 1, col + 1] = np.arange(len(chosen))
-        at = np.flatnonzero(at_l[s[:-1]])
+        at = np.flatnonzero((at_l > 0)[s[:-1]])
         rule = table[at_l[s[at]], at_r[s[at + 1]]]
-        at, rule = at[rule >= 0], rule[rule >= 0]
+        hit = rule >= 0
+        at, rule = at[hit], rule[hit]
         # Of pairs that overlap in a row, the first, third, ... are replaced.
         fresh = np.concatenate(([True], np.diff(at) != 1))
-        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        odd = (np.arange(len(at)) - begin) % 2 == 0
+        place = np.arange(len(at))
+        odd = (place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0
         at, rule = at[odd], rule[odd]
         times = np.bincount(rule, minlength=len(chosen))
         used = np.flatnonzero(times)
