@@ -1,7 +1,7 @@
 """Secret scan with false-positive removal by a random forest (DataFrame and Spark ML functions only).
 
-Candidates are white-space separated words that hold a run of at least 16
-characters of ``[A-Za-z0-9_+/=-]`` with a digit in it.  Features of a candidate:
+Candidates are all runs of at least 16 characters of ``[A-Za-z0-9_+/=-]`` with a
+digit in them; a white-space separated word can hold any number.  Features of a candidate:
 
 * its length, its share of different characters, digits and upper case, and how
   often the character class changes along it;
@@ -53,17 +53,28 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = F.col("_words")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("_path"),
                        F.split(text, "[ \\t-\\r]", -1).alias("_words"))
-    hit = lambda w: (F.length(w) >= 16) & w.rlike("[0-9]") & F.regexp_extract(w, RUN, 0).rlike("[0-9]")
+    hit = lambda w: (F.length(w) >= 16) & w.rlike("[0-9]") & w.rlike(RUN)
     at = F.filter(F.transform(words, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull())
     found = rows.withColumn("_at", at).filter(F.size("_at") > 0).select("_id", "_path", "_words", F.explode("_at").alias("word"))
-    value = F.regexp_extract(F.get(words, F.col("word")), RUN, 0)
     prefix = F.when(F.col("word") > 0, F.length(F.array_join(F.slice(words, F.lit(1), F.col("word")), " ")) + 1).otherwise(0)
     near = lambda k: F.lower(F.coalesce(F.get(words, F.col("word") + k), F.lit("")))
-    return found.select(
+    values = found.withColumn("_value", F.explode(_values(F.get(words, F.col("word")))))
+    return values.select(
         F.monotonically_increasing_id().alias("_finding"), "_id", "_path", F.col("word").cast("long").alias("word"),
-        (prefix + F.expr(f"instr(get(_words, word), regexp_extract(get(_words, word), '{RUN}', 0))") - 1)
-        .cast("long").alias("start"),
-        value.alias("value"), near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"))
+        (prefix + F.col("_value.start")).cast("long").alias("start"), F.col("_value.value").alias("value"),
+        near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"))
+
+
+def _values(word: Column) -> Column:
+    """Array of ``value, start``: every run of ``word`` that has a digit, with its offset in the word."""
+    runs, gaps = F.regexp_extract_all(word, F.lit(RUN), F.lit(0)), F.split(word, RUN, -1)
+    places = F.sequence(F.lit(0), F.size(runs) - 1)
+    # The end of the run before each run; the gaps are what stands before, between and after the runs.
+    ends = F.aggregate(places, F.array(F.lit(0)), lambda a, i: F.concat(
+        a, F.array(F.element_at(a, -1) + F.length(F.get(gaps, i)) + F.length(F.get(runs, i)))))
+    found = F.transform(places, lambda i: F.struct(
+        F.get(runs, i).alias("value"), (F.get(ends, i) + F.length(F.get(gaps, i))).alias("start")))
+    return F.filter(found, lambda v: v["value"].rlike("[0-9]"))
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
