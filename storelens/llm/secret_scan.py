@@ -1,7 +1,18 @@
 """Secret scan with false-positive removal by a random forest (DataFrame and Spark ML functions only).
 
-Candidates are all runs of at least 16 characters of ``[A-Za-z0-9_+/=-]`` with a
-digit in them; a white-space separated word can hold any number.  Features of a candidate:
+A white-space separated word is cut into parts: runs of ``[A-Za-z0-9_+/-]`` with
+up to two ``=`` of base64 padding, and whole values of credential names inside the
+word (``API_KEY=..``, ``token="..."``, ``"password":"..."``), up to the closing quote
+or the next delimiter.  A part that stands right after another one and ``=`` or
+``:`` has that one as its name; the name is not part of the value.  A word can hold
+any number of candidates, which are
+
+* parts of at least 16 characters with a digit;
+* shorter values with a digit of a credential name inside the word;
+* values of ``name=value`` if both together are at least 16 characters with a digit.
+
+So a value without any digit, and a value under 16 characters whose name is no
+credential's or stands in another word, is none.  Features of a candidate:
 
 * its length, its share of different characters, digits and upper case, and how
   often the character class changes along it;
@@ -9,13 +20,14 @@ digit in them; a white-space separated word can hold any number.  Features of a
   counts of all words of the corpus;
 * dictionary coverage: the share of its letters that lie in runs which the
   corpus has as words often enough;
-* the words before and after it and the parts of its path (the document's
-  source), hashed.
+* the parts of its name in the word, the words before and after it and the parts
+  of its path (the document's source), hashed.
 
 A random forest is trained on labelled findings (a bounded, seeded sample of
 ``sample_rows``) and gives every candidate the probability of being a secret.
 ``rule_labels`` labels findings where no reviewed labels exist: a value that is
-assigned to the name of a credential is one, any other is not.
+assigned to the name of a credential, in the word itself or in the words before
+it, is one, any other and a number of up to eight digits is not.
 
 Defined results: null or empty text has no candidates; an empty table gives no
 rows; without findings of both labels the score is the share of true labels;
@@ -36,6 +48,13 @@ from .common import store, text_or_empty
 
 RUN = "[A-Za-z0-9_+/=-]{16,}"
 CREDENTIAL = "(?i)(token|secret|passw(or)?d|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer)"
+ASSIGN = "[\\\\\"'\\])]{0,4}(?::=|=>|[=:]{1,2})[\\\\\"'(\\[]{0,4}"  # with the quotes and brackets around it
+# A look-behind needs a bound: up to 64 characters of the name may follow what makes it a credential's.
+_NAMED = f"(?<=[=:>\"'(\\[\\\\])(?<={CREDENTIAL}[A-Za-z0-9_.-]{{0,64}}{ASSIGN})"
+PART = (f"{_NAMED}(?<=[\"'])[^\"'\\\\]+"  # in quotes: up to the closing one
+        f"|{_NAMED}(?![=:>])[^\"'\\\\,;&(){{}}\\[\\]<>]*[^\"'\\\\,;&(){{}}\\[\\]<>.:?#]"  # else to a delimiter
+        # Any run; = is padding unless a value, in quotes or not, comes after it.
+        "|[A-Za-z0-9_+/-]+(?:={1,2}(?![A-Za-z0-9_+/=>-]|[\\\\\"'(\\[]{1,4}[^\\\\\"'()\\[\\]{},;:.#&<>]))?")
 MIN_WORD_COUNT = 5       # occurrences that make a corpus word a dictionary word
 SAMPLE_ROWS = 20_000     # labelled findings of the training sample
 TREES, DEPTH, SEED = 24, 8, 11
@@ -45,15 +64,17 @@ NUMERIC = ["log_length", "distinct_share", "digit_share", "upper_share", "class_
 
 
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """``_finding, _id, _path, word, start, value, before2, before, after`` of every candidate.
+    """``_finding, _id, _path, word, start, value, name, first, before2, before, after`` of every candidate.
 
-    ``word`` is the number of the word in the text, ``start`` the offset of the value in characters.
+    ``word`` is the number of the word in the text, ``start`` the offset of the value in characters, ``name`` the
+    name in the word that the value is assigned to (or empty), ``first`` whether the value is the word's first part.
     """
     text = text_or_empty(text_col)
     words = F.col("_words")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("_path"),
                        F.split(text, "[ \\t-\\r]", -1).alias("_words"))
-    hit = lambda w: (F.length(w) >= 16) & w.rlike("[0-9]") & w.rlike(RUN)
+    hit = lambda w: w.rlike("[0-9]") & (((F.length(w) >= 16) & w.rlike(RUN))
+                                        | (w.rlike("[=:]") & w.rlike(CREDENTIAL)))
     at = F.filter(F.transform(words, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull())
     found = rows.withColumn("_at", at).filter(F.size("_at") > 0).select("_id", "_path", "_words", F.explode("_at").alias("word"))
     prefix = F.when(F.col("word") > 0, F.length(F.array_join(F.slice(words, F.lit(1), F.col("word")), " ")) + 1).otherwise(0)
@@ -62,19 +83,24 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return values.select(
         F.monotonically_increasing_id().alias("_finding"), "_id", "_path", F.col("word").cast("long").alias("word"),
         (prefix + F.col("_value.start")).cast("long").alias("start"), F.col("_value.value").alias("value"),
-        near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"))
+        F.col("_value.name").alias("name"), F.col("_value.first").alias("first"), near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"))
 
 
 def _values(word: Column) -> Column:
-    """Array of ``value, start``: every run of ``word`` that has a digit, with its offset in the word."""
-    runs, gaps = F.regexp_extract_all(word, F.lit(RUN), F.lit(0)), F.split(word, RUN, -1)
-    places = F.sequence(F.lit(0), F.size(runs) - 1)
-    # The end of the run before each run; the gaps are what stands before, between and after the runs.
+    """Array of ``value, start, name, first``: the candidates among the parts of ``word``, with their offsets in it."""
+    parts, gaps = F.regexp_extract_all(word, F.lit(PART), F.lit(0)), F.split(word, PART, -1)
+    places = F.sequence(F.lit(0), F.size(parts) - 1)
+    # The end of the part before each part; the gaps are what stands before, between and after the parts.
     ends = F.aggregate(places, F.array(F.lit(0)), lambda a, i: F.concat(
-        a, F.array(F.element_at(a, -1) + F.length(F.get(gaps, i)) + F.length(F.get(runs, i)))))
+        a, F.array(F.element_at(a, -1) + F.length(F.get(gaps, i)) + F.length(F.get(parts, i)))))
     found = F.transform(places, lambda i: F.struct(
-        F.get(runs, i).alias("value"), (F.get(ends, i) + F.length(F.get(gaps, i))).alias("start")))
-    return F.filter(found, lambda v: v["value"].rlike("[0-9]"))
+        F.get(parts, i).alias("value"), (F.get(ends, i) + F.length(F.get(gaps, i))).alias("start"),
+        F.when((i > 0) & F.get(gaps, i).rlike(f"^{ASSIGN}$"), F.get(parts, i - 1)).otherwise("").alias("name"),
+        F.get(gaps, i).alias("gap"), (i == 0).alias("first")))
+    digit = lambda c: c.rlike("[0-9]")
+    joined = lambda v: F.concat(v["name"], v["gap"], v["value"])
+    return F.filter(found, lambda v: (digit(v["value"]) & ((F.length(v["value"]) >= 16) | v["name"].rlike(CREDENTIAL)))
+                    | ((v["name"] != "") & v["gap"].rlike("^=+$") & (F.length(joined(v)) >= 16) & digit(joined(v))))
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -115,6 +141,7 @@ def with_features(findings: DataFrame, words: DataFrame, min_word_count: int = M
         "digit_share": share("0-9"), "upper_share": share("A-Z"), "class_changes": changes / n,
         "context": F.concat(F.array(F.concat(F.lit("b2:"), "before2"), F.concat(F.lit("b1:"), "before"),
                                     F.concat(F.lit("a1:"), "after")),
+                            F.transform(F.split(F.lower("name"), "[_.-]+"), lambda p: F.concat(F.lit("n:"), p)),
                             F.transform(F.split("_path", "[/\\\\.]+"), lambda p: F.concat(F.lit("p:"), p)))})
     logp = findings.select("_finding", _pairs(_symbols(v)).alias("pair")) \
         .join(F.broadcast(transitions(words)), "pair", "left") \
@@ -128,9 +155,14 @@ def with_features(findings: DataFrame, words: DataFrame, min_word_count: int = M
 
 
 def rule_labels(findings: DataFrame) -> DataFrame:
-    """``label`` 1 for a value that is assigned to the name of a credential (``name = value``, ``name: value``)."""
-    named = (F.col("before2").rlike(CREDENTIAL) & F.col("before").rlike("^[=:]+$")) | \
+    """``label`` 1 for a value that is assigned to the name of a credential.
+
+    The name stands in the value's own word (``name=value``, ``"name":"value"``) or, for the first part of a word, in
+    the words before it (``name = value``, ``name: value``).  Numbers of up to eight digits (``max_tokens=4096``) are 0.
+    """
+    spaced = (F.col("before2").rlike(CREDENTIAL) & F.col("before").rlike("^[=:]+$")) | \
         (F.col("before").rlike(CREDENTIAL) & F.col("before").rlike("[=:]$"))
+    named = (F.col("name").rlike(CREDENTIAL) | (F.col("first") & spaced)) & ~F.col("value").rlike("^[0-9]{1,8}$")
     return findings.withColumn("label", F.when(named, 1.0).otherwise(0.0))
 
 
