@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: one row per piece of a document with its place in a training sequence."""
-    return pack_documents(docs)
+    return pack_documents(docs, plain_specials=False)
 
 
 STAGES = [

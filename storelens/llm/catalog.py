@@ -52,14 +52,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_best_fit_packing")
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
-    return pack_documents(read_table(spark, sf_dir, "documents"))
+    return pack_documents(read_table(spark, sf_dir, "documents"), plain_specials=False)
 
 
 @register("op6_token_ids")
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repair_tokens import read_token_ids, write_token_ids
     path = shared_path(spark, "token-ids")
-    write_token_ids(read_table(spark, sf_dir, "documents"), path)
+    write_token_ids(read_table(spark, sf_dir, "documents"), path, plain_specials=False)
     return read_token_ids(spark, path)
 
 

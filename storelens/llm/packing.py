@@ -72,11 +72,11 @@ class OpenBins:
         return bin_, self.capacity - free
 
 
-def _pieces(name: str, size: int, end_id: int, with_ids: bool):
+def _pieces(name: str, size: int, end_id: int, with_ids: bool, plain_specials: bool):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(name)
+        enc = encoder(name, plain_specials=plain_specials)
         for batch in (part for whole in batches for part in slices(whole)):
             ids = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
@@ -112,18 +112,20 @@ def _placed(size: int, open_bins: int):
 
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, sequence_tokens: int = SEQUENCE_TOKENS,
                    end_id: int = END_ID, open_bins: int = OPEN_BINS, pieces_per_task: int = PIECES_PER_TASK,
-                   with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text",
+                   plain_specials: bool = True) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     ``with_ids`` adds ``ids``, the piece's ids as little-endian unsigned 32-bit
     integers (then they move through the shuffle).  A document is the ids of its
     text and the end id; longer ones are cut so that only the first piece can be
-    shorter than a sequence.
+    shorter than a sequence.  ``plain_specials``: strings of special tokens in a text are
+    ordinary text (the tokenizer's own default is false).
     """
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     id_type = rows.schema["_id"].dataType.simpleString()
     schema = f"_id {id_type}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    pieces = rows.mapInArrow(_pieces(tokenizer, sequence_tokens, end_id, with_ids), schema)
+    pieces = rows.mapInArrow(_pieces(tokenizer, sequence_tokens, end_id, with_ids, plain_specials), schema)
     tasks = max(1, math.ceil(docs.count() / pieces_per_task))
     spread = (pieces.repartition(tasks, "_id", "piece", "ids_crc32")
               .sortWithinPartitions(F.xxhash64(F.lit(SEED), "_id", "piece", "ids_crc32"), "_id", "piece"))

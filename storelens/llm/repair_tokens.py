@@ -138,7 +138,8 @@ def decode_range(symbols: np.ndarray, first: int, left: np.ndarray, right: np.nd
     return expand(symbols[a:b], first, left, right)[skip:skip + stop - start]
 
 
-def _encode(name: str, end_id: int, shard_ids: int, rounds: int, pairs_per_round: int, min_count: int):
+def _encode(name: str, end_id: int, shard_ids: int, rounds: int, pairs_per_round: int, min_count: int,
+            plain_specials: bool):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def shard_row(part: int, shard: int, docs: list, raws: list[bytes], first: int) -> pa.RecordBatch:
@@ -156,7 +157,7 @@ def _encode(name: str, end_id: int, shard_ids: int, rounds: int, pairs_per_round
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(name, CACHE_CHUNKS)
+        enc = encoder(name, CACHE_CHUNKS, plain_specials)
         first = max(enc.whole.get_vocab_size(with_added_tokens=True), end_id + 1)
         part, shard, docs, raws, size = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in (part for whole in batches for part in slices(whole)):
@@ -174,11 +175,16 @@ def _encode(name: str, end_id: int, shard_ids: int, rounds: int, pairs_per_round
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID,
                     shard_ids: int = SHARD_IDS, rounds: int = ROUNDS, pairs_per_round: int = PAIRS_PER_ROUND,
-                    min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the ids of ``docs`` in ascending id order as Parquet files with one compressed shard per row (``FILE_SCHEMA``)."""
+                    min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text",
+                    plain_specials: bool = True) -> None:
+    """Write the ids of ``docs`` in ascending id order as Parquet files with one compressed shard per row (``FILE_SCHEMA``).
+
+    ``plain_specials``: strings of special tokens in a text are ordinary text (the tokenizer's own default is false).
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
     ordered = rows.repartitionByRange("_id").sortWithinPartitions("_id", "_text")
-    ordered.mapInArrow(_encode(tokenizer, end_id, shard_ids, rounds, pairs_per_round, min_count), FILE_SCHEMA) \
+    ordered.mapInArrow(_encode(tokenizer, end_id, shard_ids, rounds, pairs_per_round, min_count, plain_specials),
+                       FILE_SCHEMA) \
         .write.parquet(path)
 
 

@@ -47,7 +47,7 @@ def _shards(name: str, end_id: int, id_bytes: int, shard_bytes: int):
     dtype = f"<u{id_bytes}"
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(name)
+        enc = encoder(name, plain_specials=True)  # their strings too: the end id separates documents
         task, shard, size, at = TaskContext.get().partitionId(), 0, 0, 0
         for batch in (part for whole in batches for part in slices(whole)):
             rows = []

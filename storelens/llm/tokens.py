@@ -4,8 +4,11 @@ Byte-pair encoding never crosses a pre-token, and invented as well as natural
 prose repeats its words, so a text is cut into pre-tokens first and each
 distinct one goes through the tokenizer once.  The cut is done by ``re`` only on
 texts whose characters all behave alike in both regular-expression engines
-(ASCII and Latin-1 letters); any other text, and any tokenizer with another
-pre-tokenizer, is encoded whole.  The ids are the same either way.
+(ASCII and Latin-1 letters); any other text, any text that holds the string of an
+added token, and any tokenizer with another pre-tokenizer, is encoded whole.  The
+ids are the same either way: those of ``Tokenizer.from_file`` without special
+tokens added.  With ``plain_specials`` the strings of special tokens are ordinary
+text, so that no text encodes to their ids.
 """
 
 from __future__ import annotations
@@ -42,13 +45,13 @@ def tokenizer_path(name: str) -> str:
 class ChunkEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, name: str, capacity: int = CACHE_CHUNKS):
+    def __init__(self, name: str, capacity: int = CACHE_CHUNKS, plain_specials: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         path = tokenizer_path(name)
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True   # their strings in a text are ordinary text
+        self.whole.encode_special_tokens = plain_specials
         self.pattern, self.lower = None, False
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -57,6 +60,10 @@ class ChunkEncoder:
             self.pattern = _BYTE_LEVEL
         elif _WORD_SPLIT in json.dumps(pre).replace("\\\\", "\\") and '"Lowercase"' in json.dumps(norm):
             self.pattern, self.lower = _WORD_LEVEL, True
+        added = [t for t in spec.get("added_tokens") or [] if not (plain_specials and t.get("special"))]
+        self.added = [t["content"].strip() for t in added]
+        if norm and any(t.get("normalized") for t in added):
+            self.pattern = None   # they are looked for in the normalized text
         # For chunks: the same model, told where the chunks end by a character that none of them has.
         self.joined = Tokenizer.from_file(path)
         self.joined.encode_special_tokens = True
@@ -88,7 +95,7 @@ class ChunkEncoder:
         pieces, owner = [], []
         result: list[bytes | None] = [None] * len(texts)
         for i, t in enumerate(texts):
-            if _OTHER.search(t):
+            if _OTHER.search(t) or any(a in t for a in self.added):
                 result[i] = self._whole(t)
             else:
                 for p in _pieces(t):
@@ -152,10 +159,11 @@ def _pieces(text: str):
     yield text[start:]
 
 
-def encoder(name: str, capacity: int = CACHE_CHUNKS) -> ChunkEncoder:
+def encoder(name: str, capacity: int = CACHE_CHUNKS, plain_specials: bool = True) -> ChunkEncoder:
     """The worker's encoder for a vocabulary; it lives across tasks."""
     kept = worker_state().setdefault("encoders", {})
-    if name not in kept:
-        kept[name] = ChunkEncoder(name, capacity)
-    kept[name].capacity = capacity
-    return kept[name]
+    key = (name, plain_specials)
+    if key not in kept:
+        kept[key] = ChunkEncoder(name, capacity, plain_specials)
+    kept[key].capacity = capacity
+    return kept[key]

@@ -126,3 +126,32 @@ def test_token_files_are_in_id_order_and_decode(spark, frame, odd_texts, tmp_pat
     write_token_ids(frame([(None, "x", *[None] * 8), (2, "x", *[None] * 8), (2, "x", *[None] * 8)]), str(tmp_path / "nulls"))
     assert sorted((r.doc_id or -1, r.start) for r in read_token_ids(spark, str(tmp_path / "nulls")).collect()) == \
         [(-1, 0), (2, 2), (2, 4)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_tokens_as_the_tokenizer_has_them(name):
+    texts = ["a <|endoftext|> b", "<|startoftext|>a<|ENDOFTEXT|> <|endoftext", "plain words", "<|endoftext|>" * 3, "中 <|endoftext|>"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in
+            Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(texts, add_special_tokens=False)]
+    assert ChunkEncoder(name, plain_specials=False).encode(texts) == want
+    assert ChunkEncoder(name).encode(texts) != want
+
+
+def test_queries_give_the_ids_of_the_plain_tokenizer(spark, frame, tmp_path):
+    import corpus_pipeline
+    from storelens.llm.catalog import QUERIES
+    texts = ["a <|endoftext|> b", "some words", "<|startoftext|><|endoftext|>"]
+    docs = frame(rows_of(texts))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def want(name, end_id):
+        t = Tokenizer.from_file(public_tokenizers.path(name))
+        return [np.array([*t.encode(x, add_special_tokens=False).ids, end_id], "<u4") for x in texts]
+
+    packed = [(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(want("byte_bpe_50k.json", 0))]
+    for got in (QUERIES["op4_best_fit_packing"](spark, str(tmp_path)), dict(corpus_pipeline.STAGES)["packing"](spark, docs, "")):
+        assert sorted((r.doc_id, r.length, r.ids_crc32) for r in got.collect()) == packed
+    ids = want("word_bpe_49k.json", 1)
+    starts = np.cumsum([0, *map(len, ids)]).tolist()
+    got = sorted(QUERIES["op6_token_ids"](spark, str(tmp_path)).collect())
+    assert [tuple(r) for r in got] == [(i, starts[i], len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)]
