@@ -126,7 +126,9 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, sequence_tokens:
     id_type = rows.schema["_id"].dataType.simpleString()
     schema = f"_id {id_type}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     pieces = rows.mapInArrow(_pieces(tokenizer, sequence_tokens, end_id, with_ids, plain_specials), schema)
-    tasks = max(1, math.ceil(docs.count() / pieces_per_task))
+    # A token has at least one byte, so the bytes bound the pieces of a text.
+    most = rows.agg(F.sum(F.ceil((F.octet_length("_text") + 1) / sequence_tokens))).first()[0] or 0
+    tasks = max(1, math.ceil(most / pieces_per_task))
     spread = (pieces.repartition(tasks, "_id", "piece", "ids_crc32")
               .sortWithinPartitions(F.xxhash64(F.lit(SEED), "_id", "piece", "ids_crc32"), "_id", "piece"))
     return spread.mapInArrow(_placed(sequence_tokens, open_bins), schema + ", sequence_id long, offset long") \

@@ -155,3 +155,15 @@ def test_queries_give_the_ids_of_the_plain_tokenizer(spark, frame, tmp_path):
     starts = np.cumsum([0, *map(len, ids)]).tolist()
     got = sorted(QUERIES["op6_token_ids"](spark, str(tmp_path)).collect())
     assert [tuple(r) for r in got] == [(i, starts[i], len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)]
+
+
+def test_pieces_of_few_long_documents_are_spread_over_tasks(spark, frame):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(words(rng, "en", 15_000)) for _ in range(2)]
+    got = pack_documents(frame(rows_of(texts)), pieces_per_task=20).collect()
+    tasks = defaultdict(int)
+    for r in got:
+        tasks[r.sequence_id >> 40] += 1
+    assert len(tasks) > 1 and max(tasks.values()) < len(got) / 2 + 10
+    assert {d: sum(r.length for r in got if r.doc_id == d) for d in (0, 1)} == {
+        i: len(x) + 1 for i, x in enumerate(plain("byte_bpe_50k.json", texts))}
