@@ -19,7 +19,11 @@ from storelens.llm.packing import pack_documents
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a language go, and those in which none holds 0.3 of the words."""
+    """Language ID: documents without a letter go.
+
+    So do those in which no language holds 0.3 of the words; with three learned languages or fewer there are none, with
+    four only where all are nearly alike.  Texts in a language that was not learned stay.
+    """
     return keep_identified(docs)
 
 
