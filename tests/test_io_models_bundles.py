@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from storelens.operators import forecast as FC
 from storelens.operators import segments as G
 from storelens.plans import report as RP

@@ -2,8 +2,7 @@
 
 import pytest
 
-from helpers import canon
-from conftest import SF_SMALL
+from helpers import SF_SMALL, canon
 
 from storelens.plans.catalog import ORACLE, QUERIES
 

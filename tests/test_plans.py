@@ -3,7 +3,7 @@
 import contextlib
 import io
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from storelens.plans.catalog import QUERIES
 from storelens.sources.tables import prepared, read_table, sales_view
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from storelens.operators import sequence as Q
 from storelens.operators import stats as ST
 from storelens.plans.catalog import QUERIES
