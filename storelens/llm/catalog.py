@@ -218,3 +218,9 @@ FROM v JOIN sub ON sub.depth = v.depth AND sub.key = v.key LEFT JOIN v up ON up.
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conv_trie import conversation_trie
     return conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
+@register("op11_toxicity")
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

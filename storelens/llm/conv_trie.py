@@ -236,7 +236,7 @@ def _split_round(state: DataFrame, ancestors: DataFrame, limit: int) -> tuple[Da
 def subtree_totals(chains: DataFrame, ancestors: DataFrame, limit: int = COMPONENT) -> DataFrame:
     """``_m, _leaves, _saved`` summed over every chain's subtree of the forest."""
     root = chains.filter(F.col("_p").isNull()).first()  # one row, none in an empty table
-    state, added = chains.withColumn("_comp", F.lit(root["_m"] if root else 0).cast("long")), []
+    state, added = store(chains.withColumn("_comp", F.lit(root["_m"] if root else 0).cast("long")), "trie-state"), []
     while True:
         heaviest, n = state.filter(F.col("_m") == F.col("_comp")).agg(F.max("_w"), F.sum("_w")).first()
         if heaviest is None or heaviest <= limit:
