@@ -8,7 +8,7 @@ regression is fitted on them.  So a score is the logistic function of a weighted
 1. Labels meet texts in one join; from it each task returns counts per feature (summed by Spark, one row per feature and label)
    and the features of the rows that the regression is fitted on.
 2. The regression is fitted on the driver on a bounded sample: at most ``sample_rows`` distinct texts per label, those with
-   the smallest seeded hash, whole texts, without features that fewer than ``MIN_DOCS`` labelled documents have.
+   the smallest seeded hash, whole texts, without features that less than ``MIN_SHARE`` of the labelled documents have.
    Both labels weigh the same.
 3. Scoring reads whole texts, about a million characters at a time, and needs no shuffle.
 
@@ -33,9 +33,10 @@ from .common import store, text_or_empty
 from .shingles import slices
 
 ORDERS = (5, 6, 7)
-FEATURES = 1 << 20
-SAMPLE_ROWS = 2000      # texts per label in the regression's sample, at most
-MIN_DOCS = 3            # labelled documents that have a feature of the regression, at least
+BITS = 18
+FEATURES = 1 << BITS
+SAMPLE_ROWS = 1000      # texts per label in the regression's sample, at most
+MIN_SHARE = 0.001       # of the labelled documents have a feature of the regression, at least (and three documents)
 SMOOTHING = 1.0
 LENGTH = 30.0           # of a text's vector of scaled counts
 PENALTY = 0.1           # of the squared weights
@@ -55,7 +56,7 @@ def _hashes(code: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint32(15)
         if n in ORDERS:
             x = (h + np.uint32(n)) * np.uint32(0x85EBCA6B)
-            found.append((x >> np.uint32(12)).astype(np.int32))
+            found.append((x >> np.uint32(32 - BITS)).astype(np.int32))
     return np.concatenate(found)
 
 
@@ -172,11 +173,10 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.crc32(F.encode(col.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task, the documents of each label that have a feature, and the features of sampled rows."""
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task, the documents of each label that have a feature; and the sampled texts."""
     seen = np.zeros((2, FEATURES), np.int64)
-    names = ["label", "feature", "n", "text_hash", "found", "counts"]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names, types = ["label", "feature", "n", "text_hash", "text"], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
 
     def batch(*columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
@@ -184,28 +184,28 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for part in slices(whole):
             for label, text, hash_, sampled in zip(*[part.column(i).to_pylist() for i in range(4)]):
-                found, counts = features(text)
-                seen[label, found] += 1
+                seen[label, features(text)[0]] += 1
                 if sampled:
-                    yield batch([label], [None], [None], [hash_], [found.astype("<i4").tobytes()], [counts.astype("<i4").tobytes()])
+                    yield batch([label], [None], [None], [hash_], [text])
     for label in (0, 1):
         at = np.flatnonzero(seen[label])
         nothing = [None] * len(at)
-        yield batch(np.full(len(at), label, np.int32), at.astype(np.int32), seen[label, at], nothing, nothing, nothing)
+        yield batch(np.full(len(at), label, np.int32), at.astype(np.int32), seen[label, at], nothing, nothing)
 
 
-def _frequent(mask: np.ndarray):
-    """Sampled rows with the features of the mask only."""
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled_features(mask: np.ndarray):
+    """The features, with their counts, of sampled texts; only those of the mask (one bit per feature)."""
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.unpackbits(mask).astype(bool)
-        for part in batches:
-            found = [np.frombuffer(b.as_buffer(), "<i4") for b in part["found"]]
-            on = [keep[f] for f in found]
-            counts = [np.frombuffer(b.as_buffer(), "<i4")[k].tobytes() for b, k in zip(part["counts"], on)]
-            yield pa.RecordBatch.from_arrays(
-                [part["label"], part["text_hash"], pa.array([f[k].tobytes() for f, k in zip(found, on)], pa.binary()),
-                 pa.array(counts, pa.binary())], names=["label", "text_hash", "found", "counts"])
-    return frequent
+        for whole in batches:
+            for part in slices(whole):
+                lists = [features(t) for t in part["text"].to_pylist()]
+                on = [keep[f] for f, _ in lists]
+                yield pa.RecordBatch.from_arrays(
+                    [part["label"], part["text_hash"],
+                     *[pa.array([x[i][k].astype("<i4").tobytes() for x, k in zip(lists, on)], pa.binary()) for i in (0, 1)]],
+                    names=["label", "text_hash", "found", "counts"])
+    return sampled
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = SEED, id_col: str = "doc_id",
@@ -230,18 +230,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
     sampled = F.col("_hash") <= F.when(F.col("_label") == 1, F.lit(last[1])).otherwise(F.lit(last[0]))
     joined = texts.join(marks, "_id").withColumn("_hash", F.xxhash64(F.lit(seed), "_text")).select(
         "_label", "_text", "_hash", sampled.alias("_sampled"))
-    made = store(joined.mapInArrow(_features_of, "label int, feature int, n long, text_hash long, found binary, counts binary"),
-                 "toxicity-features")
+    made = store(joined.mapInArrow(_count_features, "label int, feature int, n long, text_hash long, text string"), "toxicity-counts")
     seen = np.zeros((2, FEATURES))
     summed = made.filter(F.col("feature").isNotNull()).groupBy("label", "feature").agg(F.sum("n").alias("n")).toArrow()
     seen[summed["label"].to_numpy(), summed["feature"].to_numpy()] = summed["n"].to_numpy()  # at most 2 * FEATURES rows
+    often = seen.sum(axis=0) >= max(3.0, MIN_SHARE * total)
     # Copies of one text are one row of the sample.
-    sample = made.filter(F.col("found").isNotNull()).dropDuplicates(["label", "text_hash"]) \
-        .select("label", "text_hash", "found", "counts").mapInArrow(
-            _frequent(np.packbits(seen.sum(axis=0) >= MIN_DOCS)), "label int, text_hash long, found binary, counts binary")
-    rows = sample.orderBy("label", "text_hash").toArrow()
+    rows = made.filter(F.col("text").isNotNull()).select("label", "text_hash", "text").dropDuplicates(["label", "text_hash"]) \
+        .mapInArrow(_sampled_features(np.packbits(often)), "label int, text_hash long, found binary, counts binary").toArrow() \
+        .sort_by([("label", "ascending"), ("text_hash", "ascending")])
     lists = [(np.frombuffer(f.as_buffer(), "<i4"), np.frombuffer(n.as_buffer(), "<i4")) for f, n in zip(rows["found"], rows["counts"])]
-    return fit(lists, rows["label"].to_numpy(), log_count_ratios(seen) * (seen.sum(axis=0) >= MIN_DOCS))
+    return fit(lists, rows["label"].to_numpy(), log_count_ratios(seen) * often)
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

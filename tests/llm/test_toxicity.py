@@ -19,7 +19,7 @@ def number(gram):
     for c in gram:
         h = (h ^ ord(c)) * 0x9E3779B1 & MASK
         h ^= h >> 15
-    return ((h + len(gram)) * 0x85EBCA6B & MASK) >> 12
+    return ((h + len(gram)) * 0x85EBCA6B & MASK) >> 32 - X.BITS
 
 
 def brute_features(text):
