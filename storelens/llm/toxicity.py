@@ -35,12 +35,13 @@ from .shingles import slices
 ORDERS = (5, 6, 7)
 BITS = 18
 FEATURES = 1 << BITS
-SAMPLE_ROWS = 1000      # texts per label in the regression's sample, at most
+SAMPLE_ROWS = 500       # texts per label in the regression's sample, at most
 MIN_SHARE = 0.001       # of the labelled documents have a feature of the regression, at least (and three documents)
 SMOOTHING = 1.0
 LENGTH = 30.0           # of a text's vector of scaled counts
 PENALTY = 0.1           # of the squared weights
 STEPS = 60              # of the optimiser, at most
+BLOCK_ROWS = 100        # texts of the regression taken at a time
 SEED = 20240811
 PIECE_CHARS = 1_000_000
 
@@ -117,26 +118,37 @@ def log_count_ratios(counts: np.ndarray, smoothing: float = SMOOTHING) -> np.nda
     return np.where(counts.sum(axis=0) > 0, np.log(p / p.sum()) - np.log(q / q.sum()), 0.0)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ratios: np.ndarray, penalty: float = PENALTY,
-        steps: int = STEPS) -> Model:
-    """Logistic regression on the vectors of the rows (feature numbers and counts), by limited-memory BFGS; both labels weigh the same."""
+def fit(found: np.ndarray, counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, ratios: np.ndarray,
+        penalty: float = PENALTY, steps: int = STEPS) -> Model:
+    """Logistic regression on the vectors of texts, by limited-memory BFGS; both labels weigh the same.
+
+    ``found`` and ``counts`` are the features of all texts one after another, ``sizes`` how many each has.  The loss is
+    summed over ``BLOCK_ROWS`` texts at a time, so little is held beside the vectors.
+    """
     ratios = ratios.astype(np.float32)
-    x = np.concatenate([_vector(f, n, ratios) for f, n in rows])
-    used, at = np.unique(np.concatenate([f for f, _ in rows]), return_inverse=True)
-    size = np.array([len(f) for f, _ in rows])
-    owner = np.repeat(np.arange(len(rows)), size)
+    stop = np.cumsum(sizes)
+    start = stop - sizes
+    x = np.empty(len(found), np.float32)
+    for a, b in zip(start.tolist(), stop.tolist()):
+        x[a:b] = _vector(found[a:b], counts[a:b], ratios)
     y = np.where(labels == 1, 1.0, -1.0)
-    each = np.where(labels == 1, 0.5 / max((labels == 1).sum(), 1), 0.5 / max((labels == 0).sum(), 1)) * len(rows)
+    each = np.where(labels == 1, 0.5 / max((labels == 1).sum(), 1), 0.5 / max((labels == 0).sum(), 1)) * len(labels)
 
     def value(w: np.ndarray) -> tuple[float, np.ndarray]:
-        margin = y * (np.bincount(owner, weights=w[at] * x, minlength=len(rows)) + w[-1])
-        loss = np.logaddexp(0.0, -margin)
-        pull = -each * y / (1.0 + np.exp(np.clip(margin, -500, 500)))
-        grad = np.append(np.bincount(at, weights=pull[owner] * x, minlength=len(used)), pull.sum())
-        grad[:-1] += penalty * w[:-1]
-        return float((each * loss).sum() + penalty / 2 * (w[:-1] ** 2).sum()), grad
-
-    w = np.zeros(len(used) + 1)
+        total, grad = 0.0, np.append(penalty * w[:-1], 0.0)
+        for i in range(0, len(labels), BLOCK_ROWS):
+            j = min(i + BLOCK_ROWS, len(labels))
+            part = slice(start[i], stop[j - 1])
+            owner = np.repeat(np.arange(j - i), sizes[i:j])
+            sums = np.bincount(owner, weights=w[found[part]] * x[part], minlength=j - i) + w[-1]
+            margin = y[i:j] * sums
+            total += float((each[i:j] * np.logaddexp(0.0, -margin)).sum())
+            pull = -each[i:j] * y[i:j] / (1.0 + np.exp(np.clip(margin, -500, 500)))
+            grad[:-1] += np.bincount(found[part], weights=pull[owner] * x[part], minlength=FEATURES)
+            grad[-1] += pull.sum()
+        return total + penalty / 2 * float((w[:-1] ** 2).sum()), grad
+
+    w = np.zeros(FEATURES + 1)
     loss, grad = value(w)
     past: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(steps):
@@ -162,9 +174,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ratios: n
         w, loss, grad = w + s, new, new_grad
         if done:
             break
-    weights = np.zeros(FEATURES, np.float32)
-    weights[used] = w[:-1]
-    return Model(float(w[-1]), ratios, weights)
+    return Model(float(w[-1]), ratios, w[:-1].astype(np.float32))
 
 
 def held_out(id_col: str | Column) -> Column:
@@ -239,8 +249,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
     rows = made.filter(F.col("text").isNotNull()).select("label", "text_hash", "text").dropDuplicates(["label", "text_hash"]) \
         .mapInArrow(_sampled_features(np.packbits(often)), "label int, text_hash long, found binary, counts binary").toArrow() \
         .sort_by([("label", "ascending"), ("text_hash", "ascending")])
-    lists = [(np.frombuffer(f.as_buffer(), "<i4"), np.frombuffer(n.as_buffer(), "<i4")) for f, n in zip(rows["found"], rows["counts"])]
-    return fit(lists, rows["label"].to_numpy(), log_count_ratios(seen) * often)
+    found, counts = [np.concatenate([np.frombuffer(b.as_buffer(), "<i4") for b in rows[c]]) for c in ("found", "counts")]
+    sizes_ = np.array([len(b.as_buffer()) // 4 for b in rows["found"]])
+    marked = rows["label"].to_numpy()
+    del rows
+    return fit(found, counts, sizes_, marked, log_count_ratios(seen) * often)
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

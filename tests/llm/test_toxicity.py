@@ -79,7 +79,7 @@ def test_ratios_and_optimum():
     y = np.array([int(n[1] > n[0]) for _, n in rows])
     ratios = np.zeros(X.FEATURES)
     ratios[:3] = [-1.0, 1.0, 0.3]
-    m = X.fit(rows, y, ratios, steps=200)
+    m = X.fit(np.concatenate([f for f, _ in rows]), np.concatenate([n for _, n in rows]), np.full(40, 3), y, ratios, steps=200)
 
     def loss(w, b):
         each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(rows)
