@@ -5,7 +5,7 @@ space, with their counts.  For every feature the documents of either label that
 smoothed log ratio of their shares scales the feature's count, the scaled counts of a text are brought to one length, and a logistic
 regression is fitted on them.  So a score is the logistic function of a weighted sum over the whole text's n-grams.
 
-1. Labels meet texts in one join; from it each task returns counts per feature (summed by Spark, one row per feature and label)
+1. Labels meet texts in one join; from it each task returns counts per feature (summed by Spark, one row per feature)
    and the features of the rows that the regression is fitted on.
 2. The regression is fitted on the driver on a bounded sample: at most ``sample_rows`` distinct texts per label, those with
    the smallest seeded hash, whole texts, without features that less than ``MIN_SHARE`` of the labelled documents have.
@@ -186,7 +186,8 @@ def held_out(id_col: str | Column) -> Column:
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task, the documents of each label that have a feature; and the sampled texts."""
     seen = np.zeros((2, FEATURES), np.int64)
-    names, types = ["label", "feature", "n", "text_hash", "text"], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+    names = ["feature", "n_clean", "n_toxic", "label", "text_hash", "text"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
 
     def batch(*columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
@@ -196,11 +197,10 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             for label, text, hash_, sampled in zip(*[part.column(i).to_pylist() for i in range(4)]):
                 seen[label, features(text)[0]] += 1
                 if sampled:
-                    yield batch([label], [None], [None], [hash_], [text])
-    for label in (0, 1):
-        at = np.flatnonzero(seen[label])
-        nothing = [None] * len(at)
-        yield batch(np.full(len(at), label, np.int32), at.astype(np.int32), seen[label, at], nothing, nothing)
+                    yield batch([None], [None], [None], [label], [hash_], [text])
+    at = np.flatnonzero(seen.any(axis=0))
+    nothing = [None] * len(at)
+    yield batch(at.astype(np.int32), seen[0, at], seen[1, at], nothing, nothing, nothing)
 
 
 def _sampled_features(mask: np.ndarray):
@@ -223,7 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
     """A model of the labelled documents."""
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
         F.max((F.col(label_col) == 1).cast("int")).alias("_label"))
-    marks = store(marks, "toxicity-labels")
+    # Merge joins at every size: the labels grow with the corpus, and adaptive execution can split a hot id of a stored table.
+    marks = store(marks, "toxicity-labels").hint("merge")
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     # The sample: the distinct texts of each label with the smallest hashes; the hashes are narrow rows.
     hashed = texts.select("_id", F.xxhash64(F.lit(seed), "_text").alias("_hash")).join(marks, "_id") \
@@ -240,10 +241,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
     sampled = F.col("_hash") <= F.when(F.col("_label") == 1, F.lit(last[1])).otherwise(F.lit(last[0]))
     joined = texts.join(marks, "_id").withColumn("_hash", F.xxhash64(F.lit(seed), "_text")).select(
         "_label", "_text", "_hash", sampled.alias("_sampled"))
-    made = store(joined.mapInArrow(_count_features, "label int, feature int, n long, text_hash long, text string"), "toxicity-counts")
+    made = store(joined.mapInArrow(_count_features, "feature int, n_clean long, n_toxic long, label int, text_hash long, text string"),
+                 "toxicity-counts")
     seen = np.zeros((2, FEATURES))
-    summed = made.filter(F.col("feature").isNotNull()).groupBy("label", "feature").agg(F.sum("n").alias("n")).toArrow()
-    seen[summed["label"].to_numpy(), summed["feature"].to_numpy()] = summed["n"].to_numpy()  # at most 2 * FEATURES rows
+    summed = made.filter(F.col("feature").isNotNull()).groupBy("feature").agg(F.sum("n_clean").alias("n0"), F.sum("n_toxic").alias("n1")).toArrow()
+    for label in (0, 1):  # at most FEATURES rows
+        seen[label, summed["feature"].to_numpy()] = summed[f"n{label}"].to_numpy()
     often = seen.sum(axis=0) >= max(3.0, MIN_SHARE * total)
     # Copies of one text are one row of the sample.
     rows = made.filter(F.col("text").isNotNull()).select("label", "text_hash", "text").dropDuplicates(["label", "text_hash"]) \
