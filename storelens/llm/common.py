@@ -51,6 +51,12 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(renamed, cond, how).drop(*[f"_right{k}" for k in keys])
 
 
-def worker_state() -> dict:
-    """A dictionary that a Python worker process keeps across its tasks (for bounded caches)."""
-    return sys.modules.setdefault("_storelens_worker", types.ModuleType("_storelens_worker")).__dict__
+def worker_state(owner: str) -> dict:
+    """A dictionary that a Python worker process keeps across its tasks, for bounded caches.
+
+    A worker serves one stage after another: what other owners kept is dropped.
+    """
+    kept = sys.modules.setdefault("_storelens_worker", types.ModuleType("_storelens_worker")).__dict__.setdefault("caches", {})
+    for other in [k for k in kept if k != owner]:
+        del kept[other]
+    return kept.setdefault(owner, {})

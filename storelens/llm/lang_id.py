@@ -6,7 +6,7 @@ learned transition weights tie neighbouring words.  Forward-backward gives each
 word's posterior, and a document's language is the one with the highest mean
 posterior over its words, so code-switched text is labelled word by word.
 
-The model is fitted on a bounded sample of labelled rows (``sample_rows`` per
+The model is fitted on a bounded sample of labelled rows (about ``sample_rows`` distinct texts per
 language, a seeded window of at most ``sample_chars`` of each): short runs of
 words of different documents are strung together, so that transitions between
 languages are seen, and the conditional likelihood is raised by gradient steps.
@@ -28,10 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import worker_state
 from .shingles import slices
 
 UNKNOWN = "und"
@@ -42,6 +43,7 @@ EPOCHS = 4
 RATE = 0.3
 SEED = 20240607
 PIECE_CHARS = 1_000_000
+SLICE_BYTES = 1 << 18   # text labelled at a time
 BLOCK = 64              # words of one block of the forward-backward pass
 MIN_SHARE = 0.3         # of the words' posterior, for a document to be kept by ``keep_identified``
 
@@ -107,6 +109,23 @@ class Crf:
 
     def posteriors(self, emission: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Posterior of every label at every word; ``lengths`` are the words of each sequence, one after another."""
+        g = np.multiply(*self._passes(emission, lengths)[:2])
+        return g / g.sum(axis=1, keepdims=True)
+
+    def expected(self, emission: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Posteriors, and the expected number of each transition between neighbouring words.
+
+        A sequence follows a word that is not seen, whose label is any.
+        """
+        alpha, beta, score = self._passes(emission, lengths)
+        before = np.vstack((np.ones((1, alpha.shape[1])), alpha[:-1]))
+        before[np.cumsum(lengths) - lengths] = 1.0
+        pair = before[:, :, None] * np.exp(self.transitions) * (score * beta)[:, None, :]
+        g = alpha * beta
+        return g / g.sum(axis=1, keepdims=True), (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+
+    def _passes(self, emission: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward messages and emission factors of every word, each up to a factor per word."""
         n, k = emission.shape
         a = np.exp(self.transitions)
         blocks = -(-lengths // BLOCK)
@@ -146,8 +165,21 @@ class Crf:
             on = here[:, t]
             w = (e[on, t] * v[on]) @ a.T
             v[on] = w / w.sum(axis=1, keepdims=True)
-        g = (alpha * beta)[here]
-        return g / g.sum(axis=1, keepdims=True)
+        return alpha[here], beta[here], score
+
+
+def gradient(model: Crf, emission: np.ndarray, lengths: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the conditional log-likelihood of the labels ``gold``: by the emissions, and by the transition weights."""
+    k = emission.shape[1]
+    post, pair = model.expected(emission, lengths)
+    delta = -post
+    delta[np.arange(len(gold)), gold] += 1
+    first = np.cumsum(lengths) - lengths
+    right = np.delete(np.arange(len(gold)), first)
+    seen = np.bincount(gold[right - 1] * k + gold[right], minlength=k * k).reshape(k, k).astype(float)
+    a = np.exp(model.transitions)
+    np.add.at(seen.T, gold[first], (a / a.sum(axis=0)).T[gold[first]])  # of the unseen word before
+    return delta, seen - pair
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Crf:
@@ -179,22 +211,13 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float =
             at = np.array([distinct.setdefault(w, len(distinct)) for w in words])
             f, who = features(list(distinct))
             em = np.stack([np.bincount(who, weights=model.weights[f, c], minlength=len(distinct)) for c in range(k)], axis=1)
-            post = model.posteriors(em[at], lengths)
-            delta = -post
-            delta[np.arange(len(gold)), gold] += 1
+            delta, by_transition = gradient(model, em[at], lengths, gold)
             per_word = np.stack([np.bincount(at, weights=delta[:, c], minlength=len(distinct)) for c in range(k)], axis=1)
             grad = np.stack([np.bincount(f, weights=per_word[who, c], minlength=FEATURES) for c in range(k)], axis=1)
             grad = grad / len(words) * 100 - 1e-4 * model.weights
             gw += grad ** 2
             model.weights += rate * grad / np.sqrt(gw)
-            # Expected transitions from the product of neighbouring posteriors under the current transition weights.
-            inner = np.ones(len(words), bool)
-            inner[np.cumsum(lengths) - 1] = False
-            left = np.flatnonzero(inner)
-            pair = post[left][:, :, None] * post[left + 1][:, None, :] * np.exp(model.transitions)
-            pair = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            seen = np.bincount(gold[left] * k + gold[left + 1], minlength=k * k).reshape(k, k)
-            tgrad = (seen - pair) / max(len(left), 1)
+            tgrad = by_transition / len(words)
             gt += tgrad ** 2
             model.transitions += 0.1 * tgrad / np.sqrt(gt)
     model.weights = model.weights.astype(np.float32)
@@ -209,20 +232,27 @@ def held_out(id_col: str | Column) -> Column:
 
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, seed: int = SEED,
           text_col: str = "text", lang_col: str = "lang") -> Crf:
-    """Fit on a seeded sample of about ``sample_rows`` rows per language, at most twice as many."""
+    """Fit on a seeded sample of about ``sample_rows`` distinct texts per language, at most twice as many.
+
+    The draw is by the text's hash and copies count once, so a repeated text takes no other's place and every
+    language has its own share.
+    """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").count().collect()  # one row per language
+    hashed = rows.withColumn("draw", F.xxhash64(F.lit(seed), "text"))
+    counts = hashed.groupBy("lang", "draw").agg(F.count(F.lit(1)).alias("copies")).groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n")).collect()  # one row per language
     if not counts:
         return Crf([], np.zeros((FEATURES, 0)), np.zeros((0, 0)))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30))
+    part = F.pmod("draw", F.lit(1 << 30))
     wanted = F.lit(False)
     for r in counts:
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (F.col("draw") < int(min(1.0, sample_rows / r["count"]) * (1 << 30))))
+        wanted = wanted | ((F.col("lang") == r["lang"]) & (part < int(min(1.0, sample_rows / r["n"]) * (1 << 30))))
     room = F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1
     window = F.substring("text", F.lit(1) + F.pmod(F.xxhash64(F.lit(seed + 1), "text"), room).cast("int"), F.lit(sample_chars))
-    sample = rows.withColumn("draw", draw).filter(wanted).select("lang", window.alias("text")) \
-        .limit(2 * sample_rows * len(counts)).collect()
+    drawn = hashed.filter(wanted).select("lang", "draw", window.alias("text")).groupBy("lang", "draw").agg(F.first("text").alias("text"))
+    least = Window.partitionBy("lang").orderBy("draw")  # over the drawn rows only
+    sample = drawn.withColumn("at", F.row_number().over(least)).filter(F.col("at") <= 2 * sample_rows).select("lang", "text").collect()
     sample.sort(key=lambda r: (r["lang"], r["text"]))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample], seed=seed)
 
@@ -272,9 +302,10 @@ def predict(docs: DataFrame, model: Crf, text_col: str = "text", lang_as: str =
     place = keep.index(text_col)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("languages")  # drops what earlier stages kept
         crf = Crf(*shared.value)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 langs, scores = label_texts(crf, part.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                                  names=[*part.schema.names, lang_as, score_as])

@@ -158,7 +158,7 @@ def _encode(name: str, end_id: int, shard_ids: int, rounds: int, pairs_per_round
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name, CACHE_CHUNKS, plain_specials)
-        first = max(enc.whole.get_vocab_size(with_added_tokens=True), end_id + 1)
+        first = max(enc.vocab_size, end_id + 1)
         part, shard, docs, raws, size = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in (part for whole in batches for part in slices(whole)):
             for doc, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
@@ -182,7 +182,10 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_
     ``plain_specials``: strings of special tokens in a text are ordinary text (the tokenizer's own default is false).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
-    ordered = rows.repartitionByRange("_id").sortWithinPartitions("_id", "_text")
+    # Rows of one id are split too: by their text's hash, and copies by their place.
+    keys = ["_id", "_hash", "_row"]
+    rows = rows.withColumns({"_hash": F.xxhash64("_text"), "_row": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("_id", "_text")
     ordered.mapInArrow(_encode(tokenizer, end_id, shard_ids, rounds, pairs_per_round, min_count, plain_specials),
                        FILE_SCHEMA) \
         .write.parquet(path)

@@ -27,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each (kept by the worker)."""
-    kept = worker_state().setdefault("powers", {})
+    kept = worker_state("shingles")
     if len(kept.get("p", ())) < n:
         for key, base in (("p", _BASE), ("q", pow(_BASE, -1, 1 << 64))):
             steps = np.full(max(n, 1 << 18), base, np.uint64)

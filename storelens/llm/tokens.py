@@ -49,23 +49,21 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        path = tokenizer_path(name)
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = plain_specials
+        self.path, self.plain_specials, self.whole = tokenizer_path(name), plain_specials, None
         self.pattern, self.lower = None, False
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+        # For chunks: the same model, told where the chunks end by a character that none of them has.
+        self.joined = Tokenizer.from_file(self.path)
+        self.vocab_size = self.joined.get_vocab_size(with_added_tokens=True)
+        state = lambda part: json.loads(part.__getstate__()) if part is not None else None
+        pre, norm = state(self.joined.pre_tokenizer) or {}, state(self.joined.normalizer)
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
             self.pattern = _BYTE_LEVEL
         elif _WORD_SPLIT in json.dumps(pre).replace("\\\\", "\\") and '"Lowercase"' in json.dumps(norm):
             self.pattern, self.lower = _WORD_LEVEL, True
-        added = [t for t in spec.get("added_tokens") or [] if not (plain_specials and t.get("special"))]
-        self.added = [t["content"].strip() for t in added]
-        if norm and any(t.get("normalized") for t in added):
+        added = [t for t in self.joined.get_added_tokens_decoder().values() if not (plain_specials and t.special)]
+        self.added = [t.content.strip() for t in added]
+        if norm and any(t.normalized for t in added):
             self.pattern = None   # they are looked for in the normalized text
-        # For chunks: the same model, told where the chunks end by a character that none of them has.
-        self.joined = Tokenizer.from_file(path)
         self.joined.encode_special_tokens = True
         self.joined.normalizer = normalizers.Sequence([])
         self.joined.pre_tokenizer = pre_tokenizers.Sequence([
@@ -119,6 +117,10 @@ class ChunkEncoder:
         return result
 
     def _whole(self, text: str) -> bytes:
+        if self.whole is None:  # few workers meet a text that needs it
+            from tokenizers import Tokenizer
+            self.whole = Tokenizer.from_file(self.path)
+            self.whole.encode_special_tokens = self.plain_specials
         ids = self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids, dtype="<u4").tobytes()
 
@@ -161,7 +163,7 @@ def _pieces(text: str):
 
 def encoder(name: str, capacity: int = CACHE_CHUNKS, plain_specials: bool = True) -> ChunkEncoder:
     """The worker's encoder for a vocabulary; it lives across tasks."""
-    kept = worker_state().setdefault("encoders", {})
+    kept = worker_state("encoders")
     key = (name, plain_specials)
     if key not in kept:
         kept[key] = ChunkEncoder(name, capacity, plain_specials)

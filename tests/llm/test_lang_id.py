@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
+from storelens.llm import lang_id as L
 from storelens.llm.lang_id import Crf, fit, identify, keep_identified, label_texts
 from tests.llm.conftest import rows_of, words
 
@@ -98,3 +99,44 @@ def test_filter_keeps_clean_documents_and_columns(frame, labelled):
     kept = keep_identified(frame(rows))
     assert kept.columns == frame(rows).columns
     assert sorted(r.doc_id for r in kept.collect()) == list(range(len(texts)))
+
+
+def test_gradient_equals_differences_of_the_log_likelihood():
+    rng = np.random.default_rng(4)
+    k, lengths = 3, np.array([5, 1, 70, 4])
+    gold = rng.integers(0, k, lengths.sum())
+    em = rng.normal(0, 1, (lengths.sum(), k))
+    trans = rng.normal(0, 1, (k, k))
+
+    def likelihood(em, trans):
+        total, at = 0.0, 0
+        for n in lengths:
+            e, y = em[at:at + n], gold[at:at + n]
+            start = np.logaddexp.reduce(trans, axis=0)  # after an unseen word
+            score = start[y[0]] + e[np.arange(n), y].sum() + trans[y[:-1], y[1:]].sum()
+            a = start + e[0]
+            for t in range(1, n):
+                a = np.logaddexp.reduce(a[:, None] + trans, axis=0) + e[t]
+            total, at = total + score - np.logaddexp.reduce(a), at + n
+        return total
+
+    by_word, by_transition = L.gradient(L.Crf(list("abc"), np.zeros((L.FEATURES, k)), trans), em, lengths, gold)
+    for i in range(k):
+        for j in range(k):
+            step = np.zeros((k, k))
+            step[i, j] = 1e-5
+            slope = (likelihood(em, trans + step) - likelihood(em, trans - step)) / 2e-5
+            assert abs(slope - by_transition[i, j]) < 1e-5
+    for t, c in ((0, 0), (4, 1), (5, 2), (40, 0), (79, 2)):
+        step = np.zeros_like(em)
+        step[t, c] = 1e-5
+        assert abs((likelihood(em + step, trans) - likelihood(em - step, trans)) / 2e-5 - by_word[t, c]) < 1e-5
+
+
+def test_a_repeated_text_takes_no_other_languages_place(frame):
+    rng = np.random.default_rng(8)
+    hot = " ".join(words(rng, "en", 40))
+    rows = [(i, hot, "en", "s", 5, "x", "y", "z", 7, "s") for i in range(2000)]
+    rows += [(5000 + i, " ".join(words(rng, "fr", 30)), "fr", "s", 5, "x", "y", "z", 7, "s") for i in range(60)]
+    model = L.train(frame(rows), sample_rows=10)
+    assert model.labels == ["en", "fr"]

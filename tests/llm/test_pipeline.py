@@ -48,7 +48,7 @@ def test_every_query_is_registered():
     import __spark_entry__ as entry
     names = list(entry.queries())
     assert [n for n in QUERIES if n not in names] == []
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
 
 
@@ -58,7 +58,7 @@ def test_oracle_sql_matches(spark):
     from storelens.llm.catalog import ORACLE
     from tests.helpers import canon
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in ORACLE.items():
         assert canon(QUERIES[name](spark, SF).toPandas()) == canon(con.execute(sql).df()), name
