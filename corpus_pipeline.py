@@ -17,6 +17,14 @@ from storelens.llm.mixing import mixed_documents
 from storelens.llm.near_dedup import drop_near_copies
 from storelens.llm.packing import pack_documents
 
+ARROW_ROWS = 1000  # documents that go to a Python worker at a time, at most: a batch of them is held several times over
+
+
+def _short_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a letter go.
@@ -24,6 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     So do those in which no language holds 0.3 of the words; with three learned languages or fewer there are none, with
     four only where all are nearly alike.  Texts in a language that was not learned stay.
     """
+    _short_batches(spark)
     return keep_identified(docs)
 
 
@@ -35,6 +44,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: one document of each class stays."""
+    _short_batches(spark)
     return drop_near_copies(docs)
 
 
@@ -45,6 +55,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: one row per piece of a document with its place in a training sequence."""
+    _short_batches(spark)
     return pack_documents(docs, plain_specials=False)
 
 
