@@ -8,17 +8,17 @@ week cross join is ever formed.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import money_sum
 from ..session import attach, materialize
 
-PRODUCTS_PER_TASK = 10_000
+MICRO = 1_000_000   # vectors are compared in millionths
+MAX_ITER = 30       # steps of k-means
 
 # Cluster id -> descriptive name.
 CLUSTER_NAMES = {0: "High Demand Products", 1: "Seasonal Products", 2: "Low Demand Products"}
@@ -64,32 +64,87 @@ def standardised_long(scaled: DataFrame, weeks: Sequence[int], key: str = "produ
         key, F.element_at(F.array(*[F.lit(w) for w in weeks]), F.col("_i") + 1).alias("iso_week"), "z")
 
 
+def _whole_numbers(scaled: DataFrame, key: str) -> DataFrame:
+    """``_key, _z``: the vectors in millionths, as whole numbers, so that sums and distances are exact in any order."""
+    return scaled.select(F.col(key).alias("_key"), F.transform("scaled", lambda x: F.rint(x * MICRO).cast("long")).alias("_z"))
+
+
+def _distance(z: Column, centre: Column) -> Column:
+    return F.aggregate(F.zip_with(z, centre, lambda a, b: (a - b) * (a - b)), F.lit(0).cast("long"), lambda x, y: x + y)
+
+
+def _literal(centres: list[list[list[int]]]) -> Column:
+    """Restarts x clusters x weeks numbers as one constant."""
+    return F.from_json(F.lit(json.dumps(centres)), "array<array<array<bigint>>>")
+
+
+def _distances(centres: list[list[list[int]]]) -> Column:
+    """Per restart, the squared distances of ``_z`` to the centres."""
+    return F.transform(_literal(centres), lambda cs: F.transform(cs, lambda c: _distance(F.col("_z"), c)))
+
+
+def _draw(seed: int, restart: Column, step: int) -> Column:
+    """The exponential of a number between 0 and 1 drawn from md5 for each (seed, restart, step, product).
+
+    The product with the least of these divided by a weight is a draw in proportion to the weights.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), restart.cast("string"), F.lit(str(step)), F.col("_key").cast("string"))
+    u = (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    return -F.log(u)
+
+
+def first_centres(data: DataFrame, k: int, restarts: int, seed: int) -> list[list[list[int]]]:
+    """Of every restart, ``k`` products drawn with weights: the first evenly, each next by the squared distance to
+    the nearest before it.  One aggregate per step for all restarts; the driver sees one product per restart."""
+    centres: list[list[list[int]]] = [[] for _ in range(restarts)]
+    for step in range(k):
+        weights = F.transform(_distances(centres), lambda d: F.array_min(d)) if step else \
+            F.array(*[F.lit(1).cast("long")] * restarts)
+        rows = data.select("_key", "_z", F.posexplode(weights).alias("_r", "_w")).filter(F.col("_w") > 0)
+        race = F.struct((_draw(seed, F.col("_r"), step) / F.col("_w")).alias("race"), F.col("_key"))
+        for r in rows.groupBy("_r").agg(F.min_by("_z", race).alias("z")).collect():
+            centres[r["_r"]].append(list(r["z"]))
+    return centres
+
+
+def lloyd_step(data: DataFrame, centres: list[list[list[int]]]) -> list[list[list[int]]]:
+    """The rounded means of the products that are nearest to each centre (the lower number wins ties); a centre without any stays.
+
+    One aggregate for all restarts: restarts x clusters x weeks sums reach the driver.
+    """
+    nearest = F.transform(_distances(centres), lambda d: F.array_position(d, F.array_min(d)).cast("int") - 1)
+    rows = data.select("_z", F.posexplode(nearest).alias("_r", "_c")).select("_r", "_c", F.posexplode("_z").alias("_i", "_v"))
+    out = [[list(c) for c in cs] for cs in centres]
+    for r in rows.groupBy("_r", "_c", "_i").agg(F.sum(F.col("_v").cast("decimal(19,0)")).alias("s"), F.count(F.lit(1)).alias("n")).collect():
+        out[r["_r"]][r["_c"]][r["_i"]] = (2 * int(r["s"]) + r["n"]) // (2 * r["n"])
+    return out
+
+
 def segment_products(scaled: DataFrame, k: int = 3, restarts: int = 10, seed: int = 0,
-                     key: str = "product_name", max_iter: int = 300) -> tuple[DataFrame, float]:
-    """K-means with ``restarts`` seeds; the fit with the lowest within-cluster cost wins.
-
-    Returns (product, cluster) and the winning cost.  The frame has one row per
-    product, so each fit is cheap; Spark ML distributes it all the same.  Seeds and
-    sums follow the partitions, so products are dealt out by key into a number of
-    partitions that only their count decides, and sorted: the session's partition
-    settings do not change the answer.
+                     key: str = "product_name", max_iter: int = MAX_ITER) -> tuple[DataFrame, float]:
+    """K-means with ``restarts`` seeded starts; the one with the lowest within-cluster cost wins.
+
+    Returns (product, cluster) and the winning cost.  The starts are drawn by squared distance from hashes of the
+    product names, and vectors, means and distances are whole numbers (millionths), so neither the order of rows nor
+    partitions nor the engine change the answer: SQL gives the same clusters.  All restarts take a step in one aggregate over the products;
+    steps end when no centre moves, or after ``max_iter``.  Products without a name take no part; with fewer than ``k``
+    different products there are fewer clusters.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
-    held = materialize(scaled.select(key, array_to_vector("scaled").alias("features")))
-    data = materialize(held.repartition(1 + held.count() // PRODUCTS_PER_TASK, key).sortWithinPartitions(key))
-
-    def fit(r: int):
-        model = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features",
-                       predictionCol="cluster").fit(data)
-        return model.summary.trainingCost, r, model
-
-    # Restarts are independent jobs; submit them together (first seed wins ties).
-    with ThreadPoolExecutor(max_workers=max(1, restarts)) as pool:
-        fits = list(pool.map(fit, range(restarts)))
-    best_cost, _, best = min(fits, key=lambda f: (f[0], f[1]))
-    out = best.transform(data).select(key, F.col("cluster").cast("int").alias("cluster"))
-    return out, float(best_cost)
+    data = materialize(_whole_numbers(scaled.filter(F.col(key).isNotNull()), key))
+    centres = first_centres(data, k, restarts, seed)
+    if not any(centres):
+        return data.select(F.col("_key").alias(key), F.lit(None).cast("int").alias("cluster")), 0.0
+    for _ in range(max_iter):
+        moved = lloyd_step(data, centres)
+        if moved == centres:
+            break
+        centres = moved
+    costs = data.select(F.posexplode(F.transform(_distances(centres), lambda d: F.array_min(d))).alias("_r", "_d")) \
+        .groupBy("_r").agg(F.sum(F.col("_d").cast("decimal(19,0)")).alias("cost")).collect()  # one row per restart
+    cost, best = min((int(r["cost"]), r["_r"]) for r in costs)
+    d = F.element_at(_distances([centres[best]]), 1)
+    out = data.select(F.col("_key").alias(key), (F.array_position(d, F.array_min(d)) - 1).cast("int").alias("cluster"))
+    return materialize(out), cost / MICRO ** 2
 
 
 def nearest_is_own(scaled: DataFrame, clusters: DataFrame, key: str = "product_name") -> DataFrame:

@@ -564,12 +564,62 @@ def _segments(spark, sf):
     return vec, scaled, clusters
 
 
-@register("product_segments")
+# The same draws and steps as ``segment_products``: exponentials from md5, whole numbers, rounded means.
+def _kmeans_sql(k: int = 3, restarts: int = 10, seed: int = 0, steps: int = G.MAX_ITER) -> str:
+    race = lambda step, weight: (
+        f"(-ln((CAST('0x' || substr(md5('{seed}|' || r.r || '|{step}|' || p.product_name), 1, 8) AS BIGINT) + 0.5) / 4294967296.0)"
+        f" / {weight}, p.product_name)")
+    far = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+    starts, before = "", []
+    for step in range(k):
+        weight = f"least({', '.join(far('p.z', f'c{i}.z') for i in before)})" if before else "1"
+        joins = " ".join(f"JOIN c{i} ON c{i}.r = r.r" for i in before)
+        starts += (f", c{step} AS (SELECT r, first(z ORDER BY race) AS z FROM (SELECT r.r, p.z, {weight} AS w, "
+                   f"{race(step, 'nullif(' + weight + ', 0)')} AS race FROM rs r CROSS JOIN pt p {joins}) WHERE w > 0 GROUP BY r)")
+        before.append(step)
+    return _WEEKS_SQL + f"""
+, st AS (SELECT product_name, AVG(total_sales) AS m, STDDEV_POP(total_sales) AS sd FROM filled GROUP BY 1),
+pt AS (SELECT f.product_name, list(CAST(round_even((f.total_sales - st.m) / CASE WHEN st.sd = 0 THEN 1.0 ELSE st.sd END
+                                                   * {G.MICRO}.0, 0) AS BIGINT) ORDER BY f.iso_week) AS z
+       FROM filled f JOIN st ON f.product_name = st.product_name GROUP BY f.product_name),
+rs AS (SELECT unnest(range({restarts})) AS r)
+{starts}
+, lloyd(step, r, c, centre) AS (
+  {' UNION ALL '.join(f'SELECT 0, r, {i}, z FROM c{i}' for i in range(k))}
+  UNION ALL
+  SELECT step + 1, r, c, list(v ORDER BY i) FROM (
+    SELECT step, r, c, i, CASE WHEN count(*) FILTER (near) = 0 THEN any_value(old)
+        ELSE (2 * (sum(z) FILTER (near) + 100000000 * count(*) FILTER (near)) + count(*) FILTER (near))
+             // (2 * count(*) FILTER (near)) - 100000000 END AS v
+    FROM (
+      SELECT step, r, c, near, unnest(centre) AS old, unnest(z) AS z, unnest(range(len(z))) AS i
+      FROM (
+        SELECT l.step, l.r, l.c, l.centre, p.z,
+               row_number() OVER (PARTITION BY l.r, p.product_name ORDER BY {far('p.z', 'l.centre')}, l.c) = 1 AS near
+        FROM lloyd l CROSS JOIN pt p WHERE l.step < {steps}))
+    GROUP BY step, r, c, i)
+  GROUP BY step, r, c),
+dist AS (
+  SELECT l.r, l.c, p.product_name, {far('p.z', 'l.centre')} AS d FROM lloyd l CROSS JOIN pt p WHERE l.step = {steps}),
+own AS (SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY r, product_name ORDER BY d, c) = 1),
+best AS (SELECT r FROM own GROUP BY r ORDER BY sum(d), r LIMIT 1),
+seg AS (SELECT product_name, CAST(c AS INTEGER) AS cluster, CASE c WHEN 0 THEN '{G.CLUSTER_NAMES[0]}'
+          WHEN 1 THEN '{G.CLUSTER_NAMES[1]}' ELSE '{G.CLUSTER_NAMES[2]}' END AS cluster_name
+        FROM own WHERE r = (SELECT r FROM best))
+"""
+
+
+@register("product_segments", _kmeans_sql() + "SELECT * FROM seg")
 def q_product_segments(spark, sf):
+    """The cluster of every product."""
     return G.label_clusters(_segments(spark, sf)[2])
 
 
-@register("clustered_products")
+@register("clustered_products", _kmeans_sql() + """
+, at AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY product_name) AS row FROM seg)
+SELECT row, """.replace(" at AS", " placed AS") + ", ".join(
+    f"max(product_name) FILTER (cluster = {i}) AS \"{n}\"" for i, n in G.CLUSTER_NAMES.items()) + """
+FROM placed GROUP BY row""")
 def q_clustered_products(spark, sf):
     return G.clustered_products(G.label_clusters(_segments(spark, sf)[2]))
 
@@ -594,15 +644,15 @@ def q_clustered_products_listing(spark, sf):
     return long.filter("product_name IS NOT NULL").groupBy("product_name").agg(F.count(F.lit(1)).alias("listed"))
 
 
-@register("sales_by_cluster_products", f"""
-SELECT product_name, CAST(COUNT(*) AS BIGINT) AS rows, TRUE AS has_cluster FROM prepared
-WHERE product_name IS NOT NULL GROUP BY 1""")
+@register("sales_by_cluster_products", _kmeans_sql() + """
+SELECT p.product_name, s.cluster, CAST(COUNT(*) AS BIGINT) AS rows, TRUE AS has_cluster FROM prepared p
+JOIN seg s ON s.product_name = p.product_name GROUP BY 1, 2""")
 def q_sales_by_cluster_products(spark, sf):
     """Every sale carries its product's cluster."""
     clusters = _segments(spark, sf)[2]
     rows = G.with_clusters(prep(spark, sf, "product_name"), clusters).filter("product_name IS NOT NULL")
-    return rows.groupBy("product_name").agg(F.count(F.lit(1)).alias("rows"),
-                                            F.bool_and(F.col("cluster").isNotNull()).alias("has_cluster"))
+    return rows.groupBy("product_name", "cluster").agg(F.count(F.lit(1)).alias("rows"),
+                                                       F.bool_and(F.col("cluster").isNotNull()).alias("has_cluster"))
 
 
 # ---------------------------------------------------------------- features and models
@@ -1056,17 +1106,23 @@ def q_service_analysis(spark, sf):
     return res
 
 
-@register("report_predictions", _SCORED_SQL + "\n".join(
+_PREDICTION_FACTS_SQL = _SCORED_SQL + "\n".join(
     f"{'UNION ALL' if i else ''} SELECT 'predicted_data' AS section, product_name AS item, '{c}' AS metric, "
-    f"round_even(AVG({c}), 0) AS value FROM scored GROUP BY product_name" for i, c in enumerate(FC.PREDICTIONS)))
+    f"round_even(AVG({c}), 0) AS value FROM scored GROUP BY product_name" for i, c in enumerate(FC.PREDICTIONS))
+
+
+@register("report_predictions", _PREDICTION_FACTS_SQL)
 def q_report_predictions(spark, sf):
     """The prediction table of the bundle as facts."""
     return RP.facts(FC.predictions_by_product(_scored(spark, sf)), "predicted_data", ["product_name"], FC.PREDICTIONS)
 
 
-@register("report_facts_full")
+@register("report_facts_full", "\nUNION ALL\n".join(f"SELECT * FROM ({with_sql(part)})" for part in (
+    _facts_sql(), _PREDICTION_FACTS_SQL,
+    _kmeans_sql() + "SELECT 'clustered_data' AS section, product_name AS item, 'cluster' AS metric, "
+                    "CAST(cluster AS DOUBLE) AS value FROM seg")))
 def q_report_facts_full(spark, sf):
-    """All ten tables of the bundle; the cluster numbers are arbitrary, so there is no SQL for them."""
+    """All ten tables of the bundle."""
     return RP.report_facts(base(spark, sf), ORDER_COLS, FC.predictions_by_product(_scored(spark, sf)),
                            _segments(spark, sf)[2], digits=6)
 

@@ -184,4 +184,4 @@ prepared AS (
 
 def with_sql(body: str) -> str:
     """Prefix a DuckDB query with the sales/enriched/prepared CTEs."""
-    return "WITH " + SALES_VIEW_SQL.strip() + "\n" + body
+    return "WITH RECURSIVE " + SALES_VIEW_SQL.strip() + "\n" + body
