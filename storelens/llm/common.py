@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,10 @@ def worker_state(owner: str) -> dict:
     A worker serves one stage after another: what other owners kept is dropped.
     """
     kept = sys.modules.setdefault("_storelens_worker", types.ModuleType("_storelens_worker")).__dict__.setdefault("caches", {})
-    for other in [k for k in kept if k != owner]:
+    others = [k for k in kept if k != owner]
+    for other in others:
         del kept[other]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     return kept.setdefault(owner, {})

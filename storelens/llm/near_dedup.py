@@ -41,6 +41,7 @@ from .shingles import WORDS, counted, mix, shingle_hashes, slices
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4              # registers of a band: 0.8 ** 4, 32 times: a pair at 0.8 is missed once in 20 million
+SLICE_BYTES = 1 << 18  # text that a worker takes at a time
 BLOCK_CHARS = 1 << 20  # text of one block of the straggler search
 
 
@@ -82,7 +83,7 @@ def _bands(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _sign(words: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 texts = [t.encode() for t in part.column(2).to_pylist()]
                 shingles, owner, n, whole = shingle_hashes(texts, words)
                 keys = _bands(signatures(shingles, owner, len(texts), bands * rows), bands, rows)
@@ -127,7 +128,7 @@ class _Overlap:
 def _verify(words: int, similarity: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 u, v = part.column(0).to_pylist(), part.column(1).to_pylist()
                 texts: dict[int, str] = {}
                 for rows, col in ((u, 2), (v, 3)):
