@@ -398,6 +398,57 @@ def q_describe_numeric(spark, sf):
     return res.select("stat", *[r6(c).alias(c) for c in MEASURES])
 
 
+from ..operators import sketches as SK  # noqa: E402
+
+
+@register("describe_approx", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", CAST({p} AS DOUBLE) AS prob, CAST(COUNT({c}) AS BIGINT) AS rows, TRUE AS within FROM sales"
+    for c in MEASURES for p in ST.PROBS))
+def q_describe_approx(spark, sf):
+    """D14 with ``approx``: the sketched quartiles of every measure have true ranks within the stated error."""
+    rows = materialize(base(spark, sf, "date", *MEASURES).select(*MEASURES))
+    wide = ST.describe_numeric(rows, MEASURES, approx=True).filter(F.col("stat").endswith("%"))
+    long = wide.unpivot(["stat"], MEASURES, "column", "estimate").select(
+        "column", (F.regexp_replace("stat", "%", "").cast("double") / 100).alias("prob"), "estimate")
+    return SK.rank_check(rows, long)
+
+
+@register("sketched_quantiles_by_month", "\nUNION ALL\n".join(
+    f"SELECT CAST(month(date) AS INTEGER) AS month_no, '{c}' AS \"column\", CAST(COUNT({c}) AS BIGINT) AS rows, "
+    f"{r6sql(f'AVG(CAST({c} AS DOUBLE))')} AS mean, CAST(MIN({c}) AS DOUBLE) AS lo, CAST(MAX({c}) AS DOUBLE) AS hi, TRUE AS ordered "
+    "FROM sales GROUP BY 1" for c in MEASURES))
+def q_sketched_quantiles_by_month(spark, sf):
+    """D14, mergeable: sketches stored per day, merged per month."""
+    rows = base(spark, sf, "date", *MEASURES)
+    daily = materialize(SK.column_sketches(rows, MEASURES, ["date"]))
+    monthly = SK.merge_sketches(daily.withColumn("month_no", F.month("date").cast("int")), ["month_no"])
+    q = [SK.sketch_quantile(p) for p in ST.PROBS]
+    return monthly.select("month_no", "column", F.col("n").alias("rows"), r6(F.col("sum") / F.col("n")).alias("mean"), "lo", "hi",
+                          ((F.col("lo") <= q[0]) & (q[0] <= q[1]) & (q[1] <= q[2]) & (q[2] <= F.col("hi"))).alias("ordered"))
+
+
+@register("transaction_count_approx", """
+SELECT 'all' AS slice, 'all' AS item, CAST(COUNT(DISTINCT transaction_id) AS BIGINT) AS transactions, TRUE AS within FROM prepared
+UNION ALL SELECT 'product', product_name, CAST(COUNT(DISTINCT transaction_id) AS BIGINT), TRUE FROM prepared
+WHERE product_name IS NOT NULL GROUP BY product_name
+UNION ALL SELECT 'month', strftime(date, '%Y-%m'), CAST(COUNT(DISTINCT transaction_id) AS BIGINT), TRUE FROM prepared
+GROUP BY strftime(date, '%Y-%m')""")
+def q_transaction_count_approx(spark, sf):
+    """D22 with ``approx``: sketches stored per (day, product), merged for any slice; within the stated error of the exact count."""
+    rows = prep(spark, sf, "transaction_id", "product_name").select("date", "product_name", "transaction_id")
+    held = materialize(SK.distinct_sketches(rows, "transaction_id", ["date", "product_name"]))
+    slices = {"all": F.lit("all"), "product": F.col("product_name"), "month": F.date_format("date", "yyyy-MM")}
+    out = []
+    for name, item in slices.items():
+        estimates = SK.distinct_estimates(held.withColumn("item", item), ["item"])
+        exact = rows.withColumn("item", item).groupBy("item").agg(F.countDistinct("transaction_id").alias("transactions"))
+        gap = F.abs(F.col("estimate") - F.col("transactions"))
+        out.append(exact.join(estimates, "item").filter(F.col("item").isNotNull()).select(
+            F.lit(name).alias("slice"), "item", "transactions",
+            (gap <= F.ceil(SK.DISTINCT_ERROR * F.col("transactions"))).alias("within")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 FACTORS = ["day_number", "iso_week", "is_weekend", "weather_code", "holiday_code", "discount_pct"]
 
 
