@@ -26,6 +26,7 @@ from ..sources.files import clean, coerce_numeric, reject_invalid_dates
 from .ordered import latest_per, with_lags
 from .sales import with_monthly_sales
 from .stats import regression_metrics
+from .trees import DeepForest, SecondOrderBoosting
 
 CATEGORICAL = ["weather", "season", "category", "product_name"]
 NUMERIC = ["quantity_sold", "unit_price", "stock_after_sale", "returned", "temperature_c", "humidity_pct",
@@ -128,19 +129,14 @@ def task_memory_mb(spark: SparkSession) -> int | None:
     return int(float(text) / (1024 * 1024))
 
 
-def candidates(seed: int = 42, forest_depth: int = 30, forest_memory_mb: int = 256) -> dict:
-    """I12-I14 with library defaults: a 100-tree forest using all features per split
-    (at the greatest depth that Spark trees have), 100 boosting rounds at rate 0.1 depth 3,
-    and 100 rounds at rate 0.3 depth 6.  ``forest_memory_mb`` bounds the forest's per-task
-    split statistics (more passes over the data when smaller, same model)."""
+def candidates(seed: int = 42, key_cols: Sequence[str] = KEY_COLS) -> dict:
+    """I12-I14 with library defaults: a 100-tree forest without depth limit, all features at each split; 100 boosting
+    rounds at rate 0.1 depth 3; and 100 second-order rounds at rate 0.3 depth 6 with leaf penalty 1."""
     return {
-        "random_forest": lambda f, l, p: RandomForestRegressor(
-            featuresCol=f, labelCol=l, predictionCol=p, numTrees=100, maxDepth=forest_depth,
-            featureSubsetStrategy="all", seed=seed, maxMemoryInMB=forest_memory_mb),
+        "random_forest": lambda f, l, p: DeepForest(f, l, p, key_cols, trees=100, seed=seed),
         "gradient_boosting": lambda f, l, p: GBTRegressor(
             featuresCol=f, labelCol=l, predictionCol=p, maxIter=100, stepSize=0.1, maxDepth=3, seed=seed),
-        "boosted_trees": lambda f, l, p: GBTRegressor(
-            featuresCol=f, labelCol=l, predictionCol=p, maxIter=100, stepSize=0.3, maxDepth=6, seed=seed),
+        "boosted_trees": lambda f, l, p: SecondOrderBoosting(f, l, p, rounds=100, rate=0.3, depth=6, lam=1.0),
     }
 
 
@@ -183,7 +179,7 @@ def train_all(frame: DataFrame, features: Mapping[str, list[str]], models: Mappi
 
     Fits are independent Spark jobs over one stored table; up to ``parallelism`` of
     them are submitted at once from driver threads so small boosting iterations
-    overlap.  A memory that is configured limits how many, and the forest's per-task statistics.
+    overlap.  A memory that is configured limits how many.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -191,10 +187,7 @@ def train_all(frame: DataFrame, features: Mapping[str, list[str]], models: Mappi
     mem_mb = task_memory_mb(spark)
     if mem_mb:
         parallelism = max(1, min(parallelism, mem_mb // 2048))
-    # At most ``cores`` tasks hold forest statistics at once in one executor heap.
-    cores = max(1, spark.sparkContext.defaultParallelism) if spark.sparkContext.master.startswith("local") \
-        else int(spark.sparkContext.getConf().get("spark.executor.cores", "4"))
-    models = models or candidates(forest_memory_mb=int(max(16, min(256, (mem_mb or 4096) / (4 * cores)))))
+    models = models or candidates(key_cols=key_cols)
     table = model_table(frame, features, key_cols, test_fraction)
     train, test = table.filter("is_test = 0"), table.filter("is_test = 1")
     vectors = {t: next(v for v in (f"_features_{u}" for u, f in features.items() if f == features[t])

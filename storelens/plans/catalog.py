@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even, lookup, projected_stock, sanitize, with_money
 from ..operators import sales as S
-from ..session import materialize
+from ..session import literal_frame, materialize
 from ..sources.tables import enriched, prepared, read_table, sales_view, with_sql
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -709,8 +709,9 @@ def q_sales_by_cluster_products(spark, sf):
 # ---------------------------------------------------------------- features and models
 
 from pyspark.sql import Window  # noqa: E402
+from pyspark.sql.types import StructType  # noqa: E402
 
-from ..operators import forecast as FC  # noqa: E402
+from ..operators import forecast as FC, trees as TR  # noqa: E402
 from ..sources.schema import SALES_TYPES  # noqa: E402
 
 _TRAINING_SQL = f"""
@@ -829,6 +830,44 @@ for _task in FC.TARGETS:
     register(f"model_selection_{_task}", _selection_sql(_task))(_selection(_task))
 
 
+# One round of second-order boosting, two levels deep: with base score 0 the gradient sums are whole numbers.
+BOOST_FEATURES = ["quantity_sold", "sales_lag_1", "month", "day"]
+
+
+def _best_splits_sql(rows: str) -> str:
+    """Best split of every node of ``rows`` (node, y, features): sums per value, running sums, gain with penalty 1."""
+    cells = " UNION ALL ".join(f"SELECT node, {i} AS f, '{c}' AS feature, CAST({c} AS DOUBLE) AS v, -SUM(y) AS g, "
+                               f"CAST(COUNT(*) AS DOUBLE) AS h FROM {rows} GROUP BY 1, 4" for i, c in enumerate(BOOST_FEATURES))
+    return f"""SELECT node, f, feature, cut, gl, hl, gt - gl AS gr, ht - hl AS hr,
+    0.5 * (gl * gl / (hl + 1.0) + (gt - gl) * (gt - gl) / (ht - hl + 1.0) - gt * gt / (ht + 1.0)) AS gain
+  FROM (SELECT node, f, feature, lead(v) OVER up AS cut, SUM(g) OVER up AS gl, SUM(h) OVER up AS hl,
+      SUM(g) OVER (PARTITION BY node, f) AS gt, SUM(h) OVER (PARTITION BY node, f) AS ht FROM ({cells})
+    WINDOW up AS (PARTITION BY node, f ORDER BY v))
+  WHERE cut IS NOT NULL QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, cut) = 1"""
+
+
+_CHILD_SQL = " ".join(f"WHEN '{c}' THEN CAST(r.{c} AS DOUBLE) >= s.cut" for c in BOOST_FEATURES)
+
+
+@register("boosting_first_round", _TRAINING_SQL + f"""
+, r0 AS (SELECT 1 AS node, CAST(future_7_day_sales AS DOUBLE) AS y, quantity_sold, sales_lag_1, month(date) AS month,
+    day(date) AS day FROM tr),
+s0 AS ({_best_splits_sql("r0")}),
+r1 AS (SELECT 2 + CAST(CASE s.feature {_CHILD_SQL} END AS INTEGER) AS node, r.* EXCLUDE (node) FROM r0 r, s0 s WHERE s.gain > 0),
+s1 AS ({_best_splits_sql("r1")})
+SELECT CAST(node AS INTEGER) AS node, feature, cut, {r6sql('gain')} AS gain,
+  {r6sql('-0.3 * gl / (hl + 1.0)')} AS left_value, {r6sql('-0.3 * gr / (hr + 1.0)')} AS right_value
+FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1) WHERE gain > 0""")
+def q_boosting_first_round(spark, sf):
+    """The splits and leaf values of one round, two levels deep."""
+    rows = training(spark, sf).withColumns({"month": F.month("date"), "day": F.dayofmonth("date")})
+    ready = FC.VectorAssembler(inputCols=BOOST_FEATURES, outputCol="x").transform(rows.select("future_7_day_sales", *BOOST_FEATURES))
+    model = TR.SecondOrderBoosting("x", "future_7_day_sales", "p", rounds=1, depth=2, base_score=0.0).fit(ready)
+    schema = StructType.fromDDL("node int, feature string, cut double, gain double, left_value double, right_value double")
+    found = literal_frame(spark, [r[1:] for r in model.splits(BOOST_FEATURES)], schema)
+    return found.select("node", "feature", "cut", *[r6(c).alias(c) for c in ("gain", "left_value", "right_value")])
+
+
 # The scoring chain with one-feature least squares, whose closed form SQL has.
 _LINE_SQL = {t: f"regr_intercept(CAST({FC.TARGETS[t]} AS DOUBLE), CAST({x} AS DOUBLE)) AS a_{t}, "
                 f"regr_slope(CAST({FC.TARGETS[t]} AS DOUBLE), CAST({x} AS DOUBLE)) AS b_{t}"
