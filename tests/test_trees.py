@@ -118,3 +118,25 @@ def test_models_are_stored_and_read_back(spark, tmp_path):
         read = PipelineModel.load(f"{tmp_path}/{i}")
         want = {r["id"]: r["p"] for r in model.transform(df).collect()}
         assert {r["id"]: r["p"] for r in read.transform(df).collect()} == pytest.approx(want)
+
+
+def test_a_grown_tree_is_one_row_and_rows_are_dealt_in_blocks(spark):
+    df = _frame(spark)
+    est = T.DeepForest("x", "y", "p", ["id"], trees=3, seed=1)
+    model = est.fit(df)
+    nodes = model.nodes.collect()
+    assert sorted(r["node"] for r in nodes) == ["0", "1", "2"] and all(len(r["feature"]) > 100 for r in nodes)
+    # Every row counts as often as its draw says, in the root of each tree.
+    key = F.xxhash64("id", F.lit(1))
+    draws = df.select([(F.pmod(F.xxhash64(key, F.lit(t)), F.lit(1 << 32)) / F.lit(float(1 << 32))).alias(str(t)) for t in range(3)])
+    want = {str(t): sum(sum(r[t] >= p for p in T.POISSON) for r in draws.collect()) for t in range(3)}
+    assert {r["node"]: r["weight"][0] for r in nodes} == want
+
+
+def test_every_feature_kind_and_open_leaf_in_a_large_node():
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.integers(0, 2, 4000), rng.integers(0, 256, 4000), np.zeros(4000, int), rng.integers(0, 2, 4000)], 1)
+    y = np.where(x[:, 0] == 1, 7.0, np.floor(x[:, 1] / 50) + x[:, 3])
+    t = T.grow_whole(x.astype(np.uint8), y, np.ones(4000), [2, 256, 1, 2])
+    assert (T.walk(t, x.astype(np.uint8)) == y).all() and t["weight"][t["feature"] < 0].sum() == 4000
+    assert len(t["feature"]) < 60  # pure nodes end
