@@ -99,6 +99,44 @@ def test_correlations_with_gaps_follow_the_pairwise_rule(spark):
     assert got[("k", "a")] is None and got[("k", "k")] is None and abs(got[("b", "b")] - 1.0) < 1e-12
 
 
+def test_correlations_of_many_columns_take_one_pass(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    rnd = random.Random(6)
+    rows = [tuple(1e9 + rnd.random() if i % 7 else None if j == 3 else 5.0 for j in range(16)) + (0.1,) for i in range(3000)]
+    cols = [f"c{j}" for j in range(16)] + ["flat"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(7)
+    aggregates = []
+    whole = DataFrame.agg
+    monkeypatch.setattr(DataFrame, "agg", lambda self, *e: aggregates.append(len(e)) or whole(self, *e))
+    got = {(r["col1"], r["col2"]): r["correlation"] for r in ST.correlation_pairs(df, cols).collect()}
+    assert not aggregates  # 17 columns would be hundreds of sums in one aggregate
+    for a, b in [(0, 1), (3, 5), (2, 15)]:
+        xs = [(r[a], r[b]) for r in rows if r[a] is not None and r[b] is not None]
+        mx, my = (sum(v[n] for v in xs) / len(xs) for n in (0, 1))
+        want = sum((x - mx) * (y - my) for x, y in xs) / (
+            sum((x - mx) ** 2 for x, _ in xs) * sum((y - my) ** 2 for _, y in xs)) ** 0.5
+        assert abs(got[(f"c{a}", f"c{b}")] - want) < 1e-6
+    assert got[("flat", "c0")] is None and got[("flat", "flat")] is None and got[("c0", "c0")] == 1.0
+
+
+def test_monthly_totals_do_not_deal_rows_by_product(spark):
+    import contextlib
+    import io
+
+    from storelens.operators.sales import with_monthly_sales
+    df = spark.createDataFrame([("a", "2020-01-03", 2), ("a", "2020-01-09", 3), ("a", "2020-02-01", 4), (None, "2020-01-01", 5),
+                                ("b", None, 6), ("a", "2020-01-09", 3)], "product_name string, date string, quantity_sold int")
+    out = with_monthly_sales(df.withColumn("date", F.col("date").cast("date")))
+    got = sorted((str(r["product_name"]), r["quantity_sold"], r["monthly_sales"]) for r in out.collect())
+    assert got == [("None", 5, None), ("a", 2, 8), ("a", 3, 8), ("a", 3, 8), ("a", 4, 4), ("b", 6, None)]
+    assert out.columns[:2] == ["product_name", "month_period"]
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        out.explain()
+    assert "SortMergeJoin" not in buf.getvalue() and "Exchange hashpartitioning" not in buf.getvalue()
+
+
 def test_segments_do_not_depend_on_partitions(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     results = []
