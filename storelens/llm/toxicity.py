@@ -44,6 +44,7 @@ STEPS = 60              # of the optimiser, at most
 BLOCK_ROWS = 100        # texts of the regression taken at a time
 SEED = 20240811
 PIECE_CHARS = 1_000_000
+COUNT_ROWS = 16_384     # feature counts that leave a task in one batch
 
 _SPACE = re.compile(r"\s+")
 
@@ -192,15 +193,22 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     def batch(*columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
+    sent = set()  # at most the sample's distinct texts
     for whole in batches:
         for part in slices(whole):
+            rows = []
             for label, text, hash_, sampled in zip(*[part.column(i).to_pylist() for i in range(4)]):
                 seen[label, features(text)[0]] += 1
-                if sampled:
-                    yield batch([None], [None], [None], [label], [hash_], [text])
+                if sampled and (label, hash_) not in sent:  # copies of one text are one row of the sample
+                    sent.add((label, hash_))
+                    rows.append((None, None, None, label, hash_, text))
+            if rows:
+                yield batch(*zip(*rows))
     at = np.flatnonzero(seen.any(axis=0))
-    nothing = [None] * len(at)
-    yield batch(at.astype(np.int32), seen[0, at], seen[1, at], nothing, nothing, nothing)
+    for i in range(0, len(at), COUNT_ROWS):
+        some = at[i:i + COUNT_ROWS]
+        nothing = [None] * len(some)
+        yield batch(some.astype(np.int32), seen[0, some], seen[1, some], nothing, nothing, nothing)
 
 
 def _sampled_features(mask: np.ndarray):

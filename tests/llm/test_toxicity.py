@@ -126,3 +126,19 @@ def test_nothing_to_learn_from(spark, frame, odd_texts):
     assert share([]) == {0.0} and share([(1, 0), (2, 0)]) == {0.0} and share([(i, 1) for i in range(6)]) == {1.0}
     empty = X.toxicity(frame([]), marks(spark, [(1, 1), (2, 0)]))
     assert empty.count() == 0 and empty.columns == ["doc_id", "held_out", "score", "predicted"]
+
+
+def test_copies_of_a_sampled_text_leave_a_task_once():
+    import pyarrow as pa
+    from storelens.llm import toxicity as X
+
+    texts = ["the same long text again and again"] * 300 + ["another text"]
+    batch = pa.RecordBatch.from_pydict({"l": [1] * 300 + [0], "t": texts, "h": [7] * 300 + [8], "s": [True] * 301},
+                                       schema=pa.schema([("l", pa.int32()), ("t", pa.string()), ("h", pa.int64()), ("s", pa.bool_())]))
+    out = pa.Table.from_batches(list(X._count_features(iter([batch.slice(0, 100), batch.slice(100)])))).to_pylist()
+    assert sorted((r["label"], r["text_hash"], r["text"]) for r in out if r["text"] is not None) == [
+        (0, 8, "another text"), (1, 7, texts[0])]
+    counts = {r["feature"]: (r["n_clean"], r["n_toxic"]) for r in out if r["feature"] is not None}
+    own = set(X.features(texts[0])[0].tolist())
+    assert all(counts[f][1] == 300 for f in own) and all(counts[f][0] == 1 for f in X.features("another text")[0].tolist())
+    assert max(b.num_rows for b in X._count_features(iter([batch]))) <= X.COUNT_ROWS
