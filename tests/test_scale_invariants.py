@@ -201,3 +201,25 @@ def test_literal_frame_round_trip_and_flat_cost(spark):
     big = literal_frame(spark, [(i, i * 3) for i in range(20000)],
                         T.StructType([T.StructField("p", T.LongType()), T.StructField("o", T.LongType())]))
     assert big.count() == 20000 and time.time() - t0 < 60
+
+
+def test_packed_checkpoints_keep_rows_order_and_partitions_on_less_disk(spark):
+    import os
+    from storelens.session import materialize, materialize_packed
+
+    df = (spark.range(0, 30000, 1, 3).selectExpr("id", "CAST(id % 11 AS double) AS a", "IF(id % 5 = 0, NULL, CAST(id % 7 AS string)) AS s",
+                                                 "date_add(DATE'2024-01-01', CAST(id % 400 AS int)) AS d",
+                                                 *[f"CAST(id % {k} = 0 AS int) AS b{k}" for k in range(2, 30)]))
+
+    def written(write):
+        top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+        sizes = lambda: sum(os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(top) for f in fs)
+        before = sizes()
+        out = write(df)
+        return out, sizes() - before
+
+    plain, size = written(materialize)
+    packed, less = written(materialize_packed)
+    assert packed.schema == df.schema and less < size / 4
+    assert packed.withColumn("_p", F.spark_partition_id()).collect() == df.withColumn("_p", F.spark_partition_id()).collect()
+    assert materialize_packed(df.limit(0)).columns == df.columns and materialize_packed(df.limit(0)).count() == 0

@@ -140,3 +140,50 @@ def test_every_feature_kind_and_open_leaf_in_a_large_node():
     t = T.grow_whole(x.astype(np.uint8), y, np.ones(4000), [2, 256, 1, 2])
     assert (T.walk(t, x.astype(np.uint8)) == y).all() and t["weight"][t["feature"] < 0].sum() == 4000
     assert len(t["feature"]) < 60  # pure nodes end
+
+
+def test_rows_are_stored_once_whatever_the_number_of_trees(spark, monkeypatch):
+    df, stored = _frame(spark), []
+
+    def watched(frame, write=T.materialize):
+        out = write(frame)
+        if "n" in out.columns:  # blocks of rows
+            stored.append(out.agg(F.sum("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(T, "materialize", watched)
+    T.DeepForest("x", "y", "p", ["id"], trees=6, finish_rows=60).fit(df)
+    assert stored == [600]
+
+
+def test_trees_dealt_out_in_turns_are_the_same_trees(spark, tmp_path):
+    df = _frame(spark)
+    scores = []
+    for i, rows in enumerate([T.DEALT_ROWS, 1300, 1]):
+        model = T.DeepForest("x", "y", "p", ["id"], trees=5, finish_rows=90, dealt_rows=rows).fit(df)
+        assert len(model.parts) == [1, 3, 5][i]
+        scores.append({r["id"]: r["p"] for r in model.transform(df).collect()})
+    assert len(scores[0]) == 600 and scores[0] == pytest.approx(scores[1]) and scores[0] == pytest.approx(scores[2])
+
+
+def test_rows_scored_in_turns_and_chunks_get_the_same_mean(spark, monkeypatch):
+    df = _frame(spark).repartition(7)
+    model = T.DeepForest("x", "y", "p", ["id"], trees=4, finish_rows=100).fit(df)
+    want = {r["id"]: r["p"] for r in model.transform(df).collect()}
+    monkeypatch.setattr(T, "DEALT_ROWS", 700)
+    monkeypatch.setattr(T, "CHUNK_ROWS", 150)
+    monkeypatch.setattr(T, "BLOCK_ROWS", 50)
+    out = model.transform(df)
+    assert out.columns == [*df.columns, "p"] and {r["id"]: r["p"] for r in out.collect()} == pytest.approx(want)
+    assert model.transform(df.limit(0)).count() == 0
+
+
+def test_packed_trees_are_the_grown_ones():
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.integers(0, 200, 900), rng.integers(0, 2, 900)], 1).astype(np.uint8)
+    t = T.grow_whole(x, rng.normal(size=900), rng.integers(1, 4, 900), [200, 2])
+    back = T._unpack_tree(T._pack_tree(t), whole=True)
+    for c in ("feature", "bin", "left", "right"):
+        assert (back[c] == t[c]).all()
+    assert back["value"] == pytest.approx(t["value"]) and back["weight"] == pytest.approx(t["weight"])
+    assert sum(len(b) for b in T._pack_tree(t)[1:]) < 0.5 * sum(v.astype(T.NODE_TYPES[c]).nbytes for c, v in t.items())
